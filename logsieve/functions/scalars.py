@@ -14,7 +14,7 @@ def micros(time: str) -> Column:
     """Microseconds since 1970-01-01 of a zone-less timestamp, without touching the session zone."""
     t = F.col(time)
     second = (F.extract(F.lit("SECOND"), t) * US_PER_SECOND).cast("bigint")
-    minute = F.hour(t) * 60 + F.minute(t)
+    minute = (F.hour(t) * 60 + F.minute(t)).cast("bigint")
     return F.unix_date(t.cast("date")) * F.lit(US_PER_DAY) + minute * F.lit(60 * US_PER_SECOND) + second
 
 
