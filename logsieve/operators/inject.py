@@ -81,8 +81,9 @@ def inject_anomalies(log: DataFrame, rate: float = RATE, runs=tuple(range(1, 11)
     reach = ((F.coalesce("_mean", F.lit(0.0)) + F.coalesce("_std", F.lit(0.0)))
              * (1.0 + S.uniform("reach", seed, F.col("run"), F.col("event_key"))))
     shift = F.greatest(F.lit(0.0), reach - S.seconds("_gap_us"))
-    rows = rows.withColumn("_shift_us", F.when(F.col("time_label") == 1, F.floor(shift * 1e6 + 0.5)).otherwise(0)
-                           .cast("bigint"))
+    # Whole milliseconds: the last digits of mean and std depend on the order of summation.
+    shift_us = F.floor(shift * 1e3 + 0.5).cast("bigint") * 1000
+    rows = rows.withColumn("_shift_us", F.when(F.col("time_label") == 1, shift_us).otherwise(F.lit(0)))
     return rows.select(
         *[c for c in log.columns if c not in ("activity", "time", "time_us")], "run", "activity",
         S.add_seconds("time", "_shift_us").alias("time"), (F.col("time_us") + F.col("_shift_us")).alias("time_us"),

@@ -72,10 +72,12 @@ def scaled_features(grouped: DataFrame, ranges: DataFrame, feature_sets: dict =
                     jitter: str | None = None, seed: int = 7) -> DataFrame:
     """Replace the features by (x - train minimum) / (train range + 1e-8) as float32; drops groups not in ``ranges``.
 
+    n and n_train of the group come along.
+
     ``jitter`` names a noise draw of N(0, 1e-6) added per row, level and feature; None adds none.
     """
     keys = group_keys(grouped)
-    rows = scale.lookup_join(grouped, ranges.withColumn("_in", F.lit(True)).drop("n"), keys, "event_key")
+    rows = scale.lookup_join(grouped, ranges.withColumn("_in", F.lit(True)), keys, "event_key")
     rows = rows.where(F.col("_in"))
     out = {}
     for c in features_of(feature_sets):
