@@ -12,7 +12,7 @@ from ..functions import scalars as S
 RATE = 0.1
 
 
-def smallest(pool: DataFrame, n: int, runs: list[int], purpose: str, seed: int) -> Column:
+def smallest(pool: DataFrame, n: int, runs: list[int], purpose: str, seed: int, rows: int | None = None) -> Column:
     """A condition true for exactly ``n`` rows of ``pool`` per run: those with the smallest (hash, event_key).
 
     ``pool`` has ``run`` and ``event_key``. The cut keys come from radix selection, so the condition compares each
@@ -23,7 +23,7 @@ def smallest(pool: DataFrame, n: int, runs: list[int], purpose: str, seed: int)
         return chosen
     h = S.hash32(purpose, seed, F.col("run"), F.col("event_key"))
     keyed = pool.select(F.col("run").cast("string").alias("g"), h.alias("v"), F.col("event_key").alias("tie"))
-    last = scale.keys_at(keyed, {r: (str(r), n - 1) for r in runs}, 0, S.HASH_RANGE - 1)
+    last = scale.keys_at(keyed, {r: (str(r), n - 1) for r in runs}, 0, S.HASH_RANGE - 1, rows)
     for r, (v, tie) in last.items():
         within = (h < v) | ((h == v) & (F.col("event_key") <= tie))
         chosen = F.when(F.col("run") == r, within).otherwise(chosen)
@@ -44,12 +44,14 @@ def inject_anomalies(log: DataFrame, rate: float = RATE, runs=tuple(range(1, 11)
     time_label and is_true_anomaly (the delayed events).
     """
     runs = list(runs)
-    facts = log.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_seq") > 1).alias("later")).first()
+    facts = log.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_seq") > 1).alias("later"),
+                    F.countDistinct("activity").alias("labels")).first()
     n = int(facts["n"] * rate)
     if facts["later"] < n:
         raise ValueError(f"{n} events are to be delayed but only {facts['later']} are not first in their case")
-    labels = scale.running(log.select("activity").distinct(), [], ["activity"], {"_i": F.lit(1).cast("bigint")})
-    k = labels.count()
+    k, total = facts["labels"], facts["n"] * len(runs)
+    labels = log.select("activity").where(F.col("activity").isNotNull()).distinct()
+    labels = scale.running(labels, [], ["activity"], {"_i": F.lit(1).cast("bigint")}, total=k)
     if n > 0 and k < 2:
         raise ValueError("activities cannot be swapped in a log with a single activity")
 
@@ -64,8 +66,8 @@ def inject_anomalies(log: DataFrame, rate: float = RATE, runs=tuple(range(1, 11)
 
     base = with_runs(log.select("event_key", "event_seq"), runs)
     rows = with_runs(rows, runs)
-    rows = rows.withColumn("activity_label", smallest(base, n, runs, "activity", seed).cast("int"))
-    late = (F.col("event_seq") > 1) & smallest(base.where("event_seq > 1"), n, runs, "time", seed)
+    rows = rows.withColumn("activity_label", smallest(base, n, runs, "activity", seed, total).cast("int"))
+    late = (F.col("event_seq") > 1) & smallest(base.where("event_seq > 1"), n, runs, "time", seed, total)
     rows = rows.withColumn("time_label", late.cast("int"))
 
     # Own label number, then the picked one: numbers run from 1 to k and the own one is skipped.

@@ -46,12 +46,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[DataFrame | None, int]:
+def heavy_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS,
+               total: int | None = None) -> tuple[DataFrame | None, int]:
     """Keys with more rows than ``limit`` (and than 1/65,536 of the table), with their total row count.
 
     A table of at most ``limit`` rows is answered from its row count alone.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= limit:
         return None, 0
     bar = max(limit, total // MAX_HEAVY_KEYS)
@@ -64,14 +65,14 @@ def heavy_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[D
     return df.sparkSession.createDataFrame(rows, schema), sum(r["_n"] for r in rows)
 
 
-def part_heavy(df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS):
+def part_heavy(df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS, total: int | None = None):
     """Split ``df`` into light rows and heavy rows.
 
     The heavy rows come back range-partitioned by key and order, stored, and tagged with ``_seg``: the number of
     the range they fell into. Segments of one key ascend in ``order`` and each fits one task. The heavy part is
     None when no key is heavy.
     """
-    heavy, heavy_rows = heavy_keys(df, keys, limit)
+    heavy, heavy_rows = heavy_keys(df, keys, limit, total)
     if heavy is None:
         return df, None
     parts = min(MAX_SEGMENTS, max(2, -(-heavy_rows // min(SEGMENT_ROWS, limit))))
@@ -85,9 +86,12 @@ def part_heavy(df: DataFrame, keys: list[str], order: list[str], limit: int = HO
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
-            limit: int = HOT_ROWS) -> DataFrame:
-    """Add running sums (current row included) per ``keys`` along ``order``, which must be a total order."""
-    light, hot = part_heavy(df, keys, order, limit)
+            limit: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+    """Add running sums (current row included) per ``keys`` along ``order``, which must be a total order.
+
+    ``total`` saves counting the rows when their number is known.
+    """
+    light, hot = part_heavy(df, keys, order, limit, total)
 
     def frame(extra):
         return (Window.partitionBy(*keys, *extra).orderBy(*order)
@@ -123,69 +127,73 @@ def lookup_join(left: DataFrame, table: DataFrame, on: list[str], salt: str,
     return left.join(table, [*on, "_salt"], "left").drop("_salt")
 
 
-def keys_at(df: DataFrame, targets: dict, low: int, high: int, take: int = 2_000, digits: int = 12) -> dict:
+def keys_at(df: DataFrame, targets: dict, low: int, high: int, rows: int | None = None, take: int = 2_000,
+            digits: int = 12) -> dict:
     """The (v, tie) pair standing at 0-based positions of ``df`` ordered by ``v, tie`` within each ``g``.
 
     ``df`` has columns ``g`` STRING, ``v`` BIGINT in [low, high] and ``tie`` STRING; ``targets`` maps any id to
-    (g, position). Radix selection: each round counts at most 2**digits buckets per target and keeps the one holding
-    the position, until the rest fits in ``take`` rows. Equal values are narrowed further by prefixes of ``tie``.
-    Only counts and the last few rows reach the driver; the data is scanned, not sorted or shuffled.
+    (g, position); ``rows`` is the number of rows, if known. Radix selection: each round counts at most 2**digits
+    buckets per target and keeps the one holding the position, until the rest fits in ``take`` rows. Equal values are
+    narrowed further by prefixes of ``tie``. Only counts and the last few rows reach the driver; the data is scanned,
+    not sorted or shuffled.
     """
-    spark = df.sparkSession
     bits = max(1, int(high - low).bit_length())
-    state = {t: {"g": g, "pos": p, "low": low, "bits": bits, "prefix": "", "n": None}
-             for t, (g, p) in targets.items()}
-    names = {str(i): t for i, t in enumerate(state)}
-    active = set(names)
+    # A table this small is fetched at once, without counting rounds.
+    small = rows is not None and rows <= 10 * take
+    state = {str(i): {"id": t, "g": g, "pos": p, "low": low, "bits": bits, "prefix": "", "few": small}
+             for i, (t, (g, p)) in enumerate(targets.items())}
     found = {}
-    schema = "t string, g string, low bigint, high bigint, shift int, prefix string, len int"
 
-    def narrowed(ids, shifts):
-        rows = []
+    def narrowed(ids):
+        """Rows still in question, once per target, with the target's range."""
+        entries = {}
         for i in ids:
-            s = state[names[i]]
-            rows.append((i, s["g"], s["low"], s["low"] + (1 << s["bits"]) - 1, shifts[i],
-                         s["prefix"], len(s["prefix"])))
-        wanted = F.broadcast(spark.createDataFrame(rows, schema))
-        return df.join(wanted, "g").where(F.col("v").between(F.col("low"), F.col("high"))
-                                          & F.expr("left(tie, len) = prefix"))
-
-    while active:
-        done = [i for i in active if state[names[i]]["n"] is not None and state[names[i]]["n"] <= take]
-        if done:
-            rest = narrowed(done, dict.fromkeys(done, 0)).select("t", "v", "tie").collect()
-            for i in done:
-                rows = sorted((r["v"], r["tie"]) for r in rest if r["t"] == i)
-                found[names[i]] = rows[state[names[i]]["pos"]]
-            active -= set(done)
+            s = state[i]
+            entries.setdefault(s["g"], []).append(F.struct(
+                F.lit(i).alias("t"), F.lit(s["low"]).cast("bigint").alias("low"),
+                F.lit(s["low"] + (1 << s["bits"]) - 1).cast("bigint").alias("high"),
+                F.lit(max(0, s["bits"] - digits)).alias("shift"), F.lit(s["prefix"]).alias("prefix")))
+        mine = F.lit(None)
+        for g, structs in entries.items():
+            mine = F.when(F.col("g") == g, F.array(*structs)).otherwise(mine)
+        return (df.withColumn("_s", F.explode(mine)).select("v", "tie", "_s.*")
+                .where(F.col("v").between(F.col("low"), F.col("high"))
+                       & F.startswith("tie", "prefix")))
+
+    while state:
+        few = [i for i, s in state.items() if s["few"]]
+        if few:
+            rest = {}
+            for r in narrowed(few).select("t", "v", "tie").collect():
+                rest.setdefault(r["t"], []).append((r["v"], r["tie"]))
+            for i in few:
+                s = state.pop(i)
+                found[s["id"]] = sorted(rest.get(i, []))[s["pos"]]
             continue
-        shifts = {i: max(0, state[names[i]]["bits"] - digits) for i in active}
-        rows = narrowed(active, shifts)
-        by_value = [i for i in active if state[names[i]]["bits"] > 0]
-        bucket = F.when(F.col("high") > F.col("low"), F.expr("shiftright(v - low, shift)"))
-        # A single value is left: go on with two more characters of the tie breaker.
-        mark = F.when(F.col("high") == F.col("low"), F.expr("substring(tie, len + 1, 2)"))
-        counts = rows.groupBy("t", bucket.alias("b"), mark.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()
-        for i in active:
-            s = state[names[i]]
-            mine = sorted(((r["b"], r["m"], r["n"]) for r in counts if r["t"] == i),
-                          key=lambda r: (r[0] or 0, r[1] or ""))
+        single = F.col("high") == F.col("low")
+        bucket = F.when(~single, F.expr("shiftright(v - low, shift)"))
+        # Where a single value is left: go on with two more characters of the tie breaker.
+        mark = F.when(single, F.expr("substring(tie, length(prefix) + 1, 2)"))
+        rest = {}
+        for r in narrowed(state).groupBy("t", bucket.alias("b"), mark.alias("m")).agg(
+                F.count(F.lit(1)).alias("n")).collect():
+            rest.setdefault(r["t"], []).append((r["b"] or 0, r["m"] or "", r["n"]))
+        for i, s in list(state.items()):
             seen = 0
-            for b, m, n in mine:
+            for b, m, n in sorted(rest.get(i, [])):
                 if s["pos"] < seen + n:
-                    s["pos"] -= seen
-                    s["n"] = n
-                    if i in by_value:
-                        s["low"] += b << shifts[i]
-                        s["bits"] = shifts[i]
-                    elif m == "":
-                        # All rows left carry the same tie breaker.
-                        found[names[i]] = (s["low"], s["prefix"])
-                    else:
-                        s["prefix"] += m
                     break
                 seen += n
             else:
                 raise ValueError(f"position {s['pos']} lies outside group {s['g']}")
-        active = {i for i in active if names[i] not in found}
+            s["pos"] -= seen
+            s["few"] = n <= take
+            if s["bits"] > 0:
+                shift = max(0, s["bits"] - digits)
+                s["low"], s["bits"] = s["low"] + (b << shift), shift
+            elif m:
+                s["prefix"] += m
+            else:
+                # All rows left carry the same tie breaker.
+                found[state.pop(i)["id"]] = (s["low"], s["prefix"])
     return found

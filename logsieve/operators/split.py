@@ -11,12 +11,12 @@ from .order import order_events
 TRAIN, VAL = 0.6, 0.2
 
 
-def _cuts(keyed: DataFrame, train: float, val: float, n: int | None = None):
+def _cuts(keyed: DataFrame, train: float, val: float):
     """Split sizes and the (v, tie) keys where validation and test begin, for rows ordered by ``v, tie``."""
     n, low, high = keyed.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
     ends = int(n * train), int(n * (train + val))
     targets = {i: ("", p) for i, p in enumerate(ends) if p < n}
-    found = scale.keys_at(keyed.withColumn("g", F.lit("")), targets, low, high) if targets else {}
+    found = scale.keys_at(keyed.withColumn("g", F.lit("")), targets, low, high, n) if targets else {}
     return [found.get(i) for i in range(2)]
 
 
@@ -40,7 +40,6 @@ def split_by_cases(log: DataFrame, train: float = TRAIN, val: float = VAL) -> Da
     """Cut the cases, ordered by (first event time, case_id), at the given shares; a case stays whole."""
     if "case_start_us" not in log.columns:
         log = order_events(log)
-    # From the raw times, so that the window work of an ordered log is not repeated for the cuts.
     starts = log.groupBy(F.col("case_id").alias("tie")).agg(F.min("case_start_us").alias("v"))
     return log.withColumn("split", _label("case_start_us", "case_id", _cuts(starts, train, val)))
 

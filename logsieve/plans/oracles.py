@@ -14,6 +14,11 @@ def rnd(x: str, n: int = 6) -> str:
     return f"(round({x}, {n}) + 0.0::DOUBLE)"
 
 
+def squash(x: str, n: int = 6) -> str:
+    """Sign and logarithm: comparable digits for values of any size."""
+    return rnd(f"sign({x}) * ln(1 + abs({x}))", n)
+
+
 def h32(purpose: str, run: str = "run", key: str = "event_key") -> str:
     return f"('0x' || substr(md5('7|' || CAST({run} AS VARCHAR) || '|{purpose}|' || {key}), 1, 8))::BIGINT"
 
@@ -85,7 +90,8 @@ def features(base: list, source: str):
         ("gapped", f"SELECT * REPLACE (coalesce(activity, '0') AS activity), coalesce(lag(coalesce(activity, '0')) "
                    f"OVER ({w}), 'START') AS prev_act, coalesce(time_us - lag(time_us) OVER ({w}), 0) / 1e6::DOUBLE "
                    f"AS delta_t FROM {source}"),
-        ("feats", f"""SELECT *, (time_us - case_start_us) / 1e6::DOUBLE AS cum_t, event_seq AS event_idx,
+        ("feats", f"""SELECT *, delta_t / (rolling_delta_t_mean + 1e-6::DOUBLE) AS momentum_ratio FROM (
+            SELECT *, (time_us - case_start_us) / 1e6::DOUBLE AS cum_t, event_seq AS event_idx,
             event_seq / trace_len::DOUBLE AS trace_pos,
             row_number() OVER (PARTITION BY {run}case_id, activity ORDER BY event_seq) - 1 AS act_rework_count,
             coalesce(avg(delta_t) OVER ({w} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS rolling_delta_t_mean,
@@ -93,7 +99,7 @@ def features(base: list, source: str):
             sin(2 * {PI}::DOUBLE * {hour} / 24) AS hour_sin, cos(2 * {PI}::DOUBLE * {hour} / 24) AS hour_cos,
             sin(2 * {PI}::DOUBLE * {day} / 7) AS day_sin, cos(2 * {PI}::DOUBLE * {day} / 7) AS day_cos,
             {hour} / 24 AS hour_linear, {day} / 6.0::DOUBLE AS day_linear,
-            event_seq / ((time_us - case_start_us) / 1e6::DOUBLE + 1.0) AS event_density FROM gapped"""),
+            event_seq / ((time_us - case_start_us) / 1e6::DOUBLE + 1.0) AS event_density FROM gapped)"""),
     ]
 
 
@@ -230,7 +236,7 @@ def judged(base: list, multipliers):
         ("cm", f"SELECT {CKEY}, multiplier, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, "
                "CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, "
                "CASE WHEN model <> 'DBSCAN' THEN avg(coalesce(threshold_value, 0)) END AS threshold_value, "
-               "avg(CASE WHEN model = 'DBSCAN' THEN 0 ELSE coalesce(round(threshold_value, 4), 0) END) AS "
+               "avg(CASE WHEN model = 'DBSCAN' THEN 0 ELSE coalesce(2 * threshold_value, 0) END) AS "
                f"separation_score FROM cells GROUP BY {CKEY}, multiplier"),
         ("rates", "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS p_a, "
                   "CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS r_a, "

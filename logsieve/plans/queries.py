@@ -40,6 +40,11 @@ def rs(c: str, n: int = 6) -> str:
     return f"{O.rnd(c, n)} AS {c}"
 
 
+def squash(c, n: int = 6):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(F.signum(c) * F.log(1 + F.abs(c)), n) + F.lit(0.0)
+
+
 # ---- logs ---------------------------------------------------------------------------------------------------------
 
 def ordered(spark, sf, name="clicks"):
@@ -142,7 +147,7 @@ feature_query("feat_delta_t", {"delta_t": 6}, poison=True)
 feature_query("feat_cum_t", {"cum_t": 6}, "lines")
 feature_query("feat_trace_pos", {"trace_len": None, "event_idx": None, "trace_pos": 6}, "lines")
 feature_query("feat_rework", {"act_rework_count": None}, poison=True)
-feature_query("feat_momentum", {"rolling_delta_t_mean": 4, "momentum_ratio": 3})
+feature_query("feat_momentum", {"rolling_delta_t_mean": 7, "momentum_ratio": 3})
 feature_query("feat_transition", {"prev_act": None, "activity": None}, poison=True)
 feature_query("feat_cyclical", {"hour_sin": 6, "hour_cos": 6, "day_sin": 6, "day_cos": 6, "hour_linear": 6,
                                 "day_linear": 6, "weekday": None})
@@ -219,8 +224,9 @@ def context_query(name: str, grain: str, fix: str):
     cols = [f"expected_{expected}", f"z_score_{z}"]
     base = O.features(O.split(fix, "cases" if fix == "orders" else "rows"), "cut")
     query(name, O.statement(O.context(base, False, fix != "orders", [grain]),
-                            f"SELECT event_key, {rs(cols[0], 4)}, {rs(cols[1], 4)} FROM ctx"))(
-        lambda spark, sf: _context_of(spark, sf, fix, [grain]).select("event_key", *[r(c, 4) for c in cols]))
+                            f"SELECT event_key, {rs(cols[0], 4)}, {O.squash(cols[1])} AS {cols[1]} FROM ctx"))(
+        lambda spark, sf: _context_of(spark, sf, fix, [grain]).select(
+            "event_key", r(cols[0], 4), squash(cols[1]).alias(cols[1])))
 
 
 def _context_of(spark, sf, fix, grains):
@@ -237,20 +243,28 @@ for _n, _g, _fix in (("ctx_activity", "activity", "clicks"), ("ctx_transition",
 _CTX = [c for g in X.GRAINS.values() for c in (f"expected_{g[2]}", f"z_score_{g[3]}")]
 
 
+def _ctx_sql(c):
+    return rs(c, 4) if c.startswith("expected") else f"{O.squash(c)} AS {c}"
+
+
+def _ctx_col(c):
+    return r(c, 4) if c.startswith("expected") else squash(c).alias(c)
+
+
 @query("ctx_no_resource", O.statement(
     O.context(O.features(O.split("orders", "cases"), "cut"), False, False),
-    f"SELECT event_key, resource_workload, {', '.join(rs(c, 4) for c in _CTX)} FROM ctx"))
+    f"SELECT event_key, resource_workload, {', '.join(map(_ctx_sql, _CTX))} FROM ctx"))
 def ctx_no_resource(spark, sf):
     return X.context_features(feats(spark, sf, "orders", poison=False)).select(
-        "event_key", "resource_workload", *[r(c, 4) for c in _CTX])
+        "event_key", "resource_workload", *map(_ctx_col, _CTX))
 
 
 @query("ctx_all_features", O.statement(
     O.context(O.features(_INJECTED, "poisoned"), True),
-    f"SELECT run, event_key, resource_workload, {', '.join(rs(c, 4) for c in _CTX)} FROM ctx"))
+    f"SELECT run, event_key, resource_workload, {', '.join(map(_ctx_sql, _CTX))} FROM ctx"))
 def ctx_all_features(spark, sf):
     return X.context_features(feats(spark, sf)).select(
-        "run", "event_key", "resource_workload", *[r(c, 4) for c in _CTX])
+        "run", "event_key", "resource_workload", *map(_ctx_col, _CTX))
 
 
 def _stats_sql():
@@ -327,7 +341,7 @@ def minmax_scale(spark, sf):
 @query("feature_vectors", O.statement(
     _base(), " UNION ALL ".join(
         f"SELECT event_key, '{s}' AS feature_set, CAST({len(cols)} AS INTEGER) AS dims, "
-        + O.rnd(" + ".join(f"{i + 1} * {c}::FLOAT::DOUBLE" for i, c in enumerate(cols)) + "", 1) + " AS weighted FROM ctx"
+        + O.squash(" + ".join(f"{i + 1} * {c}::FLOAT::DOUBLE" for i, c in enumerate(cols)).join("()")) + " AS weighted FROM ctx"
         for s, cols in levels.FEATURE_SETS.items())))
 def feature_vectors(spark, sf):
     rows = X.context_features(feats(spark, sf, poison=False))
@@ -335,7 +349,7 @@ def feature_vectors(spark, sf):
     weighted = F.aggregate(F.sequence(F.lit(1), F.size("x")), F.lit(0.0),
                            lambda acc, i: acc + i * F.element_at("x", i).cast("double"))
     return v.select("event_key", "feature_set", F.size("x").alias("dims"),
-                    (F.round(weighted, 1) + F.lit(0.0)).alias("weighted"))
+                    squash(weighted).alias("weighted"))
 
 
 # ---- density detectors --------------------------------------------------------------------------------------------
@@ -349,12 +363,12 @@ _parts, _key, _x = O.neighbours(vector_sql(_KD_SETS, _KD_LEVELS), _KD_SETS, 5)
 
 
 @query("knn_distance", O.statement(
-    _parts, f"SELECT event_key, level, g_act, g_res, feature_set, {O.rnd('kd')} AS score FROM vectors JOIN points "
+    _parts, f"SELECT event_key, level, g_act, g_res, feature_set, {O.squash('kd')} AS score FROM vectors JOIN points "
             f"USING ({_key}, {_x}) JOIN kd USING ({_key}, pid)"))
 def knn_distance(spark, sf):
     # Small cells, so that groups of a test table are already cut into several.
     out = D.neighbour_distance(vectors(spark, sf, _KD_SETS, _KD_LEVELS), leaf=512)
-    return out.select("event_key", *levels.GROUP, "feature_set", r("score"))
+    return out.select("event_key", *levels.GROUP, "feature_set", squash("score").alias("score"))
 
 
 _DB_SETS = ["delta_t", "delta_z_micro", "delta_cyclical"]
@@ -428,7 +442,7 @@ def iforest_scores(spark, sf):
 def z_scores(spark, sf, name="clicks", runs=None):
     """Long scores of the stand-in scorers, which SQL can state too."""
     grains = ["activity", "transition", "cum_t"]
-    f = B.base_features(poisoned(spark, sf, name, runs))
+    f = scale.materialise(B.base_features(poisoned(spark, sf, name, runs)))
     f = X.apply_context_stats(f, X.fit_context_stats(f, grains), grains)
     g = levels.with_levels(f)
     flag = F.when(F.abs("z_score_act") > 2, 1.0).otherwise(0.0)
@@ -453,7 +467,7 @@ def scores_unpivot(spark, sf):
 
 def _stand_in(limits):
     """Give the limits a separation score that SQL can state."""
-    return limits.withColumn("separation_score", F.round("threshold_value", 4))
+    return limits.withColumn("separation_score", 2 * F.col("threshold_value"))
 
 
 def judged(spark, sf, name="clicks", multipliers=None, runs=None):
@@ -474,10 +488,10 @@ def _matched(df, multipliers):
 
 
 @query("iqr_threshold_sweep", O.statement(
-    O.judged(_SCORES, T.IQR_MULTIPLIERS), f"SELECT {O.SKEY}, multiplier, {rs('threshold_value')} FROM limits"))
+    O.judged(_SCORES, T.IQR_MULTIPLIERS), f"SELECT {O.SKEY}, multiplier, {rs('threshold_value', 11)} FROM limits"))
 def iqr_threshold_sweep(spark, sf):
     limits = T.iqr_limits(z_scores(spark, sf).where(F.col("model") != "DBSCAN"))
-    return limits.select(*O.SKEY.split(", "), "multiplier", r("threshold_value"))
+    return limits.select(*O.SKEY.split(", "), "multiplier", r("threshold_value", 11))
 
 
 @query("predict_labels", O.statement(
@@ -502,12 +516,12 @@ def confusion_matrix(spark, sf):
 
 
 @query("threshold_summary", O.statement(
-    _JUDGED, f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 5)}, {rs('separation_score', 5)} FROM cm"))
+    _JUDGED, f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 11)}, {rs('separation_score', 11)} FROM cm"))
 def threshold_summary(spark, sf):
     _, limits, predicted = judged(spark, sf)
     groups = E.group_confusion(_matched(predicted, SWEEP))
     return E.threshold_summary(groups, limits).select(
-        *O.CKEY.split(", "), "multiplier", r("threshold_value", 5), r("separation_score", 5))
+        *O.CKEY.split(", "), "multiplier", r("threshold_value", 11), r("separation_score", 11))
 
 
 def metric_table(spark, sf, name="clicks", multipliers=(1.5,), runs=None):
@@ -532,11 +546,11 @@ def metric_sql(fix, mode="rows", resource=True, runs=RUNS, multipliers=(1.5,)):
 
 @query("classification_metrics", O.statement(
     metric_sql("clicks", multipliers=SWEEP),
-    f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 5)}, {rs('separation_score', 5)}, tp, fp, fn, tn, "
+    f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 11)}, {rs('separation_score', 11)}, tp, fp, fn, tn, "
     + ", ".join(rs(m) for m in O.METRIC_NAMES) + " FROM metric"))
 def classification_metrics(spark, sf):
     return metric_table(spark, sf, multipliers=SWEEP).select(
-        *O.CKEY.split(", "), "multiplier", r("threshold_value", 5), r("separation_score", 5), *E.COUNTS,
+        *O.CKEY.split(", "), "multiplier", r("threshold_value", 11), r("separation_score", 11), *E.COUNTS,
         *[r(m) for m in O.METRIC_NAMES])
 
 

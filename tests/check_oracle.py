@@ -18,6 +18,8 @@ from logsieve.session import local_session  # noqa: E402
 
 KINDS = {"int32": "int", "int64": "bigint", "Int32": "int", "Int64": "bigint", "float64": "double"}
 
+SPENT = {}
+
 
 def tables(sf_dir):
     con = duckdb.connect()
@@ -39,7 +41,9 @@ def normal(table):
 
 def compare(spark, con, sf_dir, name, query, sql):
     """An empty text when both agree, else what differs."""
+    start = time.time()
     got = query(spark, sf_dir).toArrow()
+    SPENT[name] = time.time() - start
     if sql is None:
         return "" if got.num_rows else "no rows"
     want = con.execute(sql).to_arrow_table()
@@ -72,5 +76,5 @@ if __name__ == "__main__":
         except Exception as e:
             said = f"{type(e).__name__}: {str(e)[:600]}"
         bad += bool(said)
-        print(f"{'FAIL' if said else 'ok  '} {name} {time.time() - start:.1f}s {said}", flush=True)
+        print(f"{'FAIL' if said else 'ok  '} {name} {SPENT.get(name, 0):.1f}s of {time.time() - start:.1f}s {said}", flush=True)
     print(f"{bad} of {len(only or qs)} failed")
