@@ -83,28 +83,38 @@ def grow(points, trees, sample, rng):
     return feature.reshape(trees, nodes), value.reshape(trees, nodes)
 
 
-def depth_score(points, feature, value, sample, chunk=8_192):
-    """2 ** (-mean path length / c(sample)) of each point."""
+def depth_score(points, feature, value, sample, rows_at_once=4_096, cells=65_536):
+    """2 ** (-mean path length / c(sample)) of each point.
+
+    Leaves hand their path length down to the last level, so every point takes the same number of steps and several
+    trees are walked in one array operation.
+    """
     trees, nodes = feature.shape
     depth = int(np.log2(nodes + 1)) - 1
+    final, leaf = value.copy(), feature < 0
+    for level in range(depth):
+        above, below = (slice(2 ** n - 1, 2 ** (n + 1) - 1) for n in (level, level + 1))
+        ended = np.repeat(leaf[:, above], 2, axis=1)
+        final[:, below] = np.where(ended, np.repeat(final[:, above], 2, axis=1), final[:, below])
+        leaf[:, below] |= ended
+    final, cut = final.ravel(), value.ravel()
     norm = max(float(path_length(sample)), 1e-12)
     out = np.empty(len(points))
-    for first in range(0, len(points), chunk):
-        block = np.ascontiguousarray(points[first:first + chunk])
-        m, d = block.shape
-        flat = block.ravel()
-        rows = np.arange(m) * d
+    for first in range(0, len(points), rows_at_once):
+        block = np.ascontiguousarray(points[first:first + rows_at_once].T)
+        m = block.shape[1]
+        flat, row = block.ravel(), np.arange(m, dtype=np.int32)
+        column = (np.maximum(feature, 0).astype(np.int32) * m).ravel()
         total = np.zeros(m)
-        for t in range(trees):
-            f, v = feature[t], value[t]
-            node = np.zeros(m, np.int64)
+        step = max(1, cells // m)
+        for t in range(0, trees, step):
+            root = (np.arange(t, min(t + step, trees), dtype=np.int32) * nodes)[:, None]
+            node = np.repeat(root, m, axis=1)
             for _ in range(depth):
-                split = f[node]
-                inner = split >= 0
-                right = flat[rows + np.maximum(split, 0)] > v[node]
-                node = np.where(inner, 2 * node + 1 + right, node)
-            total += v[node]
-        out[first:first + chunk] = np.exp2(-total / trees / norm)
+                right = flat[column[node] + row] > cut[node]
+                node = 2 * node - (root - 1) + right
+            total += final[node].sum(axis=0, dtype=np.float64)
+        out[first:first + rows_at_once] = np.exp2(-total / trees / norm)
     return out
 
 

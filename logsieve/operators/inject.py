@@ -18,16 +18,15 @@ def smallest(pool: DataFrame, n: int, runs: list[int], purpose: str, seed: int,
     ``pool`` has ``run`` and ``event_key``. The cut keys come from radix selection, so the condition compares each
     row with one literal of its run: nothing is sorted, joined or shuffled.
     """
-    chosen = F.lit(False)
     if n <= 0:
-        return chosen
+        return F.lit(False)
     h = S.hash32(purpose, seed, F.col("run"), F.col("event_key"))
     keyed = pool.select(F.col("run").cast("string").alias("g"), h.alias("v"), F.col("event_key").alias("tie"))
     last = scale.keys_at(keyed, {r: (str(r), n - 1) for r in runs}, 0, S.HASH_RANGE - 1, rows)
-    for r, (v, tie) in last.items():
-        within = (h < v) | ((h == v) & (F.col("event_key") <= tie))
-        chosen = F.when(F.col("run") == r, within).otherwise(chosen)
-    return chosen
+    bounds = [c for r, (v, tie) in last.items()
+              for c in (F.lit(r), F.struct(F.lit(v).cast("bigint").alias("h"), F.lit(tie).alias("k")))]
+    return (F.struct(h.alias("h"), F.col("event_key").alias("k"))
+            <= F.element_at(F.create_map(*bounds), F.col("run")))
 
 
 def with_runs(log: DataFrame, runs: list[int]) -> DataFrame:

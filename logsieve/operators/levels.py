@@ -69,15 +69,15 @@ def usable_groups(ranges: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFram
 
 
 def scaled_features(grouped: DataFrame, ranges: DataFrame, feature_sets: dict = FEATURE_SETS,
-                    jitter: str | None = None, seed: int = 7) -> DataFrame:
+                    jitter: str | None = None, seed: int = 7, groups: int | None = None) -> DataFrame:
     """Replace the features by (x - train minimum) / (train range + 1e-8) as float32; drops groups not in ``ranges``.
 
-    n and n_train of the group come along.
+    n and n_train of the group come along. ``groups`` is the size of a stored ``ranges``.
 
     ``jitter`` names a noise draw of N(0, 1e-6) added per row, level and feature; None adds none.
     """
     keys = group_keys(grouped)
-    rows = scale.lookup_join(grouped, ranges.withColumn("_in", F.lit(True)), keys, "event_key")
+    rows = scale.lookup_join(grouped, ranges.withColumn("_in", F.lit(True)), keys, "event_key", groups)
     rows = rows.where(F.col("_in"))
     out = {}
     for c in features_of(feature_sets):

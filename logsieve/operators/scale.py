@@ -86,11 +86,13 @@ def part_heavy(df: DataFrame, keys: list[str], order: list[str], limit: int = HO
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
-            limit: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+            limit: int = HOT_ROWS, total: int | None = None, whole: dict[str, Column] | None = None) -> DataFrame:
     """Add running sums (current row included) per ``keys`` along ``order``, which must be a total order.
 
-    ``total`` saves counting the rows when their number is known.
+    ``whole`` adds aggregates over all rows of the key. ``total``, the number of rows or an upper bound of it, saves
+    counting them.
     """
+    whole = whole or {}
     light, hot = part_heavy(df, keys, order, limit, total)
 
     def frame(extra):
@@ -98,6 +100,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     out = light.withColumns({name: F.sum(c).over(frame([])) for name, c in sums.items()})
+    if whole:
+        out = out.withColumns({name: c.over(Window.partitionBy(*keys)) for name, c in whole.items()})
     if hot is None:
         return out
     earlier = (Window.partitionBy(*keys).orderBy("_seg")
@@ -108,7 +112,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
                                         for n in sums]))
     hot = hot.withColumns({name: F.sum(c).over(frame(["_seg"])) for name, c in sums.items()})
     hot = hot.join(F.broadcast(offsets), [*keys, "_seg"])
-    hot = hot.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).select(*out.columns)
+    hot = hot.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
+    if whole:
+        # One row per heavy key.
+        facts = hot.groupBy(*keys).agg(*[c.alias(n) for n, c in whole.items()])
+        hot = hot.join(F.broadcast(facts), keys)
+    hot = hot.select(*out.columns)
     return out.unionByName(hot)
 
 
@@ -117,9 +126,12 @@ def lookup_join(left: DataFrame, table: DataFrame, on: list[str], salt: str,
     """Left join to a lookup table with unique keys.
 
     Up to ``limit`` rows the table is broadcast and ``left`` is not shuffled. A larger one is joined by shuffle with
-    every key spread over salts taken from the ``salt`` column, so that a hot key does not end in one task.
+    every key spread over salts taken from the ``salt`` column, so that a hot key does not end in one task. ``rows``
+    is the size of a stored table or an upper bound; without it the table is stored here and counted.
     """
-    rows = table.count() if rows is None else rows
+    if rows is None:
+        table = materialise(table)
+        rows = table.count()
     if rows <= limit:
         return left.join(F.broadcast(table), on, "left")
     table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))

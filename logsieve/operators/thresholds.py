@@ -40,11 +40,13 @@ def score_histogram(scores: DataFrame, keys: list[str], bins: int = MAX_POINTS)
     into ``bins`` equal ranges that remember the sum and the sum of squares of their scores.
     """
     distinct = scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
-    facts = scores.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    sizes = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
-    sizes = scale.materialise(facts.join(sizes, keys))
-    large = sizes.where(F.col("_distinct") > bins)
-    count = large.count()
+    if scores.count() > bins:
+        sizes = scale.materialise(distinct.groupBy(*keys).agg(
+            F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count(F.lit(1)).alias("_distinct")))
+        large = sizes.where(F.col("_distinct") > bins)
+        count = large.count()
+    else:
+        count = 0
     if count == 0:
         return distinct.select(*keys, F.col("score").alias("bin"), "n", (F.col("n") * F.col("score")).alias("total"),
                                (F.col("n") * F.col("score") * F.col("score")).alias("squares"))
@@ -168,11 +170,11 @@ def gmm_limits(scores: DataFrame, bins: int = MAX_POINTS) -> DataFrame:
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float],
                     limit: int = scale.HOT_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles per key; equal values are counted first, long keys ranked in segments."""
-    counted = scale.materialise(rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w")))
-    totals = scale.materialise(counted.groupBy(*keys).agg(F.sum("w").alias("_n")))
-    ranked = scale.running(counted, keys, ["v"], {"end": F.col("w")}, limit)
-    ranked = ranked.withColumn("_salt_by", F.col("v").cast("string"))
-    ranked = scale.lookup_join(ranked, totals, keys, "_salt_by")
+    bound = rows.count()
+    counted = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    if bound > limit:
+        counted, bound = scale.materialise(counted), None
+    ranked = scale.running(counted, keys, ["v"], {"end": F.col("w")}, limit, bound, {"_n": F.sum("w")})
     out, parts = [], []
     for name, q in points.items():
         at = (F.col("_n") - 1) * F.lit(q)

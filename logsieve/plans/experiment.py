@@ -61,10 +61,11 @@ def score(feats: DataFrame, feature_sets: dict = levels.FEATURE_SETS, which=leve
     grouped = levels.with_levels(feats, which).select(*keep, *names)
     grouped = scale.materialise(grouped)
     ranges = scale.materialise(levels.group_ranges(grouped, feature_sets))
-    usable = levels.usable_groups(ranges, min_samples)
+    usable, groups = levels.usable_groups(ranges, min_samples), ranges.count()
 
     def scaled(draw):
-        return levels.scaled_features(grouped, usable, feature_sets, draw if jitter else None, seed)
+        return levels.scaled_features(grouped, usable, feature_sets, draw if jitter else None, seed,
+                                      groups)
 
     rows = scale.materialise(scaled("score"))
     fit_rows = scaled("fit") if jitter else rows
@@ -87,7 +88,7 @@ def score(feats: DataFrame, feature_sets: dict = levels.FEATURE_SETS, which=leve
     scores = reduce(DataFrame.unionByName, out)
 
     small = scale.lookup_join(grouped.select(*keep), usable.withColumn("_in", F.lit(True))
-                              .select(*levels.group_keys(grouped), "_in"), levels.group_keys(grouped), "event_key")
+                              .select(*levels.group_keys(grouped), "_in"), levels.group_keys(grouped), "event_key", groups)
     small = small.where(F.col("_in").isNull()).drop("_in")
     combos = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(fs).alias("feature_set"))
                        for m in detectors for fs in feature_sets])

@@ -56,7 +56,10 @@ def cut(spark, sf, name="clicks"):
 
 
 def poisoned(spark, sf, name="clicks", runs=None):
-    return inject.inject_anomalies(cut(spark, sf, name), runs=RUNS if runs is None else runs)
+    # Stored once ordered: cutting and marking scan it several times.
+    log = scale.materialise(ordered(spark, sf, name))
+    log = split.split(log, "cases" if name == "orders" else "rows")
+    return inject.inject_anomalies(log, runs=RUNS if runs is None else runs)
 
 
 def feats(spark, sf, name="clicks", poison=True, runs=None):
@@ -298,7 +301,7 @@ def scaled(spark, sf, sets, fix="clicks", which=levels.LEVELS):
     g = grouped(spark, sf, fix, which).select("event_key", "split", *levels.GROUP, *levels.features_of(chosen))
     g = scale.materialise(g)
     ranges = scale.materialise(levels.usable_groups(levels.group_ranges(g, chosen)))
-    return levels.scaled_features(g, ranges, chosen)
+    return levels.scaled_features(g, ranges, chosen, groups=ranges.count())
 
 
 def vectors(spark, sf, sets, which, fix="clicks"):

@@ -10,6 +10,7 @@ def local_session(cores: int | str = "*", name: str = "logsieve", memory: str =
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", "8")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC"))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -53,7 +53,7 @@ def read_event_log(spark: SparkSession, path: str, spec: EventLogSpec, bad: str
     time = parse_utc(F.col(f"`{spec.time}`"), "null" if bad == "drop" else "fail")
     content = F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]))
     rows = raw.withColumn("_content", content).withColumn("_time", time).where(F.col("_time").isNotNull())
-    if "_event_key" not in spec.event_key and not spec.event_key:
+    if not spec.event_key:
         rows = number_copies(rows)
         spec = dataclasses.replace(spec, event_key="_event_key")
     return to_canonical(rows.withColumn(spec.time, F.col("_time")), spec)
