@@ -61,6 +61,6 @@ def _carry_rework(rows: DataFrame, keys: list[str], stretch: int) -> DataFrame:
     before = (Window.partitionBy(*case, "activity").orderBy("_stretch")
               .rowsBetween(Window.unboundedPreceding, -1))
     earlier = counts.select(*keys, "activity", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"))
-    rows = scale.lookup_join(rows, earlier, [*keys, "activity"], "event_key")
+    rows = scale.lookup_join(rows, earlier, [*keys, "activity"])
     return (rows.withColumn("act_rework_count", F.col("act_rework_count") + F.coalesce("_before", F.lit(0)))
             .drop("_before"))

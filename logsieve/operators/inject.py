@@ -70,15 +70,15 @@ def inject_anomalies(log: DataFrame, rate: float = RATE, runs=tuple(range(1, 11)
     rows = rows.withColumn("time_label", late.cast("int"))
 
     # Own label number, then the picked one: numbers run from 1 to k and the own one is skipped.
-    rows = scale.lookup_join(rows, labels, ["activity"], "event_key", k)
+    rows = scale.lookup_join(rows, labels, ["activity"], k)
     step = F.floor(S.uniform("label", seed, F.col("run"), F.col("event_key")) * (k - 1)).cast("bigint")
     pick = F.when(step + 1 >= F.col("_i"), step + 2).otherwise(step + 1)
     rows = rows.withColumn("_i", F.when(F.col("activity_label") == 1, pick)).withColumnRenamed("activity", "_old")
-    rows = scale.lookup_join(rows, labels, ["_i"], "event_key", k)
+    rows = scale.lookup_join(rows, labels, ["_i"], k)
     rows = rows.withColumn("activity", F.coalesce("activity", "_old"))
 
     # As many stats rows as labels at most.
-    rows = scale.lookup_join(rows, stats, ["activity"], "event_key", k)
+    rows = scale.lookup_join(rows, stats, ["activity"], k)
     reach = ((F.coalesce("_mean", F.lit(0.0)) + F.coalesce("_std", F.lit(0.0)))
              * (1.0 + S.uniform("reach", seed, F.col("run"), F.col("event_key"))))
     shift = F.greatest(F.lit(0.0), reach - S.seconds("_gap_us"))

@@ -77,7 +77,7 @@ def scaled_features(grouped: DataFrame, ranges: DataFrame, feature_sets: dict =
     ``jitter`` names a noise draw of N(0, 1e-6) added per row, level and feature; None adds none.
     """
     keys = group_keys(grouped)
-    rows = scale.lookup_join(grouped, ranges.withColumn("_in", F.lit(True)), keys, "event_key", groups)
+    rows = scale.lookup_join(grouped, ranges.withColumn("_in", F.lit(True)), keys, groups)
     rows = rows.where(F.col("_in"))
     out = {}
     for c in features_of(feature_sets):

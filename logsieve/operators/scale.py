@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,18 +25,21 @@ SEGMENT_ROWS = 1_000_000
 MAX_SEGMENTS = 20_000
 # Largest lookup table that is broadcast.
 BROADCAST_ROWS = 200_000
-LOOKUP_SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or a scratch one in local mode."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` or, in local mode without it, a scratch folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="logsieve-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _scratch()
+
+
+@cache
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="logsieve-")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -121,22 +125,32 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     return out.unionByName(hot)
 
 
-def lookup_join(left: DataFrame, table: DataFrame, on: list[str], salt: str,
-                rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join to a lookup table with unique keys.
+def lookup_join(left: DataFrame, table: DataFrame, on: list[str], rows: int | None = None, how: str = "left",
+                limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join to a lookup table with one or few rows per key.
 
-    Up to ``limit`` rows the table is broadcast and ``left`` is not shuffled. A larger one is joined by shuffle with
-    every key spread over salts taken from the ``salt`` column, so that a hot key does not end in one task. ``rows``
-    is the size of a stored table or an upper bound; without it the table is stored here and counted.
+    Up to ``limit`` rows the table is broadcast and ``left`` is not shuffled. A larger one is joined by shuffle, but
+    keys that are heavy in ``left`` are taken out first: they are few, so their table rows are broadcast. ``rows`` is
+    the size of a stored table or an upper bound; without it the table is stored here and counted.
     """
     if rows is None:
         table = materialise(table)
         rows = table.count()
     if rows <= limit:
-        return left.join(F.broadcast(table), on, "left")
-    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(LOOKUP_SALTS)).cast("int"))
-    return left.join(table, [*on, "_salt"], "left").drop("_salt")
+        return left.join(F.broadcast(table), on, how)
+    # Rows without key match nothing and would all meet in one task.
+    keyed = reduce(lambda a, c: a & F.col(c).isNotNull(), on, F.lit(True))
+    heavy, _ = heavy_keys(left.where(keyed), on, hot_rows)
+    if heavy is None:
+        out = left.where(keyed).join(table, on, how)
+    else:
+        found = F.broadcast(heavy.select(*on))
+        hot = left.join(found, on, "left_semi").join(F.broadcast(table.join(found, on, "left_semi")), on, how)
+        out = left.where(keyed).join(found, on, "left_anti").join(table, on, how).unionByName(hot)
+    if how == "inner":
+        return out
+    blanks = {c: F.lit(None).cast(t) for c, t in table.dtypes if c not in on}
+    return out.unionByName(left.where(~keyed).withColumns(blanks) if blanks else left.where(~keyed))
 
 
 def keys_at(df: DataFrame, targets: dict, low: int, high: int, rows: int | None = None, take: int = 2_000,

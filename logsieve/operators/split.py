@@ -60,5 +60,5 @@ def chronological_position(log: DataFrame, limit: int = scale.HOT_ROWS) -> DataF
     offsets = scale.running(counts, [], ["_hour"], {"_end": F.col("_n")}, limit)
     offsets = offsets.select("_hour", (F.col("_end") - F.col("_n")).alias("_offset"))
     numbered = scale.running(log, ["_hour"], ["time_us", "event_key"], {"_place": F.lit(1).cast("bigint")}, limit)
-    out = scale.lookup_join(numbered, offsets, ["_hour"], "event_key")
+    out = scale.lookup_join(numbered, offsets, ["_hour"])
     return out.withColumn("position", F.col("_offset") + F.col("_place") - 1).drop("_hour", "_offset", "_place")

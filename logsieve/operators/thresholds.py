@@ -50,8 +50,7 @@ def score_histogram(scores: DataFrame, keys: list[str], bins: int = MAX_POINTS)
     if count == 0:
         return distinct.select(*keys, F.col("score").alias("bin"), "n", (F.col("n") * F.col("score")).alias("total"),
                                (F.col("n") * F.col("score") * F.col("score")).alias("squares"))
-    rows = scale.lookup_join(distinct.withColumn("_salt_by", F.col("score").cast("string")), large, keys,
-                             "_salt_by", count)
+    rows = scale.lookup_join(distinct, large, keys, count)
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.least(F.floor((F.col("score") - F.col("_lo")) / width), F.lit(bins - 1)).cast("double")
     rows = rows.withColumn("bin", F.when(F.col("_distinct").isNotNull(), place).otherwise(F.col("score")))
@@ -210,7 +209,7 @@ def predict(scores: DataFrame, limits: DataFrame) -> DataFrame:
     Rows without score are predicted 0. Limits with a multiplier give one prediction per multiplier.
     """
     keys = score_keys(scores)
-    rows = scale.lookup_join(scores, limits.drop("separation_score"), keys, "event_key") \
+    rows = scale.lookup_join(scores, limits.drop("separation_score"), keys) \
         if "multiplier" not in limits.columns else _predict_all(scores, limits, keys)
     above = F.col("score") > F.coalesce("threshold_value", F.lit(0.0))
     hit = F.when(F.col("model") == "DBSCAN", F.col("score") == 1.0).otherwise(above)
@@ -219,5 +218,5 @@ def predict(scores: DataFrame, limits: DataFrame) -> DataFrame:
 
 def _predict_all(scores, limits, keys):
     sweep = limits.groupBy(*keys).agg(F.collect_list(F.struct("multiplier", "threshold_value")).alias("_l"))
-    rows = scale.lookup_join(scores, sweep, keys, "event_key")
+    rows = scale.lookup_join(scores, sweep, keys)
     return rows.withColumn("_l", F.explode_outer("_l")).select(*scores.columns, "_l.*")

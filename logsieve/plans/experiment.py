@@ -88,7 +88,7 @@ def score(feats: DataFrame, feature_sets: dict = levels.FEATURE_SETS, which=leve
     scores = reduce(DataFrame.unionByName, out)
 
     small = scale.lookup_join(grouped.select(*keep), usable.withColumn("_in", F.lit(True))
-                              .select(*levels.group_keys(grouped), "_in"), levels.group_keys(grouped), "event_key", groups)
+                              .select(*levels.group_keys(grouped), "_in"), levels.group_keys(grouped), groups)
     small = small.where(F.col("_in").isNull()).drop("_in")
     combos = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(fs).alias("feature_set"))
                        for m in detectors for fs in feature_sets])

@@ -26,7 +26,7 @@ def make_log(spark):
     from logsieve.sources.spec import EventLogSpec, to_canonical
 
     def make(rows, resource=True):
-        data = [(f"{i:04d}", c, a, r, s) for i, (c, a, r, s) in enumerate(rows)]
+        data = [(f"{i:04d}", c, a, r, float(s)) for i, (c, a, r, s) in enumerate(rows)]
         df = spark.createDataFrame(data, "key string, c string, a string, r string, s double")
         us = F.floor(F.col("s") * 1e6).cast("bigint")
         df = df.withColumn("t", F.timestamp_add("MICROSECOND", us, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")))

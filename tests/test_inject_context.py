@@ -36,7 +36,7 @@ def test_injection_does_not_depend_on_partitions(make_log):
 
 def test_injection_refuses_impossible_logs(make_log):
     with pytest.raises(ValueError, match="single activity"):
-        inject.inject_anomalies(order.order_events(log_of(make_log, 20, "a")), runs=[1])
+        inject.inject_anomalies(order.order_events(log_of(make_log, 40, "a")), runs=[1])
     single = make_log([(f"c{i}", "ab"[i % 2], "r", i) for i in range(20)])
     with pytest.raises(ValueError, match="not first"):
         inject.inject_anomalies(order.order_events(single), runs=[1])
@@ -79,6 +79,6 @@ def test_large_statistics_are_joined_by_shuffle(make_log, monkeypatch):
     stats = context.fit_context_stats(f)
     plain = context.apply_context_stats(f, stats).orderBy("event_key").toPandas()
     monkeypatch.setattr(context.scale, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(context.scale.lookup_join, "__defaults__", (None, 0))
+    monkeypatch.setattr(context.scale.lookup_join, "__defaults__", (None, "left", 0, 20))
     shuffled = context.apply_context_stats(f, stats).orderBy("event_key").toPandas()
     assert plain.equals(shuffled[plain.columns])

@@ -10,7 +10,7 @@ from logsieve.sources.spec import EventLogSpec, has_resource
 MIXED = [("2024-03-10 02:30:00", dt.datetime(2024, 3, 10, 2, 30)),
          ("2024-03-10T02:30:00.250+02:00", dt.datetime(2024, 3, 10, 0, 30, 0, 250000)),
          ("2024-03-10 02:30:00.123456+0000", dt.datetime(2024, 3, 10, 2, 30, 0, 123456)),
-         ("2024/03/10 02:30:00.5", None),
+         ("2024/03/10 02:30:00.5", dt.datetime(2024, 3, 10, 2, 30, 0, 500000)),
          ("10/03/2024 02:30", dt.datetime(2024, 3, 10, 2, 30)),
          ("2024-03-10", dt.datetime(2024, 3, 10)),
          ("2024-03-10T02:30:00Z", dt.datetime(2024, 3, 10, 2, 30)),

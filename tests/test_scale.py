@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logsieve.operators import scale
@@ -44,21 +45,32 @@ def test_keys_at_with_one_tie_breaker_for_all(spark):
     assert scale.keys_at(df, {"a": ("", 12)}, 0, 100, take=3) == {"a": (5, "same")}
 
 
-def test_lookup_join_by_salted_shuffle(spark):
+def test_lookup_join_by_shuffle_with_heavy_and_null_keys(spark):
     df, _ = table(spark)
-    names = df.groupBy("k").agg(F.max("v").alias("m"))
-    a = scale.lookup_join(df, names, ["k"], "id").orderBy("id").toPandas()
-    b = scale.lookup_join(df, names, ["k"], "id", limit=3).orderBy("id").toPandas()
-    assert a.equals(b[a.columns])
-
-
-def test_shared_dir_comes_from_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", "/tmp/somewhere/")
-        assert scale.shared_dir(spark) == "/tmp/somewhere"
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
+    df = df.withColumn("k", F.when(F.col("k") != "3", F.col("k")))
+    names = df.where("k <> '4'").groupBy("k").agg(F.max("v").alias("m"))
+    for how in ("left", "inner"):
+        a = scale.lookup_join(df, names, ["k"], how=how).orderBy("id").toPandas()
+        b = scale.lookup_join(df, names, ["k"], how=how, limit=3, hot_rows=100).orderBy("id").toPandas()
+        assert a.equals(b[a.columns])
+    assert len(a) < 3000
+
+
+class Session:
+    """As much of a session as is looked at."""
+
+    def __init__(self, master, **conf):
+        self.conf = self
+        self.values = conf
+        self.sparkContext = self
+        self.master = master
+
+    def get(self, key, default):
+        return self.values.get(key.replace(".", "_"), default)
+
+
+def test_shared_dir_comes_from_the_session():
+    assert scale.shared_dir(Session("yarn", spark_checkpoint_dir="hdfs:///shared/")) == "hdfs:///shared"
+    assert scale.shared_dir(Session("local[2]")) == scale.shared_dir(Session("local[4]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scale.shared_dir(Session("yarn"))
