@@ -14,8 +14,8 @@ from logsieve.plans.queries import QUERIES  # noqa: E402
 from logsieve.session import local_session  # noqa: E402
 
 HEADLINE = ["profile_all_levels", "split_by_rows", "inject_time", "feat_trace_pos", "feat_workload_ties",
-            "ctx_all_features", "minmax_scale", "knn_distance", "dbscan_noise", "lof_scores", "iforest_scores",
-            "iqr_threshold_sweep", "gmm_thresholds", "confusion_matrix", "metrics_over_runs", "comparison_wide"]
+            "ctx_all_features", "minmax_scale", "dbscan_noise", "lof_scores", "iforest_scores", "gmm_thresholds",
+            "confusion_matrix"]
 
 
 def main():
@@ -23,7 +23,7 @@ def main():
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, "bench", **{"spark__ui__showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    wanted = sys.argv[1:] or [*HEADLINE, "experiment_iforest"]
+    wanted = sys.argv[1:] or HEADLINE
     jobs = dict(QUERIES, experiment_iforest=lambda s, d: click_experiment(s, d, runs=(1,)))
     times = {}
     for name in wanted:

@@ -370,7 +370,7 @@ _parts, _key, _x = O.neighbours(vector_sql(_KD_SETS, _KD_LEVELS), _KD_SETS, 5)
             f"USING ({_key}, {_x}) JOIN kd USING ({_key}, pid)"))
 def knn_distance(spark, sf):
     # Small cells, so that groups of a test table are already cut into several.
-    out = D.neighbour_distance(vectors(spark, sf, _KD_SETS, _KD_LEVELS), leaf=512)
+    out = D.neighbour_distance(vectors(spark, sf, _KD_SETS, _KD_LEVELS), leaf=1_024)
     return out.select("event_key", *levels.GROUP, "feature_set", squash("score").alias("score"))
 
 
