@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache, reduce
@@ -28,11 +29,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` or, in local mode without it, a scratch folder."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` or, in one local JVM without it, a scratch folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return _scratch()
 
@@ -47,7 +48,31 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logsieve/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._logsieve_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote and that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_logsieve_path", None)
+        if path is not None:
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
+            df._logsieve_path = None
+
+
+def filter_by(df: DataFrame, keys: DataFrame, on: list[str], limit: int | None = None) -> DataFrame:
+    """Rows of ``df`` whose key stands in ``keys`` (nulls equal each other).
+
+    Up to ``limit`` keys, counted, are broadcast, so the wide rows of ``df`` are not shuffled; more are joined by shuffle.
+    """
+    keys = materialise(keys.select(*[F.col(c).alias(f"_k_{c}") for c in on]))
+    if keys.count() <= (BROADCAST_ROWS if limit is None else limit):
+        keys = F.broadcast(keys)
+    return df.join(keys, reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on]), "left_semi")
 
 
 def heavy_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS,
