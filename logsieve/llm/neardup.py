@@ -4,8 +4,9 @@
    samples, and an odd sketch: samples are hashed into 1,024 bits, each toggling one bit. The bits in which two sketches
    differ estimate how many samples differ, so high similarities are told apart precisely by XOR and a bit count.
 2. Documents with the same word sequence are one class; only classes go on.
-3. In each band bucket all members are compared with two of them (the least and the greatest identity). Pairs whose
-   sketches reach ``SCREEN`` are confirmed on their full shingle sets.
+3. In each band bucket the sketches of all members are compared with two of them (the least and the greatest identity).
+   Of those that reach ``SCREEN`` each class keeps two, the least and the nearest; these pairs are confirmed on their
+   full shingle sets.
 4. Linked classes form components. Buckets that still hold several components are compared in blocks, across components
    only, so nothing is lost when two members are no match for the bucket's first or last one. In a bucket of n copies of
    one text this leaves n comparisons instead of n squared.
@@ -24,6 +25,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,14 +132,22 @@ def _sets(batches):
 
 
 def _screen(batches):
-    """Pairs whose sketches are near."""
+    """(gid, hub, similarity) for rows whose sketch is near that of the bucket's first or last member."""
     most = _most_bits(SCREEN)
+
+    def bits(column):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BITS // 16)
+
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BITS // 16)
-                    for c in ("sa", "sb"))
-            near = _POPCOUNT[x ^ y].sum(1, dtype=np.int32) <= most
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+        if not batch.num_rows:
+            continue
+        own = bits(batch.column("sketch"))
+        for hub in ("low", "high"):
+            apart = _POPCOUNT[own ^ bits(batch.column(f"{hub}_sketch"))].sum(1, dtype=np.int32)
+            near = (apart <= most) & pc.not_equal(batch.column("gid"), batch.column(hub)).to_numpy(False)
+            rows = batch.filter(pa.array(near))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("gid"), rows.column(hub), pa.array(similarity(apart[near]))], ["gid", "hub", "estimate"])
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -162,17 +172,16 @@ def _across(batches):
     most = _most_bits(SCREEN)
 
     def pairs(rows):
-        gid, root, sketch, hub, block = (pa.chunked_array([r.column(c) for r in rows]).to_pylist()
-                                         for c in ("gid", "root", "sketch", "hub", "block"))
+        gid, root, sketch, block = (pa.chunked_array([r.column(c) for r in rows]).to_pylist()
+                                    for c in ("gid", "root", "sketch", "block"))
         bits = np.frombuffer(b"".join(sketch), np.uint16).reshape(-1, BITS // 16)
         names = {r: i for i, r in enumerate(dict.fromkeys(root))}
-        comp, hub = np.array([names[r] for r in root]), np.array(hub)
+        comp = np.array([names[r] for r in root])
         i_block, block = rows[0].column("i")[0].as_py(), np.array(block)
         same = i_block == rows[0].column("j")[0].as_py()
         left = np.flatnonzero(block == i_block)
         for p in left:
-            others = (comp != comp[p]) & ~(hub | hub[p])
-            others &= (np.arange(len(comp)) > p) if same else (block != i_block)
+            others = (comp != comp[p]) & ((np.arange(len(comp)) > p) if same else (block != i_block))
             others = np.flatnonzero(others)
             near = others[_POPCOUNT[bits[others] ^ bits[p]].sum(1, dtype=np.int32) <= most]
             yield from ((min(gid[p], gid[q]), max(gid[p], gid[q])) for q in near)
@@ -208,20 +217,22 @@ def link(docs: DataFrame) -> DataFrame:
     keys = members.select("gid", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("gid").alias("low"),
                                       F.max("gid").alias("high")).where("n > 1")
-    shared = scale.materialise(keys.join(buckets, "key"))
-    pairs = shared.select("gid", F.explode(F.array("low", "high")).alias("hub")).where("gid != hub").select(
-        F.least("gid", "hub").alias("a"), F.greatest("gid", "hub").alias("b")).distinct()
+    shared = scale.materialise(keys.join(buckets, "key").select("key", "n", "gid", "low", "high"))
     sketches = members.select("gid", "sketch")
-    pairs = (pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-             .mapInArrow(_screen, "a binary, b binary"))
+    near = (shared.select("gid", "low", "high").distinct().join(sketches, "gid")
+            .join(sketches.toDF("low", "low_sketch"), "low").join(sketches.toDF("high", "high_sketch"), "high")
+            .mapInArrow(_screen, "gid binary, hub binary, estimate double"))
+    # Two hubs per class: the least, on which the members of a large group agree, and the nearest.
+    hubs = near.groupBy("gid").agg(F.min("hub").alias("one"), F.max(F.struct("estimate", "hub")).alias("two"))
+    pairs = hubs.select("gid", F.explode(F.array("one", F.col("two.hub"))).alias("hub")).select(
+        F.least("gid", "hub").alias("a"), F.greatest("gid", "hub").alias("b")).distinct()
     pairs = scale.materialise(pairs)
     links = _confirm(pairs, docs, members)
     roots = components(links)
 
-    # Buckets of more than two classes that still hold several components.
-    many = shared.where("n > 2").join(roots, F.col("gid") == F.col("node"), "left").select(
-        "key", "n", "gid", F.coalesce("root", "gid").alias("root"),
-        ((F.col("gid") == F.col("low")) | (F.col("gid") == F.col("high"))).alias("hub"))
+    # Buckets that still hold several components.
+    many = shared.join(roots, F.col("gid") == F.col("node"), "left").select(
+        "key", "n", "gid", F.coalesce("root", "gid").alias("root"))
     many = scale.materialise(many)
     still = (many.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h"))
              .where(F.col("_l") != F.col("_h")).select("key"))
@@ -232,7 +243,7 @@ def link(docs: DataFrame) -> DataFrame:
     # Each row meets every block of its bucket once: blocks * n rows in place of n * n pairs.
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "gid", "root",
-        "sketch", "hub")
+        "sketch")
     cross = (open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
              .mapInArrow(_across, "a binary, b binary").distinct())
     cross = scale.materialise(cross)
