@@ -35,14 +35,15 @@ BLOCK = 65_536
 SEGMENT = 1_000_000
 LEVEL = 3
 END = 1
-KEPT_WORDS = 400_000
+KEPT_WORDS = 260_000
 
 
 class Encoder:
     """Ids of texts from a tokenizer that drops white space, a distinct word at a time.
 
     Such a tokenizer treats the stretches between white space by themselves, so a text's ids are those of its words in
-    turn. Every distinct word goes to the tokenizer once; at most ``KEPT_WORDS`` of them are remembered.
+    turn. A distinct word goes to the tokenizer once for as long as it is remembered: ``KEPT_WORDS`` words, and as many
+    from before, of which those that come again are taken over.
     """
 
     def __init__(self, path: str):
@@ -53,66 +54,94 @@ class Encoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in ".,"}
+        self.index, self.flat, self.ends = {}, array("I"), array("q", [0])
         self._forget()
 
     def _forget(self):
+        self.old = self.index, self.flat, self.ends
         self.index, self.flat, self.ends = {}, array("I"), array("q", [0])
 
+    def _store(self, words: list[str], ids, lengths) -> None:
+        at = len(self.ends) - 1
+        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+        ends = np.cumsum(np.asarray(lengths, np.int64)) + len(self.flat)
+        self.flat.frombytes(np.asarray(ids, np.uint32).tobytes())
+        self.ends.frombytes(ends.tobytes())
+
+    def _recall(self, words: list[str]) -> list[str]:
+        """Take over the words of the generation before; those left are new."""
+        index, flat, ends = self.old
+        known = [w for w in words if w in index]
+        if known:
+            place = np.fromiter(map(index.__getitem__, known), np.int64, len(known))
+            flat, ends = np.frombuffer(flat, np.uint32), np.frombuffer(ends, np.int64)
+            lengths = ends[place + 1] - ends[place]
+            before = np.cumsum(lengths) - lengths
+            self._store(known, flat[np.repeat(ends[place] - before, lengths) + np.arange(lengths.sum())], lengths)
+        return [w for w in words if w not in index]
+
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words.
 
-        Words of letters, with one full stop or comma at most, are encoded many to a call: each run of letters ends with
-        a closing token, which tells them apart. All others are encoded one by one.
+        Words of letters, with one full stop or comma at most, need no splitting: those of ASCII letters go to the
+        tokenizer's model as they are, the others many to a call, since each run of letters ends with a closing token,
+        which tells them apart. All other words are encoded one by one.
         """
-        plain, odd = [], []
+        tokenize, marks = self.tokenizer.model.tokenize, self.marks
+        ids, wide, odd = {}, [], []
         for w in words:
-            stem = w[:-1] if w[-1] in ".," else w
-            (plain if stem.isalpha() and stem.lower().isalpha() else odd).append(w)
-        ids = {}
-        ascii_words = [w for w in plain if w.isascii()]
-        model = self.tokenizer.model
-        for w in ascii_words:
-            stem = w[:-1] if w[-1] in ".," else w
-            got = [t.id for t in model.tokenize(stem.lower())]
-            ids[w] = got if stem is w or len(stem) == len(w) else got + self.marks[w[-1]]
-        rest = [w for w in plain if not w.isascii()]
-        for k in range(0, len(rest), 256):
-            some = rest[k:k + 256]
-            stems = [w[:-1] if w[-1] in ".," else w for w in some]
-            got = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.closes[got]) + 1
+            stem = w[:-1] if w[-1] in marks else w
+            if not stem.isalpha():
+                odd.append(w)
+            elif stem.isascii():
+                ids[w] = [t.id for t in tokenize(stem.lower())]
+                if stem is not w:
+                    ids[w] += marks[w[-1]]
+            elif stem.lower().isalpha():
+                wide.append((w, stem))
+            else:
+                odd.append(w)
+        for k in range(0, len(wide), 256):
+            some = wide[k:k + 256]
+            got = np.array(self.tokenizer.encode(" ".join(x for _, x in some), add_special_tokens=False).ids, np.int64)
+            cuts = (np.flatnonzero(self.closes[got]) + 1).tolist()
             if len(cuts) == len(some):
-                for w, stem, part in zip(some, stems, np.split(got, cuts[:-1]), strict=True):
-                    ids[w] = part.tolist() + (self.marks[w[-1]] if len(stem) < len(w) else [])
+                got = got.tolist()
+                for (w, stem), a, b in zip(some, [0, *cuts], cuts, strict=False):
+                    ids[w] = got[a:b] + (marks[w[-1]] if stem is not w else [])
             else:
-                odd += some
-        if odd:
-            for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-                ids[w] = e.ids
-        for w in words:
-            self.index[w] = len(self.ends) - 1
-            self.flat.extend(ids[w])
-            self.ends.append(len(self.flat))
+                odd += [w for w, _ in some]
+        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else [], strict=True):
+            ids[w] = e.ids
+        self._store(list(ids), [i for x in ids.values() for i in x], [len(x) for x in ids.values()])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each closed by the end id, and where each text starts."""
         starts, codes, dictionary = W.split_words(texts)
         words = dictionary.to_pylist()
-        if len(self.index) > KEPT_WORDS:
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > KEPT_WORDS and self.index:
             self._forget()
-        if new := [w for w in words if w not in self.index]:
-            self._learn(new)
+            new = words
+        new = self._recall(new)
+        for k in range(0, len(new), 20_000):
+            self._learn(new[k:k + 20_000])
         place = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else \
             np.zeros(0, np.uint32)
-        first, sizes = ends[place], ends[place + 1] - ends[place]
+        sizes = (ends[place + 1] - ends[place]).astype(np.int32)
         lengths = sizes[codes]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(first[codes] - before[:-1], lengths) + np.arange(before[-1])
+        before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        # Where each id stands in ``flat``: its word's first id, then one further per id.
+        source = np.repeat((ends[place].astype(np.int32)[codes] - before[:-1]).astype(np.int32), lengths)
+        source += np.arange(before[-1], dtype=np.int32)
+        ids = flat[source]
         text_starts = before[starts] + np.arange(len(starts))
         out = np.full(int(text_starts[-1]), END, np.uint32)
-        # Every id moves on by the number of end ids before it.
-        out[np.arange(before[-1]) + np.repeat(np.arange(len(starts) - 1), np.diff(before[starts]))] = flat[source]
+        # Each text's end id stays where it is; the ids fill the places between.
+        free = np.ones(len(out), bool)
+        free[text_starts[1:] - 1] = False
+        out[free] = ids
         return out, text_starts
 
 
@@ -180,7 +209,7 @@ def _write(path: str, mode: str, kind: pa.DataType):
                 ["file", "segment", "first", "n_ids", "mode", "doc_ids", "doc_starts", "doc_sizes", "block_ids", "plane_ends",
                  "crc32", "payload"])
 
-        for batch in W.slices(batches, limit=8 << 20):
+        for batch in W.slices(batches, limit=6 << 20):
             ids, starts = tokens.encode(batch.column("text"))
             names, at = batch.column("doc_id").to_pylist(), 0
             while at < len(names):
@@ -209,28 +238,23 @@ def write_ids(docs: DataFrame, target: str, tokenizer: str, mode: str = "byte")
     rows.mapInArrow(_write(tokenizer, mode, to_arrow_type(kind)), _schema(kind.simpleString())).write.parquet(target)
 
 
-def _read(kind: pa.DataType):
+def _read(kind: pa.DataType, whole: bool):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 if zlib.crc32(row["payload"]) != row["crc32"]:
                     raise ValueError(f"segment {row['segment']} of file {row['file']} is damaged")
                 ids = unpack(row["payload"], row["plane_ends"], row["block_ids"], row["mode"])
                 parts = [ids[s:s + n] for s, n in zip(row["doc_starts"], row["doc_sizes"], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], kind),
-                     pa.array([row["first"] + s for s in row["doc_starts"]], pa.int64()),
-                     pa.array(row["doc_sizes"], pa.int64()),
-                     pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()),
-                     pa.array(parts, pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-    return run
-
-
-def _digest(kind: pa.DataType):
-    def run(batches):
-        for batch in _read(kind)(batches):
-            yield batch.select(["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = {"doc_id": pa.array(row["doc_ids"], kind),
+                           "start": pa.array([row["first"] + s for s in row["doc_starts"]], pa.int64()),
+                           "n_tokens": pa.array(row["doc_sizes"], pa.int64()),
+                           "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64())}
+                if whole:
+                    ends = np.concatenate([row["doc_starts"], [row["n_ids"]]]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_pydict(columns)
     return run
 
 
@@ -246,9 +270,8 @@ def read_ids(spark: SparkSession, source: str, ids: bool = True) -> DataFrame:
     if rows.select("file").distinct().count() <= scale.BROADCAST_ROWS:
         files = F.broadcast(files)
     rows = rows.join(files, "file").withColumn("first", F.col("first") + F.col("_before")).drop("_before")
-    run = _read if ids else _digest
     schema = f"doc_id {element.simpleString()}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return rows.mapInArrow(run(to_arrow_type(element)), schema)
+    return rows.mapInArrow(_read(to_arrow_type(element), ids), schema)
 
 
 def new_target(spark: SparkSession) -> str:
