@@ -54,27 +54,31 @@ def _tolerated(length):
     return np.floor(TOLERANCE * length + 1e-9).astype(np.int64)
 
 
-def _embed(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, walk: int) -> np.ndarray:
-    """CGK embedding of windows of at most ``length`` symbols: 3 * length places each."""
-    at, out = starts.copy(), np.full((3 * length, len(starts)), _PAD, np.int64)
-    for t, salt in enumerate(W.draws(3 * length, 31 + walk)):
-        inside = at < ends
-        now = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], _PAD)
-        out[t] = now
-        at += (W.mix(now.astype(np.uint64) * W.PRIME + salt) >> np.uint64(63)).astype(np.int64)
+def _spread(symbols: np.ndarray) -> np.ndarray:
+    return W.mix(symbols.astype(np.uint64) * W.PRIME)
+
+
+def _embed(symbols: np.ndarray, spread: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, walk: int) -> np.ndarray:
+    """The first 2 * length of the 3 * length places of the CGK embedding of windows of at most ``length`` symbols."""
+    at, out = starts.copy(), np.full((2 * length, len(starts)), _PAD, np.int64)
+    for t, salt in enumerate(W.draws(2 * length, 31 + walk) | np.uint64(1)):
+        place = np.minimum(at, len(symbols) - 1)
+        out[t] = np.where(at < ends, symbols[place], _PAD)
+        # The top bit of a product with an odd number: random per step and symbol. Past the end nothing is read any more.
+        at += ((spread[place] * salt) >> np.uint64(63)).astype(np.int64)
     return out
 
 
-def _keys(symbols, starts, ends, length) -> np.ndarray:
-    """One key per table (rows) and window (columns)."""
+def _keys(symbols, spread, starts, ends, length) -> np.ndarray:
+    """One key per table (rows) and window (columns), from places that even a slow walk fills."""
     keys, rng = [], np.random.default_rng(length)
     for walk in range(WALKS):
-        embedded = _embed(symbols, starts, ends, length, walk)
-        # Places that a window of this length reaches for sure in expectation: the first two thirds.
+        embedded = _embed(symbols, spread, starts, ends, length, walk)
         for _ in range(TABLES // WALKS):
             key = np.full(len(starts), len(keys), np.uint64)
             for place in rng.choice(2 * length, SAMPLES, replace=False):
-                key = W.mix(key * W.PRIME + embedded[place].astype(np.uint64))
+                key = (key ^ embedded[place].astype(np.uint64)) * W.PRIME
+                key ^= key >> np.uint64(29)
             keys.append(key)
     return np.array(keys)
 
@@ -118,7 +122,7 @@ class Items:
             flat = np.concatenate([self.items[k] for k in members])
             at = np.arange(len(members)) * length
             found = {}
-            for table in _keys(flat, at, at + length, length):
+            for table in _keys(flat, _spread(flat), at, at + length, length):
                 for key, k in zip(table.tolist(), members, strict=True):
                     found.setdefault(key, []).append(k)
             self.tables[length] = found, np.array(sorted(found), np.uint64)
@@ -138,28 +142,40 @@ class Items:
         if len(self.pairs):
             key = symbols[both] * self.size + symbols[both + 1]
             where = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit[both[self.pairs[where] == key] + 1] = 1
+            both = both[self.pairs[where] == key]
+            hit[both + 1] = 1
         # hits[i]: known pairs that start before word i.
-        hits, pairs = np.cumsum(hit), set()
+        hits, spread, pairs = np.cumsum(hit), _spread(symbols), set()
         for length, (table, keys) in self.tables.items():
             need = length - 1 - 2 * int(_tolerated(length))
-            last = np.minimum(np.arange(n) + length, stop)
-            count = hits[np.maximum(last - 1, 0)] - hits[:n]
             if need > 0:
-                first = np.flatnonzero(count >= need)
+                # The first and last of ``need`` known pairs that fit into one window, and the windows around them.
+                a, z = both[:len(both) - need + 1], both[need - 1:]
+                fit = (z - a <= length - 2)
+                a, z = a[fit], z[fit]
+                fit = doc[a] == doc[z]
+                a, z = a[fit], z[fit]
+                low = np.maximum(z - (length - 2), starts[doc[a]])
+                size = a - low + 1
+                first = np.unique(np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum()))
             else:
                 first = np.flatnonzero(symbols >= 0)
             if not len(first):
                 continue
+
+            def count(at, length=length):
+                return hits[np.maximum(np.minimum(at + length, stop[at]) - 1, 0)] - hits[at]
+
+            known_pairs = count(first)
             top = np.ones(len(first), bool)
             for d in (1, 2, 3):
                 for other in (first - d, first + d):
                     inside = (other >= 0) & (other < n)
                     o = np.where(inside, other, 0)
-                    top &= ~(inside & (doc[o] == doc[first]) & (count[o] > count[first]))
+                    top &= ~(inside & (doc[o] == doc[first]) & (count(o) > known_pairs))
             first = first[top]
             for block in np.array_split(first, -(-len(first) // 20_000)):
-                got = _keys(symbols, block, np.minimum(block + length, stop[block]), length)
+                got = _keys(symbols, spread, block, np.minimum(block + length, stop[block]), length)
                 where = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
                 for t, w in zip(*np.nonzero(keys[where] == got), strict=True):
                     pairs.update((int(block[w]), k) for k in table[int(got[t, w])])
