@@ -252,5 +252,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak."""
-    bad = contaminated(docs, benchmark).withColumnRenamed("doc_id", "_bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contaminated(docs, benchmark).withColumnRenamed("doc_id", "__leaking_id")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__leaking_id")), "left_anti")

@@ -119,9 +119,9 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(
         F.max("copies").alias("copies"))
-    plan = plan.toDF("_id", "_source", "_size", "_copies")
+    plan = plan.toDF("__mix_id", "__mix_source", "__mix_size", "__mix_copies")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                     & (size == F.col("_size")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
+    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source"))
+                     & (size == F.col("__mix_size")))
+    return rows.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(
         *[docs[c] for c in docs.columns])

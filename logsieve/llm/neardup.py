@@ -267,10 +267,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     dropped = link(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
     out = scale.filter_by(docs, dropped, ["doc_id"], how="left_anti")
     # Where doc_ids are unique this finds nothing to drop, and rows are only shuffled if some are not.
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = docs.select("doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return out
-    repeated = scale.materialise(repeated.select(F.col("doc_id").alias("_id")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    repeated = scale.materialise(repeated.select(F.col("doc_id").alias("__repeated_id")))
+    same = F.col("doc_id").eqNullSafe(F.col("__repeated_id"))
     return out.join(repeated, same, "left_anti").unionByName(
         out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -6,7 +6,7 @@ date of its addition up to, and without, the date of its next removal.
 
 Defined results: a null or unreadable URL, or a null fetch time, matches nothing; events with a null field are ignored;
 of several events of one pattern on one date a removal wins, and repeating an addition changes nothing; repeated
-captures each get a row; empty tables give no rows or no matches; other columns of the captures stay.
+captures each get a row; empty tables give no rows or no matches; other columns of the captures stay, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -88,6 +88,7 @@ def filter_captures(captures: DataFrame, spans: DataFrame) -> DataFrame:
     verdict = verdict.select("url", "fetched", "n_active", "lists", F.concat_ws(
         ":", "_first.list", "_first.kind", "_first.pattern").alias("entry"),
         F.col("_first.valid_from").alias("valid_from"), F.col("_first.valid_to").alias("valid_to"))
+    captures = captures.drop("n_active", "lists", "entry", "valid_from", "valid_to", "blocked")
     return (captures.join(verdict, ["url", "fetched"], "left")
             .withColumn("n_active", F.coalesce("n_active", F.lit(0)).cast("bigint"))
             .withColumn("blocked", F.col("n_active") > 0))
