@@ -70,10 +70,10 @@ def filter_by(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_se
 
     Up to ``limit`` keys, counted, are broadcast, so the wide rows of ``df`` are not shuffled; more are joined by shuffle.
     """
-    keys = materialise(keys.select(*[F.col(c).alias(f"_k_{c}") for c in on]))
+    keys = materialise(keys.select(*[F.col(c).alias(f"__key_{c}") for c in on]))
     if keys.count() <= (BROADCAST_ROWS if limit is None else limit):
         keys = F.broadcast(keys)
-    return df.join(keys, reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on]), how)
+    return df.join(keys, reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in on]), how)
 
 
 def heavy_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS,
