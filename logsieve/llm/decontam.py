@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import words as W
 
@@ -58,14 +57,18 @@ def _spread(symbols: np.ndarray) -> np.ndarray:
     return W.mix(symbols.astype(np.uint64) * W.PRIME)
 
 
-def _embed(symbols: np.ndarray, spread: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, walk: int) -> np.ndarray:
-    """The first 2 * length of the 3 * length places of the CGK embedding of windows of at most ``length`` symbols."""
-    at, out = starts.copy(), np.full((2 * length, len(starts)), _PAD, np.int64)
+def _embed(symbols: np.ndarray, spread: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
+           walk: int) -> np.ndarray:
+    """The first 2 * length of the 3 * length places of the CGK embedding of windows of at most ``length`` symbols.
+
+    Every other walk starts at the window's end, so that an edit near one end leaves half of the walks in step.
+    """
+    done, out = np.zeros(len(starts), np.int64), np.full((2 * length, len(starts)), _PAD, np.int64)
     for t, salt in enumerate(W.draws(2 * length, 31 + walk) | np.uint64(1)):
-        place = np.minimum(at, len(symbols) - 1)
-        out[t] = np.where(at < ends, symbols[place], _PAD)
+        place = np.maximum(ends - 1 - done, 0) if walk % 2 else np.minimum(starts + done, len(symbols) - 1)
+        out[t] = np.where(starts + done < ends, symbols[place], _PAD)
         # The top bit of a product with an odd number: random per step and symbol. Past the end nothing is read any more.
-        at += ((spread[place] * salt) >> np.uint64(63)).astype(np.int64)
+        done += ((spread[place] * salt) >> np.uint64(63)).astype(np.int64)
     return out
 
 
@@ -250,7 +253,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return leaks(docs, benchmark).select("doc_id").distinct()
 
 
+def _spare(items: Items):
+    def run(batches):
+        for batch in W.slices(batches):
+            fine = np.ones(batch.num_rows, bool)
+            fine[[row for row, *_ in items.search(batch)]] = False
+            yield batch.filter(pa.array(fine))
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak."""
-    bad = contaminated(docs, benchmark).withColumnRenamed("doc_id", "__leaking_id")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__leaking_id")), "left_anti")
+    """The documents without a leak, with all their columns; judged beside the text, without a shuffle."""
+    for block in _blocks(benchmark):
+        docs = docs.mapInArrow(_spare(block), docs.schema)
+    return docs

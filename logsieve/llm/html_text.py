@@ -51,10 +51,12 @@ _P_SCOPE = {"button", "table", "td", "th", "caption", "object"}
 
 
 class _Node:
-    __slots__ = ("tag", "cut", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "cut", "parent", "parts", "open_p", "chars", "tags", "link_chars", "link_tags", "density")
 
     def __init__(self, tag, cut=False, parent=None):
         self.tag, self.cut, self.parent, self.parts = tag, cut, parent, []
+        # The paragraph that a block inside this element would close.
+        self.open_p = self if tag == "p" else None if parent is None or tag in _P_SCOPE else parent.open_p
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
@@ -107,11 +109,8 @@ def _tree(page: str) -> _Node:
                 top = top.parent
             continue
         if tag in _BLOCK:
-            node = top
-            while node is not root and node.tag != "p" and node.tag not in _P_SCOPE:
-                node = node.parent
-            if node is not root and node.tag == "p":
-                top = node.parent
+            if top.open_p is not None:
+                top = top.open_p.parent
         if tag in _CLOSES:
             closed, stop = _CLOSES[tag]
             node = top
@@ -184,17 +183,16 @@ def _article(order: list[_Node]) -> list[_Node]:
         return [path[articles[0] if articles else around[0]]]
     chosen, on_path = [], set(map(id, path[1:]))
 
-    def pick(n):
-        for x in n.parts:
-            if isinstance(x, _Node) and not x.cut:
-                if x is core or id(x) not in on_path and x.density >= threshold and x.chars:
-                    chosen.append(x)
-                elif id(x) in on_path:
-                    pick(x)
-
     if core is body:
         return [body]
-    pick(body)
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        if n is core or id(n) not in on_path:
+            chosen.append(n)
+            continue
+        stack.extend(x for x in reversed(n.parts) if isinstance(x, _Node) and not x.cut and (
+            x is core or id(x) in on_path or x.chars and x.density >= threshold))
     return chosen
 
 

@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -109,9 +110,11 @@ def _sign(batches):
             odd = _odd_sketches(samples)
             for i, k in enumerate(some):
                 bands[k], sketches[k] = keys[i].view(np.int64), odd[i].tobytes()
+        digests = pa.array([None if t is None else hashlib.md5(t.encode()).hexdigest()
+                            for t in batch.column("text").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), ids, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-             pa.array(sketches, pa.binary())], ["doc_id", "gid", "n_shingles", "bands", "sketch"])
+            [batch.column("doc_id"), digests, ids, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+             pa.array(sketches, pa.binary())], ["doc_id", "text_md5", "gid", "n_shingles", "bands", "sketch"])
 
 
 def _kind(docs: DataFrame) -> str:
@@ -119,9 +122,9 @@ def _kind(docs: DataFrame) -> str:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, gid, n_shingles, band keys and odd sketch of every document; one pass over the texts."""
+    """doc_id, digest of the text, gid, n_shingles, band keys and odd sketch of every document; one pass over the texts."""
     return docs.select("doc_id", "text").mapInArrow(
-        _sign, f"doc_id {_kind(docs)}, gid binary, n_shingles long, bands array<long>, sketch binary")
+        _sign, f"doc_id {_kind(docs)}, text_md5 string, gid binary, n_shingles long, bands array<long>, sketch binary")
 
 
 def _sets(batches):
@@ -211,6 +214,10 @@ def _across(batches):
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept, one row per document."""
+    return _linked(docs).drop("text_md5")
+
+
+def _linked(docs: DataFrame) -> DataFrame:
     signed = scale.materialise(signatures(docs))
     members = scale.materialise(signed.where("gid IS NOT NULL").groupBy("gid").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
@@ -254,18 +261,19 @@ def link(docs: DataFrame) -> DataFrame:
         "gid", "doc_id", F.coalesce("root", "gid").alias("root"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = scale.materialise(classes.join(least, "root").select("gid", "component"))
-    out = signed.select("doc_id", "gid", "n_shingles").join(named, "gid", "left")
+    out = signed.select("doc_id", "text_md5", "gid", "n_shingles").join(named, "gid", "left")
     for table in (shared, pairs, many, cross):
         scale.discard(table)
     component = F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "text_md5", "n_shingles", component.alias("component_id"),
                       component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents kept, with all their columns; of rows with one doc_id and text, one."""
-    dropped = link(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    out = scale.filter_by(docs, dropped, ["doc_id"], how="left_anti")
+    dropped = _linked(docs).where("NOT kept").select("doc_id", F.col("text_md5").alias("__text_md5")).distinct()
+    out = scale.filter_by(docs.withColumn("__text_md5", F.md5(F.col("text").cast("binary"))), dropped,
+                          ["doc_id", "__text_md5"], how="left_anti").drop("__text_md5")
     # Where doc_ids are unique this finds nothing to drop, and rows are only shuffled if some are not.
     repeated = docs.select("doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():

@@ -54,7 +54,7 @@ def _found(text: Column, pattern: str, short: str | None = None) -> Column:
 
 def _lowest(string: Column, window: int) -> Column:
     """The smallest sum of c log2 c over all windows of the string, in units of 2**-20."""
-    table = F.array(*[F.lit(round(c * math.log2(c) * _ONE) if c else 0) for c in range(window + 1)])
+    table = F.array(*[F.lit(round(c * math.log2(c) * _ONE) if c else 0) for c in range(window + 2)])
     codes = F.transform(F.filter(F.split(string, ""), lambda c: c != ""), F.ascii)
     # Code 0 is no character of a candidate: while the first window fills, it stands for what leaves.
     moves = F.zip_with(codes, F.concat(F.array_repeat(F.lit(0), window), codes),
