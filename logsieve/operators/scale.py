@@ -240,12 +240,12 @@ def keys_at(df: DataFrame, targets: dict, low: int, high: int, rows: int | None
                 raise ValueError(f"position {s['pos']} lies outside group {s['g']}")
             s["pos"] -= seen
             s["few"] = n <= take
-            if s["bits"] > 0:
+            if s["bits"] == 0 and len(m) < 2:
+                # The whole tie breaker is read: all rows of the bucket carry it.
+                found[state.pop(i)["id"]] = (s["low"], s["prefix"] + m)
+            elif s["bits"] > 0:
                 shift = max(0, s["bits"] - digits)
                 s["low"], s["bits"] = s["low"] + (b << shift), shift
-            elif m:
-                s["prefix"] += m
             else:
-                # All rows left carry the same tie breaker.
-                found[state.pop(i)["id"]] = (s["low"], s["prefix"])
+                s["prefix"] += m
     return found

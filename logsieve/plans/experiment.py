@@ -21,9 +21,6 @@ from ..sources.spec import DATASETS, EventLogSpec, to_canonical
 
 RUNS = tuple(range(1, 11))
 DETECTORS = ("IsolationForest", "LOF", "DBSCAN")
-# The reference size above which DBSCAN leaves out the global level. Neighbours are found through cells here, so by
-# default (None) no size is left out.
-MAX_DBSCAN_ROWS = 30_000
 
 
 def prepare(raw: DataFrame, spec: EventLogSpec, runs=RUNS, rate: float = RATE, seed: int = 7) -> DataFrame:
@@ -39,17 +36,8 @@ def features(prepared: DataFrame) -> DataFrame:
     return apply_context_stats(base, fit_context_stats(base))
 
 
-def dbscan_levels(feats: DataFrame, which, max_rows: int | None) -> list[str]:
-    """Levels DBSCAN runs on: all, or without the global one where a run has more than ``max_rows`` rows."""
-    if max_rows is None or "L3_Global" not in which:
-        return list(which)
-    keys = levels.run_keys(feats)
-    most = feats.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return [lv for lv in which if lv != "L3_Global" or most <= max_rows]
-
-
 def score(feats: DataFrame, feature_sets: dict = levels.FEATURE_SETS, which=levels.LEVELS, detectors=DETECTORS,
-          jitter: bool = True, max_dbscan_rows: int | None = None, seed: int = 7,
+          jitter: bool = True, seed: int = 7,
           min_samples: int = levels.MIN_SAMPLES) -> DataFrame:
     """Long score table of all detectors: run, group, event_key, split, truth, model, feature_set, score.
 
@@ -83,8 +71,7 @@ def score(feats: DataFrame, feature_sets: dict = levels.FEATURE_SETS, which=leve
                 fit = fit.select(*keep, "feature_set", "x")
             out.append(density.lof(vectors, fit).select(*columns))
         if "DBSCAN" in detectors:
-            wanted = dbscan_levels(feats, which, max_dbscan_rows)
-            out.append(density.dbscan_noise(vectors.where(F.col("level").isin(wanted))).select(*columns))
+            out.append(density.dbscan_noise(vectors).select(*columns))
     scores = reduce(DataFrame.unionByName, out)
 
     small = scale.lookup_join(grouped.select(*keep), usable.withColumn("_in", F.lit(True))

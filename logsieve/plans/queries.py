@@ -14,7 +14,7 @@ from ..operators import evaluate as E
 from ..operators import features as B
 from ..operators import forest, inject, levels, order, profile, scale, split
 from ..operators import thresholds as T
-from ..sources.readers import unpivot_scores
+from ..sources.readers import parse_utc, unpivot_scores
 from ..sources.sinks import wide_scores
 
 QUERIES, ORACLES = {}, {}
@@ -72,6 +72,26 @@ def log_canonical(spark, sf):
     return fixture(spark, sf, "lines").select("event_key", "case_id", "activity", "resource", "time_us")
 
 
+@query("parse_mixed_times", "SELECT o_orderkey, epoch_us(o_orderdate) + o_orderkey % 86400 * 1000000 AS time_us FROM orders")
+def parse_mixed_times(spark, sf):
+    """Order times written in six notations by the order key, and read back."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.timestamp_add(
+        "SECOND", F.col("o_orderkey") % 86_400, F.col("o_orderdate").cast("timestamp_ntz")).alias("t"))
+
+    def text(pattern, t="t"):
+        return F.date_format(t, pattern)
+
+    number = F.col("o_orderkey") % 6
+    written = (F.when(number == 0, text("yyyy-MM-dd HH:mm:ss.SSSSSS")).when(number == 1, text("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+               .when(number == 2, text("MM/dd/yyyy HH:mm:ss"))
+               .when(number == 3, F.when(F.dayofmonth("t") > 12, text("dd.MM.yyyy HH:mm:ss"))
+                     .otherwise(text("MM.dd.yyyy HH:mm:ss")))
+               .when(number == 4, F.concat(text("yyyy-MM-dd HH:mm:ss", F.expr("t + INTERVAL 2 HOURS")), F.lit("+02")))
+               .otherwise(F.concat(text("yyyyMMdd HH:mm:ss"), F.lit(" UTC"))))
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return rows.select("o_orderkey", F.timestamp_diff("MICROSECOND", epoch, parse_utc(written)).alias("time_us"))
+
+
 @query("event_sequence", O.statement(O.ordered("lines"), "SELECT event_key, case_id, CAST(event_seq AS BIGINT) AS "
                                      "event_seq, CAST(trace_len AS BIGINT) AS trace_len, case_start_us FROM ordered"))
 def event_sequence(spark, sf):

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .spec import EventLogSpec, to_canonical
 
-# Accepted timestamp formats. A time without zone is taken as UTC.
-FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
-           "yyyy/MM/dd HH:mm:ss[.SSSSSS][.SSS]", "dd/MM/yyyy HH:mm[:ss]", "dd-MM-yyyy HH:mm[:ss]",
-           "dd.MM.yyyy HH:mm[:ss]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+# Date (year first, compact, or month and day before the year), time, up to nine digits of fraction, zone.
+_DATE = r"(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{4})(\d{2})(\d{2})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}))"
+_TIME = r"(?:[T ]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?)?"
+STAMP = f"^{_DATE}{_TIME}$"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,25 +26,43 @@ def parse_utc(text: str | Column, bad: str = "fail") -> Column:
     """Parse timestamps of mixed formats to zone-less UTC.
 
     A value that fits no format stops the job with ``bad='fail'`` and becomes null with ``bad='null'``. The result
-    does not depend on the session time zone: a zoned instant is turned to UTC through its epoch microseconds.
+    does not depend on the session time zone. Dates with the year last are read month first, and day first only where
+    the first number exceeds 12; a time without zone is UTC.
     """
     value = F.trim(F.col(text) if isinstance(text, str) else text)
-    zoned = F.when(value.rlike(r"\d\d:\d\d.*([+-]\d\d:?\d\d|Z)$"), value).otherwise(F.concat(value, F.lit("Z")))
-    zoned = F.regexp_replace(zoned, r"([+-]\d\d)(\d\d)$", "$1:$2")
-    instant = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(f + "XXX")) for f in FORMATS])
-    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    parsed = F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
+
+    def part(i):
+        return F.nullif(F.regexp_extract(value, STAMP, i), F.lit(""))
+
+    def number(*groups):
+        return F.coalesce(*[part(i) for i in groups]).cast("int")
+
+    # With the year last the month comes first, unless that number can only be a day.
+    swap = number(7) > 12
+    month = F.coalesce(number(2, 5), F.when(swap, number(8)).otherwise(number(7)))
+    day = F.coalesce(number(3, 6), F.when(swap, number(7)).otherwise(number(8)))
+    whole = F.try_make_timestamp_ntz(number(1, 4, 9), month, day, F.coalesce(number(10), F.lit(0)),
+                                     F.coalesce(number(11), F.lit(0)),
+                                     F.coalesce(number(12), F.lit(0)).cast("decimal(16,6)"))
+    # Digits beyond the microsecond are cut.
+    micros = F.substring(F.rpad(F.coalesce(part(13), F.lit("")), 9, "0"), 1, 6).cast("bigint")
+    zone = F.when(part(14).rlike("^[+-]"), F.regexp_replace(part(14), ":", ""))
+    offset = F.coalesce((F.substring(zone, 2, 2).cast("int") * 60 + F.coalesce(
+        F.nullif(F.substring(zone, 4, 2), F.lit("")).cast("int"), F.lit(0)))
+        * F.when(zone.startswith("-"), -1).otherwise(1), F.lit(0)).cast("bigint")
+    parsed = F.timestamp_add("MICROSECOND", micros - offset * 60_000_000, whole)
     if bad == "null":
         return parsed
     message = F.concat(F.lit("unreadable timestamp: "), F.coalesce(value, F.lit("null")))
     return F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(message).cast("timestamp_ntz"))
 
 
-def read_event_log(spark: SparkSession, path: str, spec: EventLogSpec, bad: str = "fail") -> DataFrame | None:
+def read_event_log(spark: SparkSession, path: str, spec: EventLogSpec, bad: str = "fail",
+                   unreadable: Observation | None = None) -> DataFrame | None:
     """Read a CSV event log with header into the canonical layout; None when the file is missing.
 
-    All columns are read as text, so no inference pass runs. ``bad`` is ``fail`` or ``drop``. Files have no event
-    key: the content of the row, with a running number among rows of equal content, takes its place.
+    All columns are read as text, so no inference pass runs. ``bad`` is ``fail`` or ``drop``; rows dropped
+    are counted in the observation ``unreadable`` as ``rows``. Files have no event key: the content of the row, with a running number among rows of equal content, takes its place.
     """
     if not path_exists(spark, path):
         return None
@@ -52,7 +70,10 @@ def read_event_log(spark: SparkSession, path: str, spec: EventLogSpec, bad: str
     names = list(raw.columns)
     time = parse_utc(F.col(f"`{spec.time}`"), "null" if bad == "drop" else "fail")
     content = F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]))
-    rows = raw.withColumn("_content", content).withColumn("_time", time).where(F.col("_time").isNotNull())
+    rows = raw.withColumn("_content", content).withColumn("_time", time)
+    if unreadable is not None:
+        rows = rows.observe(unreadable, F.count_if(F.col("_time").isNull()).alias("rows"))
+    rows = rows.where(F.col("_time").isNotNull())
     if not spec.event_key:
         rows = number_copies(rows)
         spec = dataclasses.replace(spec, event_key="_event_key")
@@ -79,7 +100,7 @@ def number_copies(rows: DataFrame) -> DataFrame:
 
 
 def read_scores(spark: SparkSession, root: str, datasets: list[str] | None = None) -> DataFrame:
-    """Read the stored score table; dataset, model and level prune partitions."""
+    """Read the stored score table; dataset, run, model and level prune partitions."""
     scores = spark.read.parquet(root)
     return scores if datasets is None else scores.where(F.col("dataset").isin(datasets))
 

@@ -33,9 +33,9 @@ def mark(spark: SparkSession, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, root: str) -> None:
-    """Store long scores partitioned by dataset, model and level; a repeated write replaces its own partitions."""
+    """Store long scores partitioned by dataset, run, model and level; a repeated write replaces only its own runs."""
     (scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset", "model", "level").parquet(root))
+     .partitionBy("dataset", "run", "model", "level").parquet(root))
 
 
 def wide_scores(scores: DataFrame, ids: list[str], columns: list[tuple[str, str, str]]) -> DataFrame:

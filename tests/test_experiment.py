@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from logsieve.operators import scale
 from logsieve.plans import experiment as E
+from logsieve.sources.sinks import write_scores
 from logsieve.sources.readers import read_report, read_scores, unpivot_scores
 from logsieve.sources.sinks import wide_scores, write_log_once, write_report
 from logsieve.sources.spec import EventLogSpec, has_resource
@@ -60,11 +61,14 @@ def test_prepared_logs_are_reused(spark, tmp_path, make_log):
     assert calls == [[1, 2], [3]] and first.count() == 100 and second.count() == 150 and has_resource(second)
 
 
-def test_dbscan_guard(spark, make_log):
-    log = make_log([("c", "ab"[i % 2], "r", i * 60.0) for i in range(50)]).withColumn("run", F.lit(1))
-    every = ["L3_Global", "L2_Activity"]
-    assert E.dbscan_levels(log, every, 50) == every and E.dbscan_levels(log, every, None) == every
-    assert E.dbscan_levels(log, every, 49) == ["L2_Activity"]
+def test_scores_of_other_runs_stay(spark, tmp_path):
+    def scores(run, value):
+        return spark.createDataFrame([("d", run, "m", "l", value)],
+                                     "dataset string, run int, model string, level string, score double")
+
+    for run, value in ((1, 0.1), (2, 0.2), (2, 0.3)):
+        write_scores(scores(run, value), str(tmp_path / "s"))
+    assert {(r.run, r.score) for r in read_scores(spark, str(tmp_path / "s")).collect()} == {(1, 0.1), (2, 0.3)}
 
 
 def test_wide_scores_and_back(spark):

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from logsieve.operators import context, features, order, profile, split
@@ -11,7 +12,7 @@ MIXED = [("2024-03-10 02:30:00", dt.datetime(2024, 3, 10, 2, 30)),
          ("2024-03-10T02:30:00.250+02:00", dt.datetime(2024, 3, 10, 0, 30, 0, 250000)),
          ("2024-03-10 02:30:00.123456+0000", dt.datetime(2024, 3, 10, 2, 30, 0, 123456)),
          ("2024/03/10 02:30:00.5", dt.datetime(2024, 3, 10, 2, 30, 0, 500000)),
-         ("10/03/2024 02:30", dt.datetime(2024, 3, 10, 2, 30)),
+         ("10/03/2024 02:30", dt.datetime(2024, 10, 3, 2, 30)),
          ("2024-03-10", dt.datetime(2024, 3, 10)),
          ("2024-03-10T02:30:00Z", dt.datetime(2024, 3, 10, 2, 30)),
          ("nonsense", None)]
@@ -41,8 +42,10 @@ HEAD = "Case ID,Activity,Complete Timestamp,Resource"
 def test_csv_log(spark, tmp_path):
     path = csv(tmp_path, "a.csv", [HEAD, "1,A,2024-01-01 10:00:00,x", "1,B,01/01/2024 11:00,", "2,A,bad,y",
                                    "1,A,2024-01-01 10:00:00,x"])
-    log = read_event_log(spark, path, SPEC, bad="drop")
+    unreadable = Observation()
+    log = read_event_log(spark, path, SPEC, bad="drop", unreadable=unreadable)
     rows = log.collect()
+    assert unreadable.get["rows"] == 1
     assert len(rows) == 3 and len({r["event_key"] for r in rows}) == 3
     assert {r["resource"] for r in rows} == {"x", None} and has_resource(log)
     with pytest.raises(Exception, match="unreadable timestamp"):
@@ -50,6 +53,18 @@ def test_csv_log(spark, tmp_path):
     assert read_event_log(spark, str(tmp_path / "none.csv"), SPEC) is None
 
 
+def test_mixed_times(spark):
+    cases = {"03/04/2024 10:00": "2024-03-04 10:00:00", "03-04-2024 10:00:00": "2024-03-04 10:00:00",
+             "13.04.2024 10:00": "2024-04-13 10:00:00", "04/13/2024 10:00": "2024-04-13 10:00:00",
+             "2024-01-02 10:00:00 UTC": "2024-01-02 10:00:00", "2024-01-02T10:00Z": "2024-01-02 10:00:00",
+             "2024-01-02 10:00:00+00": "2024-01-02 10:00:00", "2024-01-02 10:00:00.5-0130": "2024-01-02 11:30:00.500000",
+             "2024/01/02 10:00": "2024-01-02 10:00:00", "20240102": "2024-01-02 00:00:00",
+             "2024-01-02 10:00:00.123456789": "2024-01-02 10:00:00.123456", "2024-02-30": None, "soon": None, None: None}
+    frame = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = frame.select("t", parse_utc("t", "null").alias("p")).collect()
+    assert {r.t: r.p and str(r.p) for r in got} == cases
+
+
 def test_configured_but_absent_resource_counts_as_none(spark, tmp_path):
     path = csv(tmp_path, "b.csv", ["Case ID,Activity,Complete Timestamp", "1,A,2024-01-01 10:00:00"])
     log = read_event_log(spark, path, SPEC)
