@@ -35,7 +35,7 @@ BLOCK = 65_536
 SEGMENT = 1_000_000
 LEVEL = 3
 END = 1
-KEPT_WORDS = 260_000
+KEPT_WORDS = 200_000
 
 
 class Encoder:
@@ -209,7 +209,7 @@ def _write(path: str, mode: str, kind: pa.DataType):
                 ["file", "segment", "first", "n_ids", "mode", "doc_ids", "doc_starts", "doc_sizes", "block_ids", "plane_ends",
                  "crc32", "payload"])
 
-        for batch in W.slices(batches, limit=6 << 20):
+        for batch in W.slices(batches, limit=5 << 20):
             ids, starts = tokens.encode(batch.column("text"))
             names, at = batch.column("doc_id").to_pylist(), 0
             while at < len(names):
@@ -255,6 +255,7 @@ def _read(kind: pa.DataType, whole: bool):
                     ends = np.concatenate([row["doc_starts"], [row["n_ids"]]]).astype(np.int32)
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_pydict(columns)
+        W.release()
     return run
 
 
