@@ -153,7 +153,7 @@ class Items:
             need = length - 1 - 2 * int(_tolerated(length))
             if need > 0:
                 # The first and last of ``need`` known pairs that fit into one window, and the windows around them.
-                a, z = both[:len(both) - need + 1], both[need - 1:]
+                a, z = both[:max(0, len(both) - need + 1)], both[need - 1:]
                 fit = (z - a <= length - 2)
                 a, z = a[fit], z[fit]
                 fit = doc[a] == doc[z]
