@@ -4,13 +4,14 @@ Texts and items are sequences of words, lower-cased and stripped to letters and
 of L words when its word edit distance to the item is at most ``TOLERANCE`` * L.
 
 1. Windows of L words are taken for every length L among the items. A leak of L words shares at least
-   (L - 1) - 2 * TOLERANCE * L word pairs with its item, so windows with fewer pairs known from any item are skipped:
-   nothing within the tolerance is lost here. Of neighbouring windows the ones with most known pairs stay.
+   (L - 1) - 2 * TOLERANCE * L word pairs with its item, so windows with fewer pairs known from any item of L words are
+   skipped: nothing within the tolerance is lost here. Of neighbouring windows the ones with most known pairs stay.
 2. A CGK embedding walks over the window: at step t it writes the current word and moves on if a random bit, drawn from
    (t, word), says so. Sequences at small edit distance then agree in most places.
 3. ``TABLES`` times, ``SAMPLES`` places of the embedding are read as a key; a window and an item that agree in any key
    are a candidate pair. With half of the places agreeing, one pair is found with probability above 0.997.
-4. Candidates are confirmed by the exact edit distance between the item and the best stretch around the window.
+4. Candidates are confirmed by the exact edit distance between the item and the best stretch around the window. A
+   stretch that lacks more of the item's words than the tolerance allows is beyond it without being measured.
 
 The items are a stated query set: they are read in blocks of bounded size, and each block is sent to all tasks for one
 pass over the documents. Few passes: a block holds ``BLOCK_WORDS`` words of items.
@@ -128,28 +129,31 @@ class Items:
             for table in _keys(flat, _spread(flat), at, at + length, length):
                 for key, k in zip(table.tolist(), members, strict=True):
                     found.setdefault(key, []).append(k)
-            self.tables[length] = found, np.array(sorted(found), np.uint64)
+            own = np.concatenate([self.items[k][:-1] * self.size + self.items[k][1:] for k in members])
+            own = np.searchsorted(self.pairs, np.unique(own))
+            self.tables[length] = found, np.array(sorted(found), np.uint64), own
 
     def search(self, batch: pa.RecordBatch):
         """(row, item number, start, stop, distance) of all leaks in a batch of documents."""
         starts, codes, dictionary = normal_words(batch.column("text"))
-        known = pc.fill_null(pc.index_in(dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False)
-        symbols = known.astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        number = pc.fill_null(pc.index_in(dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        symbols = number.astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         n = len(symbols)
         if not n or not self.tables:
             return []
         doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         stop = starts[1:][doc]
-        hit = np.zeros(n + 1, np.int64)
         both = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0) & (doc[:-1] == doc[1:]))
-        if len(self.pairs):
-            key = symbols[both] * self.size + symbols[both + 1]
-            where = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            both = both[self.pairs[where] == key]
-            hit[both + 1] = 1
-        # hits[i]: known pairs that start before word i.
-        hits, spread, pairs = np.cumsum(hit), _spread(symbols), set()
-        for length, (table, keys) in self.tables.items():
+        key = symbols[both] * self.size + symbols[both + 1]
+        pair = np.searchsorted(self.pairs, key)
+        real = np.append(self.pairs, -1)[pair] == key
+        known, pair = both[real], pair[real]
+        spread, pairs = _spread(symbols), set()
+        for length, (table, keys, own) in self.tables.items():
+            # Where the pairs known from items of this length start.
+            mine = np.zeros(len(self.pairs), bool)
+            mine[own] = True
+            both = known[mine[pair]]
             need = length - 1 - 2 * int(_tolerated(length))
             if need > 0:
                 # The first and last of ``need`` known pairs that fit into one window, and the windows around them.
@@ -166,8 +170,8 @@ class Items:
             if not len(first):
                 continue
 
-            def count(at, length=length):
-                return hits[np.maximum(np.minimum(at + length, stop[at]) - 1, 0)] - hits[at]
+            def count(at, length=length, both=both):
+                return np.searchsorted(both, np.minimum(at + length, stop[at]) - 1) - np.searchsorted(both, at)
 
             known_pairs = count(first)
             top = np.ones(len(first), bool)
@@ -201,6 +205,8 @@ class Items:
                 begin = max(begin, taken)
                 # Several leaks of one item may follow each other within a region.
                 while begin < end:
+                    if np.count_nonzero(~np.isin(self.items[k], symbols[begin:end])) > allowed:
+                        break
                     distance, a, b = best_stretch(self.items[k], symbols[begin:end])
                     if distance > allowed or a == b:
                         break
