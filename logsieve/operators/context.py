@@ -73,7 +73,7 @@ def apply_context_stats(feats: DataFrame, stats: DataFrame, grains=None) -> Data
     sizes = dict.fromkeys(usable, total)
     if total > scale.BROADCAST_ROWS:
         sizes = {r["grain"]: r["count"] for r in stats.groupBy("grain").count().collect()}
-    out = _filled(feats)
+    out = base = _filled(feats)
     for g in wanted:
         keys, value, expected, z = GRAINS[g]
         if g not in usable:
@@ -81,7 +81,7 @@ def apply_context_stats(feats: DataFrame, stats: DataFrame, grains=None) -> Data
             continue
         table = stats.where(F.col("grain") == g).select(*runs, *keys, F.col("mean").alias("_m"),
                                                         F.col("std").alias("_s"))
-        out = scale.lookup_join(out, table, [*runs, *keys], sizes.get(g, 0))
+        out = scale.lookup_join(out, table, [*runs, *keys], sizes.get(g, 0), base=base)
         mean, std = F.coalesce("_m", F.lit(0.0)), F.coalesce("_s", F.lit(0.0))
         out = out.withColumns({f"expected_{expected}": mean,
                                f"z_score_{z}": S.z_score(F.col(value), mean, std)}).drop("_m", "_s")

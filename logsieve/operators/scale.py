@@ -24,6 +24,8 @@ MAX_HEAVY_KEYS = 65_536
 # Target rows per segment of a heavy key, and the most segments made.
 SEGMENT_ROWS = 1_000_000
 MAX_SEGMENTS = 20_000
+# Salts that rows without a key are spread over in a join.
+EMPTY_SALTS = 65_536
 # Largest lookup table that is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -152,31 +154,33 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
 
 
 def lookup_join(left: DataFrame, table: DataFrame, on: list[str], rows: int | None = None, how: str = "left",
-                limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join to a lookup table with one or few rows per key.
-
-    Up to ``limit`` rows the table is broadcast and ``left`` is not shuffled. A larger one is joined by shuffle, but
-    keys that are heavy in ``left`` are taken out first: they are few, so their table rows are broadcast. ``rows`` is
-    the size of a stored table or an upper bound; without it the table is stored here and counted.
+                limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, *,
+                base: DataFrame | None = None) -> DataFrame:
+    """Join to a lookup table with one or few rows per key; ``left`` is read once, however many lookups are chained.
+
+    Up to ``limit`` rows the table is broadcast and ``left`` is not shuffled. A larger one is joined by shuffle on the
+    key and a salt: rows of heavy keys are spread over salts, to each of which the few table rows of such a key are
+    copied, and rows without key, which match nothing, over many. ``rows`` is the size of a stored table or an upper
+    bound; without it the table is stored here and counted. ``base`` is a stored table with the same keys as ``left``
+    in which heavy keys are looked for, so that a long plan is not run for that.
     """
     if rows is None:
         table = materialise(table)
         rows = table.count()
     if rows <= limit:
         return left.join(F.broadcast(table), on, how)
-    # Rows without key match nothing and would all meet in one task.
-    keyed = reduce(lambda a, c: a & F.col(c).isNotNull(), on, F.lit(True))
-    heavy, _ = heavy_keys(left.where(keyed), on, hot_rows)
-    if heavy is None:
-        out = left.where(keyed).join(table, on, how)
-    else:
-        found = F.broadcast(heavy.select(*on))
-        hot = left.join(found, on, "left_semi").join(F.broadcast(table.join(found, on, "left_semi")), on, how)
-        out = left.where(keyed).join(found, on, "left_anti").join(table, on, how).unionByName(hot)
-    if how == "inner":
-        return out
-    blanks = {c: F.lit(None).cast(t) for c, t in table.dtypes if c not in on}
-    return out.unionByName(left.where(~keyed).withColumns(blanks) if blanks else left.where(~keyed))
+    keyed = reduce(lambda a, c: a & c, [F.col(c).isNotNull() for c in on])
+    heavy, _ = heavy_keys((left if base is None else base).select(*on).where(keyed), on, hot_rows)
+    spread = F.xxhash64(*[F.col(c) for c, t in left.dtypes if "map<" not in t])
+    salts = F.lit(1)
+    if heavy is not None:
+        share = F.ceil(F.col("_n") / min(SEGMENT_ROWS, hot_rows)).cast("int")
+        heavy = F.broadcast(heavy.select(*on, share.alias("__salts")))
+        left, table = left.join(heavy, on, "left"), table.join(heavy, on, "left")
+        salts = F.coalesce("__salts", F.lit(1))
+    left = left.withColumn("__salt", F.when(keyed, F.pmod(spread, salts)).otherwise(F.pmod(spread, F.lit(EMPTY_SALTS))))
+    table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)))
+    return left.drop("__salts").join(table.drop("__salts"), [*on, "__salt"], how).drop("__salt")
 
 
 def keys_at(df: DataFrame, targets: dict, low: int, high: int, rows: int | None = None, take: int = 2_000,

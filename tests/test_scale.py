@@ -56,6 +56,18 @@ def test_lookup_join_by_shuffle_with_heavy_and_null_keys(spark):
     assert len(a) < 3000
 
 
+def test_chained_lookups_read_the_left_side_once(spark):
+    df, _ = table(spark)
+    left = scale.materialise(df)
+    out = left
+    for i in range(4):
+        names = df.groupBy("k").agg(F.max("v").alias(f"m{i}"))
+        out = scale.lookup_join(out, names, ["k"], limit=3, hot_rows=100, base=left)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 + 4
+    assert out.count() == 3000
+
+
 class Session:
     """As much of a session as is looked at."""
 
