@@ -1,6 +1,8 @@
 """Isolation forests per group (Liu, Ting and Zhou, 2008).
 
-Fitting looks at one bounded uniform pool of training events per group, whatever the size of the group. Scoring
+Each tree draws its own uniform sample of all training events of its group, independent of the other trees. An event
+enters each tree's candidates with one small probability, decided by its hash, and a tree keeps the ``sample`` candidates
+with the least draws; so a group sends a bounded number of events to fitting at every size, without sorting. Scoring
 brings each forest to blocks of its group's events; large groups are spread over many blocks.
 """
 
@@ -16,12 +18,9 @@ from pyspark.sql import functions as F
 
 from . import scale
 from .levels import FEATURE_SETS, features_of, group_keys
-from ..functions import scalars as S
 
 TREES = 200
 SAMPLE = 256
-# Expected size of the pool the trees of one group draw from: as many events as all trees together use.
-POOL = TREES * SAMPLE
 BLOCK_ROWS = 100_000
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,20 +34,71 @@ def path_length(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, c))
 
 
-def grow(points, trees, sample, rng):
-    """Grow all trees of a forest at once, level by level.
+def tree_depth(size):
+    return int(np.ceil(np.log2(max(size, 2))))
+
+
+def expected_candidates(sample):
+    """Mean number of candidates per tree: too few to fill a sample less than once in a thousand million trees."""
+    return sample + 8.0 * sample ** 0.5 + 16.0
+
+
+def _mix(x):
+    """SplitMix64 finaliser: 64-bit hashes of 64-bit integers."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def tree_samples(u, h, n, trees, sample, expected):
+    """Rows of each tree's sample, [trees, min(sample, n)], of the group's ``n`` training events; None if a tree has too
+    few candidates.
+
+    ``u`` (uniform) and ``h`` (64 bits) are the draws of the events given; those left out are in no
+    tree. The number of trees an event is a candidate of is Poisson, read from u, and the trees are
+    drawn evenly: by the splitting of Poisson draws each event is then a candidate of each tree independently.
+    """
+    size = min(sample, n)
+    h = h.astype(np.uint64)
+    if expected >= n / 2:
+        # As many candidates as events: all of them for every tree.
+        row, tree = np.tile(np.arange(len(h)), trees), np.repeat(np.arange(trees), len(h))
+    else:
+        rate = -np.log1p(-expected / n) * trees
+        # Least count whose upper tail is at most u: 1 - u takes the place of the distribution function.
+        count, term = np.zeros(len(u), np.int64), np.exp(-rate)
+        tail, k = -np.expm1(-rate), 0
+        while (more := u < tail).any() and k < 40 * trees:
+            count[more] += 1
+            k += 1
+            term *= rate / k
+            tail -= term
+        row = np.repeat(np.arange(len(h)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        tree = (_mix(h[row] + _mix(nth.astype(np.uint64))) % np.uint64(trees)).astype(np.int64)
+        once = np.unique(row * trees + tree)
+        row, tree = once // trees, once % trees
+    draw = _mix(h[row] ^ _mix(tree.astype(np.uint64) + np.uint64(1 << 32)))
+    order = np.lexsort((row, draw, tree))
+    row, tree = row[order], tree[order]
+    first = np.searchsorted(tree, np.arange(trees + 1))
+    if (np.diff(first) < size).any():
+        return None
+    return row[first[:-1, None] + np.arange(size)]
+
+
+def grow(points, draws, depth, rng):
+    """Grow all trees of a forest at once, level by level; ``draws`` holds the rows of each tree's sample.
 
     Returns two [trees, nodes] arrays in heap order: the split feature (-1 at a leaf) and the split threshold, or at
     a leaf its path length.
     """
-    n, d = points.shape
-    size = min(sample, n)
-    depth = int(np.ceil(np.log2(max(size, 2))))
+    d = points.shape[1]
+    trees, size = draws.shape
     nodes = 2 ** (depth + 1) - 1
     feature = np.full(trees * nodes, -1, np.int8)
     value = np.zeros(trees * nodes, np.float32)
-    draws = rng.random((trees, n)).argpartition(size - 1, axis=1)[:, :size] if size < n else \
-        np.tile(np.arange(n), (trees, 1))
     member = draws.ravel()
     at = np.repeat(np.arange(trees, dtype=np.int64) * nodes, size)
     for level in range(depth + 1):
@@ -122,37 +172,56 @@ def iforest_fit(scaled: DataFrame, feature_sets: dict = FEATURE_SETS, trees: int
                 seed: int = 7) -> DataFrame:
     """Fit one forest per group and feature set; returns the stored models.
 
-    ``scaled`` has one row per event and level with the scaled features, split, n and n_train. Events enter the pool of
-    their group by a hash threshold, without sorting or ranking; each tree draws from the pool.
+    ``scaled`` has one row per event and level with the scaled features, split, n and n_train. Should a tree find too few
+    candidates, which chance all but excludes, all are drawn again with twice as many.
     """
     keys = group_keys(scaled)
     run = F.col("run") if "run" in scaled.columns else F.lit(0)
     names = features_of(feature_sets)
-    pool = trees * sample
-    share = S.uniform("forest", seed, run, F.concat_ws("|", "event_key", "level")) * F.col("n_train")
-    rows = scaled.where(F.col("split") == "train").where((F.col("n_train") <= pool) | (share < pool))
-    rows = rows.select(*keys, "n", "event_key", *names)
-    types = dict(rows.dtypes)
+    types = dict(scaled.dtypes)
     schema = (", ".join(f"{k} {types[k]}" for k in keys)
               + ", n bigint, feature_set string, psi int, nodes int, feature binary, value binary")
-    fit = _fit_group(keys, feature_sets, names, trees, sample, seed)
-    return scale.materialise(rows.groupBy(*keys).applyInPandas(fit, schema))
+    key = F.concat_ws("|", "event_key", "level")
+    # 52 bits of an md5, so that even a group of 10 ** 12 events has draws fine enough; the hash for all other draws.
+    text = F.concat_ws("|", F.lit(f"forest:{seed}"), run.cast("string"), key)
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    h = F.xxhash64(F.lit(f"trees:{seed}"), run, key)
+    expected = expected_candidates(sample)
+    train = scaled.where(F.col("split") == "train").select(
+        *keys, "n", "n_train", "event_key", *names, u.alias("_u"), h.alias("_h"))
+    while True:
+        # Chance of no tree at all left out; a group no larger than twice the candidates comes whole.
+        share = F.lit(expected) / F.col("n_train")
+        some = F.when(share < 0.5, -F.expm1(F.log1p(-share) * trees)).otherwise(F.lit(1.0))
+        fit = _fit_group(keys, feature_sets, names, trees, sample, expected, seed)
+        model = scale.materialise(train.where(F.col("_u") < some).groupBy(*keys).applyInPandas(fit, schema))
+        if model.where("psi IS NULL").isEmpty():
+            return model
+        scale.discard(model)
+        expected *= 2
 
 
-def _fit_group(keys, feature_sets, names, trees, sample, seed):
+def _fit_group(keys, feature_sets, names, trees, sample, expected, seed):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Seeded by the group's own content order, so the forest does not depend on partitioning.
+        # In the group's own content order, so the forest does not depend on partitioning.
         pdf = pdf.sort_values("event_key")
         x = pdf[names].to_numpy(np.float32)
+        group, n = [pdf[k].iloc[0] for k in keys], int(pdf["n"].iloc[0])
+        label = "|".join(map(str, group))
+        draws = tree_samples(pdf["_u"].to_numpy(np.float64), pdf["_h"].to_numpy(np.int64), int(pdf["n_train"].iloc[0]), trees,
+                             sample, expected)
         out = []
         for i, (name, cols) in enumerate(feature_sets.items()):
-            label = "|".join(str(pdf[k].iloc[0]) for k in keys)
+            if draws is None:
+                out.append([*group, n, name, None, None, None, None])
+                continue
+            size = draws.shape[1]
             rng = np.random.default_rng([seed, i, *label.encode()])
             points = np.ascontiguousarray(x[:, [names.index(c) for c in cols]])
-            feature, value = grow(points, trees, sample, rng)
-            out.append([*[pdf[k].iloc[0] for k in keys], int(pdf["n"].iloc[0]), name, min(sample, len(points)), feature.shape[1],
-                        feature.tobytes(), value.tobytes()])
-        return pd.DataFrame(out, columns=[*keys, "n", "feature_set", "psi", "nodes", "feature", "value"])
+            feature, value = grow(points, draws, tree_depth(size), rng)
+            out.append([*group, n, name, size, feature.shape[1], feature.tobytes(), value.tobytes()])
+        out = pd.DataFrame(out, columns=[*keys, "n", "feature_set", "psi", "nodes", "feature", "value"])
+        return out.astype({"psi": "Int32", "nodes": "Int32"})
 
     return fit
 

@@ -117,7 +117,8 @@ def test_forest_scores_equal_walking_each_tree():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 3)).astype(np.float32)
     x[0] = 8
-    feature, value = forest.grow(x, 40, 64, np.random.default_rng(1))
+    draws = np.random.default_rng(3).random((40, 300)).argpartition(63, axis=1)[:, :64]
+    feature, value = forest.grow(x, draws, forest.tree_depth(64), np.random.default_rng(1))
     mean = np.array([[walk(p, f, v) for f, v in zip(feature, value)] for p in x]).mean(axis=1)
     got = forest.depth_score(x, feature, value, 64, rows_at_once=70, cells=500)
     assert np.allclose(got, 2 ** (-mean / forest.path_length(64)), rtol=1e-6)
@@ -125,12 +126,37 @@ def test_forest_scores_equal_walking_each_tree():
 
 
 def test_forest_of_equal_points_and_path_length():
-    feature, value = forest.grow(np.ones((50, 2), np.float32), 10, 256, np.random.default_rng(1))
+    feature, value = forest.grow(np.ones((50, 2), np.float32), np.tile(np.arange(50), (10, 1)), forest.tree_depth(50),
+                                 np.random.default_rng(1))
     assert np.allclose(forest.depth_score(np.ones((3, 2), np.float32), feature, value, 50), 0.5)
     assert forest.path_length([1, 2]).tolist() == [0.0, 1.0]
     assert forest.path_length(256) == pytest.approx(10.244770920)
 
 
+@pytest.mark.parametrize("n", [20, 300, 3_000, 200_000])
+def test_each_tree_draws_its_own_sample_of_all_events(n):
+    rng = np.random.default_rng(n)
+    u, h = rng.random(n), rng.integers(-2 ** 63, 2 ** 63 - 1, n)
+    trees, sample = 50, 64
+    expected = forest.expected_candidates(sample)
+    some = -np.expm1(np.log1p(-expected / n) * trees) if expected < n / 2 else 1.0
+    rows = np.flatnonzero(u < some)
+    got = forest.tree_samples(u[rows], h[rows], n, trees, sample, expected)
+    assert got.shape == (trees, min(sample, n)) and all(len(set(t)) == len(t) for t in got.tolist())
+    assert np.array_equal(got, forest.tree_samples(u[rows], h[rows], n, trees, sample, expected))
+    got = rows[got]
+    # Samples spread evenly over all events, and two trees share as many events as independent ones would.
+    assert abs(got.mean() / (n - 1) - 0.5) < 5 / np.sqrt(12 * got.size)
+    size, pairs = got.shape[1], trees * (trees - 1) / 2
+    counts = np.bincount(got.ravel(), minlength=n)
+    shared = (counts * (counts - 1) / 2).sum()
+    want = pairs * size * size / n
+    assert abs(shared - want) <= 6 * np.sqrt(want) and rows.size <= 1.3 * trees * expected
+    # Too few candidates are noticed.
+    if n > 1_000:
+        assert forest.tree_samples(u[rows[:100]], h[rows[:100]], n, trees, sample, expected) is None
+
+
 def scaled(spark, n=500):
     rng = np.random.default_rng(4)
     rows = [("a" if i % 2 else "b", f"{i:04d}", "train" if i < 300 else "test", float(rng.exponential()) + 20 * (i >= 480),
