@@ -9,7 +9,8 @@
    full shingle sets.
 4. Linked classes form components. Buckets that still hold several components are compared in blocks, across components
    only, so nothing is lost when two members are no match for the bucket's first or last one. In a bucket of n copies of
-   one text this leaves n comparisons instead of n squared.
+   one text this leaves n comparisons instead of n squared. Blocks come with the full sets, so that rows that are near but
+   not near enough are settled where they meet: only links between components leave a block, not pairs.
 
 Two sets at similarity 0.75 share no band with probability (1 - 0.75 ** 5) ** 50, about 1e-6, and fall below the screen
 with about 1e-7; every link reported is exact.
@@ -38,7 +39,8 @@ WORDS = 5
 BANDS, ROWS = 50, 5
 BITS = 1_024
 SCREEN = 0.6
-BLOCK = 2_048
+# Rows and shingles that one block of a bucket holds on average, at most.
+BLOCK, BLOCK_SHINGLES = 2_048, 1 << 20
 _N = BANDS * ROWS
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
@@ -153,14 +155,18 @@ def _screen(batches):
                 [rows.column("gid"), rows.column(hub), pa.array(similarity(apart[near]))], ["gid", "hub", "estimate"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs of gids whose full shingle sets are similar enough; written to the shared folder."""
-    gids = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+def _sets_of(gids: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Full shingle sets of the classes; written to the shared folder."""
     # Any document of the class will do: its least one.
     wanted = members.join(gids, "gid", "left_semi").select("doc_id").distinct()
     sets = scale.filter_by(docs.select("doc_id", "text"), wanted, ["doc_id"]).select("text").mapInArrow(_sets, "gid binary, shingles array<long>")
     # A doc_id that stands on several texts brings further sets; each set is kept once.
-    sets = scale.materialise(sets.where("gid IS NOT NULL").dropDuplicates(["gid"]))
+    return scale.materialise(sets.where("gid IS NOT NULL").dropDuplicates(["gid"]))
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of gids whose full shingle sets are similar enough; written to the shared folder."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct(), docs, members)
     one = sets.select(F.col("gid").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("gid").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -171,7 +177,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame
 
 
 def _across(batches):
-    """Near pairs of different components among the rows of one (bucket, block, block), which arrive together."""
+    """Links between different components among the rows of one (bucket, block, block), which arrive together."""
     most = _most_bits(SCREEN)
 
     def pairs(rows):
@@ -180,14 +186,30 @@ def _across(batches):
         bits = np.frombuffer(b"".join(sketch), np.uint16).reshape(-1, BITS // 16)
         names = {r: i for i, r in enumerate(dict.fromkeys(root))}
         comp = np.array([names[r] for r in root])
+        sets = pa.chunked_array([r.column("shingles") for r in rows])
+        size = pc.list_value_length(sets).to_numpy().astype(np.int64)
+        start = np.cumsum(size) - size
+        values, codes = np.unique(pc.list_flatten(sets).to_numpy(), return_inverse=True)
+        held = np.zeros(len(values), bool)
         i_block, block = rows[0].column("i")[0].as_py(), np.array(block)
         same = i_block == rows[0].column("j")[0].as_py()
-        left = np.flatnonzero(block == i_block)
-        for p in left:
+        for p in np.flatnonzero(block == i_block):
             others = (comp != comp[p]) & ((np.arange(len(comp)) > p) if same else (block != i_block))
             others = np.flatnonzero(others)
             near = others[_POPCOUNT[bits[others] ^ bits[p]].sum(1, dtype=np.int32) <= most]
-            yield from ((min(gid[p], gid[q]), max(gid[p], gid[q])) for q in near)
+            if not len(near):
+                continue
+            mine = codes[start[p]:start[p] + size[p]]
+            held[mine] = True
+            ends = np.cumsum(size[near])
+            at = np.arange(ends[-1]) + np.repeat(start[near] - ends + size[near], size[near])
+            both = np.add.reduceat(held[codes[at]].astype(np.int64), ends - size[near])
+            held[mine] = False
+            for q in near[100 * both >= 75 * (size[p] + size[near] - both)]:
+                # One link joins two components; further ones between them say nothing new.
+                if comp[q] != comp[p]:
+                    comp[comp == comp[q]] = comp[p]
+                    yield min(gid[p], gid[q]), max(gid[p], gid[q])
 
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     held, current = [], None
@@ -243,18 +265,19 @@ def _linked(docs: DataFrame) -> DataFrame:
     many = scale.materialise(many)
     still = (many.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h"))
              .where(F.col("_l") != F.col("_h")).select("key"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = (many.join(still, "key", "left_semi").join(sketches, "gid")
-                 .withColumn("blocks", blocks)
+    open_rows = scale.materialise(many.join(still, "key", "left_semi"))
+    sets = _sets_of(open_rows.select("gid").distinct(), docs, members)
+    sizes = sets.select("gid", F.size("shingles").alias("_size"))
+    blocks = open_rows.join(sizes, "gid").groupBy("key").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("_size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    open_rows = (open_rows.join(blocks, "key").join(sketches, "gid").join(sets, "gid")
                  .withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")))
     # Each row meets every block of its bucket once: blocks * n rows in place of n * n pairs.
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "gid", "root",
-        "sketch")
-    cross = (open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-             .mapInArrow(_across, "a binary, b binary").distinct())
-    cross = scale.materialise(cross)
-    more = _confirm(cross, docs, members)
+        "sketch", "shingles")
+    more = scale.materialise(open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                             .mapInArrow(_across, "a binary, b binary").distinct())
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     classes = members.select("gid", "doc_id").join(roots, F.col("gid") == F.col("node"), "left").select(
@@ -262,7 +285,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = scale.materialise(classes.join(least, "root").select("gid", "component"))
     out = signed.select("doc_id", "text_md5", "gid", "n_shingles").join(named, "gid", "left")
-    for table in (shared, pairs, many, cross):
+    for table in (shared, pairs, many, sets, more):
         scale.discard(table)
     component = F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "text_md5", "n_shingles", component.alias("component_id"),
