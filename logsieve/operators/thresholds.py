@@ -19,8 +19,9 @@ IQR_MULTIPLIERS = [-0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0,
 MAX_ITERATIONS, TOLERANCE, VARIANCE_FLOOR = 100, 1e-3, 1e-6
 GRID_POINTS = 1_000
 FEW_SCORES = 5
-# Weighted points one mixture is fitted on; keys with more distinct scores are binned to this many.
-MAX_POINTS = 65_536
+# Distinct scores of a key up to which one task fits its mixture; above, the same steps run as aggregations.
+TASK_POINTS = 65_536
+_PARAMS = ["w0", "mu0", "var0", "w1", "mu1", "var1"]
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,30 +34,9 @@ def validation_scores(scores: DataFrame) -> DataFrame:
     return scores.where((F.col("split") == "val") & F.col("score").isNotNull())
 
 
-def score_histogram(scores: DataFrame, keys: list[str], bins: int = MAX_POINTS) -> DataFrame:
-    """Scores per key as weighted points (bin, n, total, squares).
-
-    Equal scores are counted first. A key of at most ``bins`` distinct scores keeps each of them; a larger one is cut
-    into ``bins`` equal ranges that remember the sum and the sum of squares of their scores.
-    """
-    distinct = scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
-    if scores.count() > bins:
-        sizes = scale.materialise(distinct.groupBy(*keys).agg(
-            F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count(F.lit(1)).alias("_distinct")))
-        large = sizes.where(F.col("_distinct") > bins)
-        count = large.count()
-    else:
-        count = 0
-    if count == 0:
-        return distinct.select(*keys, F.col("score").alias("bin"), "n", (F.col("n") * F.col("score")).alias("total"),
-                               (F.col("n") * F.col("score") * F.col("score")).alias("squares"))
-    rows = scale.lookup_join(distinct, large, keys, count)
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.least(F.floor((F.col("score") - F.col("_lo")) / width), F.lit(bins - 1)).cast("double")
-    rows = rows.withColumn("bin", F.when(F.col("_distinct").isNotNull(), place).otherwise(F.col("score")))
-    return rows.groupBy(*keys, "bin").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("total"),
-        F.sum(F.col("n") * F.col("score") * F.col("score")).alias("squares"))
+def score_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct scores per key with their number n."""
+    return scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
 
 
 def two_means(x, n):
@@ -67,25 +47,23 @@ def two_means(x, n):
     return int(np.argmax(gain)) + 1
 
 
-def fit_mixture(n, total, squares):
-    """EM for two 1-D Gaussians on weighted points sorted by mean; None when the points are all equal.
+def fit_mixture(x, n):
+    """EM for two 1-D Gaussians on distinct sorted values x that occur n times; None when there is only one.
 
     Starts from the best two-cluster split. Returns weights, means and variances.
     """
-    x = total / n
-    if len(x) < 2 or x[0] == x[-1]:
+    if len(x) < 2:
         return None
     upper = (np.arange(len(x)) >= two_means(x, n)).astype(float)
     resp = np.stack([1.0 - upper, upper])
     last = -np.inf
     for _ in range(MAX_ITERATIONS + 1):
         mass = (resp * n).sum(axis=1) + 10 * np.finfo(float).eps
-        mean = (resp * total).sum(axis=1) / mass
+        mean = (resp * n * x).sum(axis=1) / mass
         # Centred on the component mean, so that narrow components keep their precision.
-        spread = squares - 2 * mean[:, None] * total + mean[:, None] ** 2 * n
-        var = np.maximum((resp * spread).sum(axis=1) / mass, 0.0) + VARIANCE_FLOOR
+        spread = (x - mean[:, None]) ** 2
+        var = (resp * n * spread).sum(axis=1) / mass + VARIANCE_FLOOR
         weight = mass / mass.sum()
-        spread = np.maximum(spread, 0.0) / n
         log = np.log(weight)[:, None] - 0.5 * (np.log(2 * np.pi * var)[:, None] + spread / var[:, None])
         top = log.max(axis=0)
         norm = top + np.log(np.exp(log - top).sum(axis=0))
@@ -99,40 +77,125 @@ def fit_mixture(n, total, squares):
 
 def _fit_key(keys):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(m=pdf["total"] / pdf["n"]).sort_values("m")
-        n, total, squares = (pdf[c].to_numpy(np.float64) for c in ("n", "total", "squares"))
+        pdf = pdf.sort_values("score")
+        x, n = pdf["score"].to_numpy(np.float64), pdf["n"].to_numpy(np.float64)
         row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(n=int(n.sum()), mean=total.sum() / n.sum(), mid=np.nan)
-        row.update({c: np.nan for c in ("w0", "mu0", "var0", "w1", "mu1", "var1")})
+        row.update(n=int(n.sum()), mean=(n * x).sum() / n.sum(), mid=np.nan, **dict.fromkeys(_PARAMS, np.nan))
         if n.sum() <= FEW_SCORES:
-            row["mid"] = float(np.median(np.repeat(pdf["bin"].to_numpy(), n.astype(int))))
+            row["mid"] = float(np.median(np.repeat(x, n.astype(int))))
         else:
-            made = fit_mixture(n, total, squares)
+            made = fit_mixture(x, n)
             if made is None:
-                row["mid"] = float(pdf["m"].iloc[0])
+                row["mid"] = float(x[0])
             else:
                 w, mu, var = made
                 for i, at in enumerate(np.argsort(mu, kind="stable")):
                     row.update({f"w{i}": w[at], f"mu{i}": mu[at], f"var{i}": var[at]})
-        return pd.DataFrame([row])[[*keys, "n", "mean", "mid", "w0", "mu0", "var0", "w1", "mu1", "var1"]]
+        return pd.DataFrame([row])[[*keys, "n", "mean", "mid", *_PARAMS]]
 
     return fit
 
 
-def gmm_components(scores: DataFrame, bins: int = MAX_POINTS) -> DataFrame:
+def _step(points: DataFrame, params: DataFrame, keys: list[str], count: int, split: bool = False) -> DataFrame:
+    """One pass over the points: the bound of the present parameters and, as ``new_*``, those of the next step.
+
+    ``split`` takes the sides of the starting cut in place of the components. Sums are centred on the present means.
+    """
+    rows = scale.lookup_join(points, params, keys, count, "inner")
+    x, n = F.col("score"), F.col("n")
+    if split:
+        resp = [F.when(x > F.col("cut"), F.lit(float(i))).otherwise(F.lit(1.0 - i)) for i in (0, 1)]
+        norm = F.lit(0.0)
+    else:
+        log = [F.log(f"w{i}") - 0.5 * (F.log(2 * np.pi * F.col(f"var{i}")) + (x - F.col(f"mu{i}")) ** 2 / F.col(f"var{i}"))
+               for i in (0, 1)]
+        rows = rows.withColumns({"_l0": log[0], "_l1": log[1]})
+        top = F.greatest("_l0", "_l1")
+        norm = top + F.log(F.exp(F.col("_l0") - top) + F.exp(F.col("_l1") - top))
+        resp = [F.exp(F.col(f"_l{i}") - norm) for i in (0, 1)]
+    sums = []
+    for i, r in enumerate(resp):
+        away = x - F.col(f"mu{i}")
+        sums += [(F.sum(n * r) + 10 * float(np.finfo(float).eps)).alias(f"_m{i}"), F.sum(n * r * away).alias(f"_s{i}"),
+                 F.sum(n * r * away * away).alias(f"_q{i}")]
+    kept = ["cut", "last", *_PARAMS]
+    out = rows.groupBy(*keys).agg((F.sum(n * norm) / F.sum(n)).alias("bound"), *sums,
+                                  *[F.first(c).alias(c) for c in kept])
+    new = []
+    for i in (0, 1):
+        shift = F.col(f"_s{i}") / F.col(f"_m{i}")
+        new += [(F.col(f"_m{i}") / (F.col("_m0") + F.col("_m1"))).alias(f"new_w{i}"),
+                (F.col(f"mu{i}") + shift).alias(f"new_mu{i}"),
+                (F.greatest(F.col(f"_q{i}") / F.col(f"_m{i}") - shift * shift, F.lit(0.0)) + VARIANCE_FLOOR)
+                .alias(f"new_var{i}")]
+    return out.select(*keys, *kept, "bound", *new)
+
+
+def _fit_large(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Mixtures of keys with many distinct scores: the steps of ``fit_mixture`` as aggregations over stored points.
+
+    Each step joins the points of the keys still open with their parameters and keeps a few sums per key; the parameter
+    table is stored in the shared folder and only the number of open keys reaches the driver.
+    """
+    total = F.col("n") * F.col("score")
+    ranked = scale.running(points, keys, ["score"], {"c": F.col("n"), "t": total},
+                           whole={"_c": F.sum("n"), "_t": F.sum(total)})
+    rest = F.col("_c") - F.col("c")
+    gain = F.col("t") * F.col("t") / F.col("c") + (F.col("_t") - F.col("t")) ** 2 / rest
+    state = scale.materialise(ranked.where(rest > 0).groupBy(*keys).agg(
+        F.max_by("score", F.struct(gain, -F.col("score"))).alias("cut"), F.first(F.col("_t") / F.col("_c")).alias("mean"),
+        F.first("_c").alias("n")))
+    facts, count = state, state.count()
+    start = {p: F.col("mean") if p.startswith("mu") else F.lit(0.0) for p in _PARAMS}
+    state = state.select(*keys, "cut", F.lit(None).cast("double").alias("last"), *[c.alias(p) for p, c in start.items()])
+    renew = [F.col(f"new_{p}").alias(p) for p in _PARAMS]
+    # Twice: the second pass is centred on the means of the first.
+    for _ in range(2):
+        state = scale.materialise(_step(points, state, keys, count, split=True).select(*keys, "cut", "last", *renew))
+    state = state.withColumn("open", F.lit(True))
+    for i in range(MAX_ITERATIONS + 1):
+        step = _step(points, state.where("open").drop("open"), keys, count)
+        ends = F.coalesce(F.abs(F.col("bound") - F.col("last")) < TOLERANCE, F.lit(False)) | F.lit(i == MAX_ITERATIONS)
+        step = step.select(*keys, "cut", F.col("bound").alias("last"), *[
+            F.when(ends, F.col(p)).otherwise(F.col(f"new_{p}")).alias(p) for p in _PARAMS], (~ends).alias("open"))
+        before, state = state, scale.materialise(step.unionByName(state.where("NOT open")))
+        scale.discard(before)
+        if state.where("open").isEmpty():
+            break
+    low = F.col("mu0") <= F.col("mu1")
+    ordered = [F.when(low, F.col(p)).otherwise(F.col(p[:-1] + "10"[int(p[-1])])).alias(p) for p in _PARAMS]
+    return facts.select(*keys, "n", "mean").join(state.select(*keys, *ordered), keys).select(
+        *keys, "n", "mean", F.lit(None).cast("double").alias("mid"), *_PARAMS)
+
+
+def gmm_components(scores: DataFrame, task_points: int = TASK_POINTS) -> DataFrame:
     """Mixture of two Gaussians per key over the validation scores, component 1 having the larger mean.
 
+    Keys of more than ``task_points`` distinct scores are fitted by aggregations, others in one task, by the same steps.
     Adds lo, hi and mean of the raw scores for the limit. ``mid`` holds the median where no mixture was fitted.
     """
     keys = score_keys(scores)
     val = validation_scores(scores)
     types = dict(scores.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n bigint, mean double, mid double" + "".join(
-        f", {c}{i} double" for i in (0, 1) for c in ("w", "mu", "var"))
-    fitted = score_histogram(val, keys, bins).groupBy(*keys).applyInPandas(_fit_key(keys), schema)
+        f", {p} double" for p in _PARAMS)
+    points, large = score_counts(val, keys), None
+    if val.count() > task_points:
+        points = scale.materialise(points)
+        sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > task_points)
+        large = scale.materialise(sizes.select(*keys))
+        if large.isEmpty():
+            large = None
+    small = points if large is None else scale.filter_by(points, large, keys, "left_anti")
+    fitted = small.groupBy(*keys).applyInPandas(_fit_key(keys), schema)
+    fitted = fitted.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c not in keys + ["n"] else F.col(c)
+                             for c in fitted.columns])
+    if large is not None:
+        many = scale.materialise(scale.filter_by(points, large, keys))
+        fitted = fitted.unionByName(_fit_large(many, keys))
+        scale.discard(many)
     ends = val.groupBy(*keys).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    nan_free = [F.when(~F.isnan(c), F.col(c)).alias(c) if c not in keys + ["n"] else F.col(c) for c in fitted.columns]
-    return fitted.select(*nan_free).join(ends, keys)
+    return fitted.join(ends, keys)
 
 
 def separation(mu0: Column, var0: Column, mu1: Column, var1: Column) -> Column:
@@ -161,9 +224,9 @@ def limits_from_components(components: DataFrame) -> DataFrame:
                              F.when(fitted, sep).otherwise(F.lit(0.0)).alias("separation_score"))
 
 
-def gmm_limits(scores: DataFrame, bins: int = MAX_POINTS) -> DataFrame:
+def gmm_limits(scores: DataFrame, task_points: int = TASK_POINTS) -> DataFrame:
     """Mixture limits per key with a validation score; DBSCAN flags need none and get none."""
-    return limits_from_components(gmm_components(scores.where(F.col("model") != "DBSCAN"), bins))
+    return limits_from_components(gmm_components(scores.where(F.col("model") != "DBSCAN"), task_points))
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float],

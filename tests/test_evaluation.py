@@ -54,13 +54,20 @@ def test_mixture_equals_plain_em(spark):
     assert limit["separation_score"] == pytest.approx(abs(want[1][0] - want[1][1]) / np.sqrt(want[2]).sum(), rel=1e-6)
 
 
-def test_binned_mixture_is_close_to_the_exact_one(spark):
+def test_mixtures_fitted_by_aggregations_equal_those_fitted_in_one_task(spark):
     rng = np.random.default_rng(8)
-    x = np.concatenate([rng.normal(0.4, 0.05, 3000), rng.normal(0.8, 0.1, 600)]).tolist()
-    df, exact = limits_of(spark, rows_of("g", x, [(0, 0.5)]))
-    binned = thresholds.gmm_limits(df, bins=500)
-    assert binned.first()["threshold_value"] == pytest.approx(exact.first()["threshold_value"], abs=0.005)
-    assert thresholds.score_histogram(df.where("split = 'val'"), ["g_act"], 500).count() <= 500
+    groups = [rows_of("two", np.concatenate([rng.normal(0.4, 0.05, 900), rng.normal(0.8, 0.1, 200)]).tolist(), []),
+              rows_of("long", rng.lognormal(0, 1.5, 700).round(2).tolist(), []),
+              rows_of("far", (1e6 + rng.normal(size=300)).tolist() + rng.normal(size=500).tolist(), []),
+              rows_of("few", [5.0, 1.0, 2.0, 9.0], []), rows_of("flat", [0.7] * 300, [])]
+    df, _ = limits_of(spark, *groups)
+    one, many = ({r["g_act"]: r for r in thresholds.gmm_components(df, n).collect()} for n in (65_536, 50))
+    assert set(one) == set(many) == {"two", "long", "far", "few", "flat"}
+    for g, want in one.items():
+        for c in ("n", "mean", "mid", "lo", "hi", *thresholds._PARAMS):
+            assert want[c] == many[g][c] or many[g][c] == pytest.approx(want[c], rel=1e-6), (g, c)
+    limits = [{r["g_act"]: r["threshold_value"] for r in thresholds.gmm_limits(df, n).collect()} for n in (65_536, 50)]
+    assert limits[0] == pytest.approx(limits[1], rel=1e-6)
 
 
 def test_fallback_limits(spark):
