@@ -5,7 +5,7 @@ of L words when its word edit distance to the item is at most ``TOLERANCE`` * L.
 
 1. Windows of L words are taken for every length L among the items. A leak of L words shares at least
    (L - 1) - 2 * TOLERANCE * L word pairs with its item, so windows with fewer pairs known from any item of L words are
-   skipped: nothing within the tolerance is lost here. Of neighbouring windows the ones with most known pairs stay.
+   skipped: nothing within the tolerance is lost here. All other windows are embedded and looked up.
 2. A CGK embedding walks over the window: at step t it writes the current word and moves on if a random bit, drawn from
    (t, word), says so. Sequences at small edit distance then agree in most places.
 3. ``TABLES`` times, ``SAMPLES`` places of the embedding are read as a key; a window and an item that agree in any key
@@ -169,18 +169,6 @@ class Items:
                 first = np.flatnonzero(symbols >= 0)
             if not len(first):
                 continue
-
-            def count(at, length=length, both=both):
-                return np.searchsorted(both, np.minimum(at + length, stop[at]) - 1) - np.searchsorted(both, at)
-
-            known_pairs = count(first)
-            top = np.ones(len(first), bool)
-            for d in (1, 2, 3):
-                for other in (first - d, first + d):
-                    inside = (other >= 0) & (other < n)
-                    o = np.where(inside, other, 0)
-                    top &= ~(inside & (doc[o] == doc[first]) & (count(o) > known_pairs))
-            first = first[top]
             for block in np.array_split(first, -(-len(first) // 20_000)):
                 got = _keys(symbols, spread, block, np.minimum(block + length, stop[block]), length)
                 where = np.minimum(np.searchsorted(keys, got), len(keys) - 1)

@@ -453,3 +453,23 @@ def test_registered(spark):
 
     assert set(QUERIES) <= set(queries()) and "pipeline" in queries()
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_leaks_beside_other_items(spark):
+    """Edited leaks stand beside text with more known pairs than they have: exact items, prose made of items' pairs."""
+    rng = random.Random(11)
+    pool = [f"b{i}" for i in range(60)]
+    items = [rng.choices(pool, k=20) for _ in range(40)]
+    prose, planted = " ".join(f"c{i}" for i in range(40)), {}
+    for k, item in enumerate(items):
+        other, third = items[(k + 1) % 40], items[(k + 2) % 40]
+        w = [f"edited{i}" if i in (0, 3, 6, 9) else x for i, x in enumerate(item)]
+        mirror = [f"edited{i}" if i in (19, 16, 13, 10) else x for i, x in enumerate(item)]
+        planted[2 * k] = " ".join([prose, *w, *other, prose])
+        planted[2 * k + 1] = " ".join([prose, *third[5:17], *other, *mirror, *other[3:15], prose])
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame, benchmark).collect()}
+    want = {(d, d // 2) for d in planted}
+    assert len(want & got) >= 0.98 * len(want)
+    assert {(d, (d // 2 + 1) % 40) for d in planted} <= got
