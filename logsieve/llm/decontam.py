@@ -18,7 +18,7 @@ pass over the documents. Few passes: a block holds ``BLOCK_WORDS`` words of item
 
 Defined results: null and empty texts, and items without words, have no leaks; repeated documents or items each give
 their own rows; ties of equal distance go to the earliest stretch; empty tables give no rows; other columns are ignored.
-Items of fewer than five words only match exactly.
+Items of fewer than five words only match exactly and are looked up by a hash of the whole window.
 """
 
 from __future__ import annotations
@@ -122,9 +122,16 @@ class Items:
         for k, x in enumerate(self.items):
             if len(x):
                 by_length.setdefault(len(x), []).append(k)
+        self.exact = {}
         for length, members in by_length.items():
             flat = np.concatenate([self.items[k] for k in members])
             at = np.arange(len(members)) * length
+            if not _tolerated(length):
+                hashes, same = W.hash_windows(_spread(flat), length)[at], {}
+                for h, k in zip(hashes.tolist(), members, strict=True):
+                    same.setdefault(h, []).append(k)
+                self.exact[length] = same, np.array(sorted(same), np.uint64)
+                continue
             found = {}
             for table in _keys(flat, _spread(flat), at, at + length, length):
                 for key, k in zip(table.tolist(), members, strict=True):
@@ -139,7 +146,7 @@ class Items:
         number = pc.fill_null(pc.index_in(dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False)
         symbols = number.astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         n = len(symbols)
-        if not n or not self.tables:
+        if not n or not (self.tables or self.exact):
             return []
         doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         stop = starts[1:][doc]
@@ -186,7 +193,7 @@ class Items:
                 seen[-1][1] = max(seen[-1][1], end)
             else:
                 seen.append([begin, end])
-        found = []
+        found = self._equal(symbols, spread, doc, starts)
         for (row, k), spans in sorted(regions.items()):
             allowed, taken = int(_tolerated(len(self.items[k]))), -1
             for begin, end in spans:
@@ -202,6 +209,20 @@ class Items:
                     begin = taken = begin + b
         return found
 
+    def _equal(self, symbols, spread, doc, starts):
+        """What ``search`` gives for items too short for any edit; their stretches do not overlap."""
+        found = []
+        for length, (same, hashes) in self.exact.items():
+            got, ends = W.hash_windows(spread, length), {}
+            at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)] == got)
+            for at in at[doc[at] == doc[at + length - 1]].tolist():
+                row = int(doc[at])
+                for k in same[int(got[at])]:
+                    if at >= ends.get((row, k), 0) and np.array_equal(symbols[at:at + length], self.items[k]):
+                        ends[row, k] = at + length
+                        found.append((row, k, at - int(starts[row]), at + length - int(starts[row]), 0))
+        return found
+
 
 def _search(items: Items):
     def run(batches):

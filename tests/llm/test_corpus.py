@@ -473,3 +473,24 @@ def test_leaks_beside_other_items(spark):
     want = {(d, d // 2) for d in planted}
     assert len(want & got) >= 0.98 * len(want)
     assert {(d, (d // 2 + 1) % 40) for d in planted} <= got
+
+
+def test_leaks_of_short_items(spark):
+    items = [(1, "Yes."), (2, "42"), (3, "これは長い文です"), (4, "two words"), (5, "no no"), (6, "one two three"),
+             (7, "four words in all"), (8, "yes")]
+    texts = [(0, "a 42, (42) and YES two"), (1, "words two words no no no no no"), (2, "one two, three これは長い文です。"),
+             (3, "four words in fact one three"), (4, "two"), (5, "words in"), (6, None), (7, "four words in all")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = []
+    for d, t in texts:
+        plain = [re.sub(r"[\W_]", "", x.lower()) for x in words(t)]
+        for i, x in items:
+            item, at = [re.sub(r"[\W_]", "", y.lower()) for y in words(x)], 0
+            while at < len(plain):
+                hit = plain[at:at + len(item)] == item
+                want += [(d, i, at, at + len(item), 0, len(item))] * hit
+                at += len(item) if hit else 1
+    assert len(want) == 10
+    assert ordered(map(tuple, decontam.leaks(frame, benchmark).collect())) == ordered(want)
+    assert {r.doc_id for r in decontam.clean(frame, benchmark).collect()} == {3, 4, 5, 6}
