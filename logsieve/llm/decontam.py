@@ -197,16 +197,18 @@ class Items:
         for (row, k), spans in sorted(regions.items()):
             allowed, taken = int(_tolerated(len(self.items[k]))), -1
             for begin, end in spans:
-                begin = max(begin, taken)
-                # Several leaks of one item may follow each other within a region.
-                while begin < end:
-                    if np.count_nonzero(~np.isin(self.items[k], symbols[begin:end])) > allowed:
-                        break
+                # Several leaks of one item may follow each other within a region: the best one splits it in two.
+                open_ = [(max(begin, taken), end)]
+                while open_:
+                    begin, end = open_.pop()
+                    if begin >= end or np.count_nonzero(~np.isin(self.items[k], symbols[begin:end])) > allowed:
+                        continue
                     distance, a, b = best_stretch(self.items[k], symbols[begin:end])
                     if distance > allowed or a == b:
-                        break
+                        continue
                     found.append((row, k, begin + a - int(starts[row]), begin + b - int(starts[row]), distance))
-                    begin = taken = begin + b
+                    taken = max(taken, begin + b)
+                    open_ += [(begin, begin + a), (begin + b, end)]
         return found
 
     def _equal(self, symbols, spread, doc, starts):

@@ -494,3 +494,15 @@ def test_leaks_of_short_items(spark):
     assert len(want) == 10
     assert ordered(map(tuple, decontam.leaks(frame, benchmark).collect())) == ordered(want)
     assert {r.doc_id for r in decontam.clean(frame, benchmark).collect()} == {3, 4, 5, 6}
+
+
+def test_edited_leak_before_exact_one(spark):
+    """Leaks of one short item that follow each other each give a row, wherever the best of them stands."""
+    item = [f"b{i}" for i in range(10)]
+    edited = [x if i not in (2, 6) else f"edited{i}" for i, x in enumerate(item)]
+    plain = [f"c{i}" for i in range(30)]
+    frame = spark.createDataFrame([(1, " ".join([*plain, *edited, *item, *plain])),
+                                   (2, " ".join([*plain, *edited, *item, *edited, *plain]))], "doc_id long, text string")
+    got = decontam.leaks(frame, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert ordered((r.doc_id, r.start_word, r.stop_word, r.distance) for r in got) == ordered(
+        [(1, 30, 40, 2), (1, 40, 50, 0), (2, 30, 40, 2), (2, 40, 50, 0), (2, 50, 60, 2)])
