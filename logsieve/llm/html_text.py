@@ -4,7 +4,9 @@ Each page becomes a small tree. Navigation, headers, footers, asides, forms, not
 from it. For every node left, the density is its characters per tag, lowered where much of the text is in links; a
 node's density sum is the sum over its children. The node with the largest sum is the core of the article. The smallest
 density on the path from it to the body is the threshold: beside the path, subtrees at or above it belong to the article
-too, others do not. An ``article`` or ``main`` element around the core takes its place.
+too, others do not. Texts directly inside the elements of the path are judged the same way, together with the inline
+elements among them. One rule by tags adds to this: the outermost ``article`` around the core, or else the outermost
+``main``, belongs to the article with all it holds.
 
 Defined results: a null or empty page, or one without body text, gives the empty string; broken mark-up (unclosed or
 stray tags, pages cut off in the middle of a tag) is closed the way browsers do; text without any tag is one block;
@@ -51,7 +53,7 @@ _P_SCOPE = {"button", "table", "td", "th", "caption", "object"}
 
 
 class _Node:
-    __slots__ = ("tag", "cut", "parent", "parts", "open_p", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "cut", "parent", "parts", "open_p", "chars", "tags", "link_chars", "link_tags", "density", "inline")
 
     def __init__(self, tag, cut=False, parent=None):
         self.tag, self.cut, self.parent, self.parts = tag, cut, parent, []
@@ -59,6 +61,8 @@ class _Node:
         self.open_p = self if tag == "p" else None if parent is None or tag in _P_SCOPE else parent.open_p
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
+        # Neither a block nor around one.
+        self.inline = tag not in _BLOCK
 
 
 def _is_cut(tag: str, attributes: str) -> bool:
@@ -153,13 +157,41 @@ def _measure(order: list[_Node]) -> None:
             p.tags += node.tags + 1
             p.link_chars += node.link_chars
             p.link_tags += node.link_tags
-    body = order[0]
-    share = body.link_chars / max(1, body.chars)
+            p.inline &= node.inline
     for n in order:
-        if n.chars:
-            base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + share * n.chars + math.e)
-            ratio = n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags)
-            n.density = max(0.0, n.chars / max(1, n.tags) * math.log(max(ratio, 1.0)) / math.log(max(base, math.e)))
+        _rate(n, order[0])
+
+
+def _rate(n: _Node, body: _Node) -> None:
+    if n.chars:
+        share = body.link_chars / max(1, body.chars)
+        base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + share * n.chars + math.e)
+        ratio = n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags)
+        n.density = max(0.0, n.chars / max(1, n.tags) * math.log(max(ratio, 1.0)) / math.log(max(base, math.e)))
+
+
+def _runs(n: _Node) -> list[_Node]:
+    """The parts of a node that are not cut; neighbouring texts and inline elements share one node of their own."""
+    out, run = [], None
+    for x in n.parts:
+        if isinstance(x, _Node) and x.cut:
+            continue
+        if isinstance(x, _Node) and not x.inline:
+            out.append(x)
+            run = None
+            continue
+        if run is None:
+            run = _Node("", parent=n)
+            out.append(run)
+        run.parts.append(x)
+        if isinstance(x, str):
+            run.chars += len("".join(html.unescape(x).split()))
+        else:
+            run.chars += x.chars
+            run.tags += x.tags + 1
+            run.link_chars += x.link_chars
+            run.link_tags += x.link_tags
+    return out
 
 
 def _article(order: list[_Node]) -> list[_Node]:
@@ -176,23 +208,26 @@ def _article(order: list[_Node]) -> list[_Node]:
         path.append(node)
         node = node.parent
     threshold = min(n.density for n in path)
-    around = [i for i, n in enumerate(path) if n.tag in ("article", "main")]
+    around = [i for i, n in enumerate(path) if n.tag == "article"] or [i for i, n in enumerate(path) if n.tag == "main"]
     if around:
-        # The innermost of them that is an article, or else the main element.
-        articles = [i for i in around if path[i].tag == "article"]
-        return [path[articles[0] if articles else around[0]]]
-    chosen, on_path = [], set(map(id, path[1:]))
+        path = path[around[-1]:]
+        core = path[0]
+    chosen, on_path = [], set(map(id, path))
+
+    def belongs(x):
+        if x.tag:
+            return id(x) in on_path or x.chars and x.density >= threshold
+        # The path may end inside a line of text.
+        _rate(x, body)
+        return x.chars and x.density >= threshold or any(id(y) in on_path for y in x.parts)
 
-    if core is body:
-        return [body]
     stack = [body]
     while stack:
         n = stack.pop()
         if n is core or id(n) not in on_path:
             chosen.append(n)
             continue
-        stack.extend(x for x in reversed(n.parts) if isinstance(x, _Node) and not x.cut and (
-            x is core or id(x) in on_path or x.chars and x.density >= threshold))
+        stack.extend(x for x in reversed(_runs(n)) if belongs(x))
     return chosen
 
 

@@ -506,3 +506,26 @@ def test_edited_leak_before_exact_one(spark):
     got = decontam.leaks(frame, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert ordered((r.doc_id, r.start_word, r.stop_word, r.distance) for r in got) == ordered(
         [(1, 30, 40, 2), (1, 40, 50, 0), (2, 30, 40, 2), (2, 40, 50, 0), (2, 50, 60, 2)])
+
+
+_P = "A sentence of the story, long enough to count as text. "
+
+
+def story(n, k=0):
+    return "".join(f"<p>{_P * 3}{k + i}</p>" for i in range(n))
+
+
+def lines(n, k=0):
+    return [f"{_P * 3}{k + i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("page, text", [
+    # An embedded card, a story in several articles with and without main, a long comment without a telling class.
+    (f"<article><div>{story(2)}</div><article><div>{story(4, 2)}</div></article><div>{story(2, 6)}</div></article>", lines(8)),
+    (f"<main><article><div>{story(5)}</div></article><article><div>{story(4, 5)}</div></article></main>", lines(9)),
+    (f"<body><article><div>{story(5)}</div></article><article><div>{story(5, 5)}</div></article>", lines(10)),
+    (f"<article>{story(3)}<div><article>{story(6, 3)}</article></div></article>", lines(9)),
+    (f"<main>{_P * 4}<b>bold</b> end<article>{story(5)}</article><a href=x>more</a></main>", [_P * 4 + "bold end", *lines(5)]),
+])
+def test_text_around_the_core_is_kept(page, text):
+    assert html_text.main_text(page).split("\n") == text
