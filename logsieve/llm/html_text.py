@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a small tree. Navigation, headers, footers, asides, forms, notices, adverts, comments and code are cut
-from it. For every node left, the density is its characters per tag, lowered where much of the text is in links; a
+from it. What is only known by its class or id, and forms, stay where they are layout around the content: where they hold
+a ``main`` element, all the page's articles and first headings, or more than half of its text outside links; comments
+only where no article or first heading lies beside or around them. For every node left, the density is its characters per tag, lowered where much of the text is in links; a
 node's density sum is the sum over its children. The node with the largest sum is the core of the article. The smallest
 density on the path from it to the body is the threshold: beside the path, subtrees at or above it belong to the article
 too, others do not. Texts directly inside the elements of the path are judged the same way, together with the inline
@@ -33,7 +35,7 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
           "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
           "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-_CUT = {"head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "button",
+_CUT = {"head", "nav", "header", "footer", "aside", "script", "style", "noscript", "template", "button",
         "select", "textarea", "iframe", "svg", "canvas", "object", "dialog", "menu", "title", "input", "option",
         "audio", "video", "map", "xmp"}
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert",
@@ -45,6 +47,9 @@ _CUT_NAMES = {
     "breadcrumbs", "header", "masthead", "topbar", "footer", "comment", "comments", "commentlist", "disqus", "respond",
     "reply", "replies", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "toolbar",
     "login", "search", "pagination", "pager", "copyright", "disclaimer", "alert", "hidden"}
+_COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+# Cut whatever it holds, cut unless it is layout, comments.
+_SURE, _NAMED, _TALK = 1, 2, 3
 # Start tag -> open elements it closes, looked for up to the given boundaries.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -55,7 +60,7 @@ _P_SCOPE = {"button", "table", "td", "th", "caption", "object"}
 class _Node:
     __slots__ = ("tag", "cut", "parent", "parts", "open_p", "chars", "tags", "link_chars", "link_tags", "density", "inline")
 
-    def __init__(self, tag, cut=False, parent=None):
+    def __init__(self, tag, cut=0, parent=None):
         self.tag, self.cut, self.parent, self.parts = tag, cut, parent, []
         # The paragraph that a block inside this element would close.
         self.open_p = self if tag == "p" else None if parent is None or tag in _P_SCOPE else parent.open_p
@@ -65,24 +70,25 @@ class _Node:
         self.inline = tag not in _BLOCK
 
 
-def _is_cut(tag: str, attributes: str) -> bool:
+def _cut_of(tag: str, attributes: str) -> int:
     if tag in _CUT:
-        return True
+        return _SURE
+    cut = _NAMED if tag == "form" else 0
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return cut
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return _SURE
         if name == "role" and value in _CUT_ROLES:
-            return True
+            return _SURE
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return _SURE
         if name in ("class", "id"):
             found = _CUT_NAMES.intersection(re.split(r"[^a-z]+", value))
             if found and (tag != "article" or found & {"comment", "comments", "reply"}):
-                return True
-    return False
+                cut = max(cut, _TALK if found & _COMMENTS else _NAMED)
+    return cut
 
 
 def _tree(page: str) -> _Node:
@@ -122,7 +128,7 @@ def _tree(page: str) -> _Node:
                 node = node.parent
             if node is not root and node.tag in closed:
                 top = node.parent
-        node = _Node(tag, _is_cut(tag, attributes), top)
+        node = _Node(tag, _cut_of(tag, attributes), top)
         top.parts.append(node)
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             continue
@@ -137,6 +143,38 @@ def _tree(page: str) -> _Node:
     return root
 
 
+def _spare_layout(root: _Node) -> None:
+    """Take back cuts by name of elements that hold the content."""
+    order = [root]
+    for node in order:
+        order.extend(x for x in node.parts if isinstance(x, _Node) and x.cut != _SURE)
+    if not any(n.cut for n in order):
+        return
+    # Per subtree: characters outside links, articles and first headings, main elements; those of comments do not count.
+    text, marks, mains = {}, {}, {}
+    for n in reversed(order):
+        inner = [x for x in n.parts if isinstance(x, _Node) and x.cut != _SURE]
+        own = sum(len("".join(html.unescape(x).split())) for x in n.parts if isinstance(x, str))
+        text[id(n)] = 0 if n.tag == "a" else own + sum(text[id(x)] for x in inner)
+        marks[id(n)] = (n.tag in ("article", "h1") and n.cut != _TALK) + sum(marks[id(x)] for x in inner)
+        mains[id(n)] = (n.tag == "main") + sum(mains[id(x)] for x in inner)
+    # Articles around each node.
+    around = {id(root): 0}
+    for n in order:
+        if n is not root:
+            around[id(n)] = around[id(n.parent)] + (n.parent.tag == "article" and n.parent.cut != _TALK)
+        if not n.cut:
+            continue
+        most = text[id(n)] * 2 > text[id(root)]
+        beside = marks[id(root)] - marks[id(n)] - around[id(n)]
+        if n.cut == _TALK:
+            keep = not beside and not around[id(n)] and (mains[id(n)] or marks[id(n)] or most)
+        else:
+            keep = mains[id(n)] or most or marks[id(n)] and not beside
+        if keep:
+            n.cut = 0
+
+
 def _walk(root: _Node) -> list[_Node]:
     """Nodes that are not cut, parents before children."""
     order = [root]
@@ -264,7 +302,9 @@ def main_text(page: str | None) -> str:
     """The article of one page, a line per block."""
     if not page:
         return ""
-    order = _walk(_tree(page))
+    root = _tree(page)
+    _spare_layout(root)
+    order = _walk(root)
     _measure(order)
     return "\n".join(_blocks(_article(order)))
 

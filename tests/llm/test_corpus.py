@@ -529,3 +529,19 @@ def lines(n, k=0):
 ])
 def test_text_around_the_core_is_kept(page, text):
     assert html_text.main_text(page).split("\n") == text
+
+
+@pytest.mark.parametrize("page, text", [
+    *[(f"<body><div {mark}><div>{story(5)}</div></div><div class=footer>Some words at the end</div>", lines(5))
+      for mark in ("class=has-sidebar", "class='content no-sidebar'", "class='page header-fixed'", "id=search-results",
+                   "class='post-with-comments'", "class=widget-text")],
+    (f"<main><div class='content no-sidebar'><div>{story(5)}</div><div class=sidebar><p>Side</p></div></div></main>", lines(5)),
+    (f"<form id=aspnetForm><div class=menu><a href=1>a</a></div><div>{story(5)}</div></form>", lines(5)),
+    (f"<div class=has-sidebar><article>{story(2)}</article><div class=sidebar><div>{story(1, 9)}</div></div></div>", lines(2)),
+    # Long comments and forms beside an article stay cut.
+    (f"<article>{story(2)}<div class=comments>{story(9, 2)}</div></article>", lines(2)),
+    (f"<article>{story(2)}</article><div id=comments><article>{story(9, 2)}</article></div>", lines(2)),
+    (f"<article>{story(2)}</article><form>{story(1, 2)}</form><div class=site-menu><a href=x>Menu</a></div>", lines(2)),
+])
+def test_layout_names_keep_their_text(page, text):
+    assert html_text.main_text(page).split("\n") == text
