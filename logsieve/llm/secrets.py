@@ -25,9 +25,11 @@ HEX = r"[0-9a-f]{24,}"
 WINDOW = 24
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"
 # Class -> pattern of its strings and least entropy (bits) of a window. Tried in this order.
-CLASSES = {"hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), "base64": (r"[0-9]", 3.9)}
+# Letters need both cases, with a small letter that has no small one beside it: words and names in camel case have none.
+CLASSES = {"hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), "base64": (r"[0-9]", 3.9),
+           "letters": (r"[A-Z][a-z](?![a-z])|(?<![a-z])[a-z][A-Z]", 4.0)}
 # Candidates that match one of these are not secrets, whatever their entropy.
-ALLOWED = [r"^[^0-9]*$", r"^[^A-Za-z]*$", r"EXAMPLE|example|placeholder|dummy|xxxx",
+ALLOWED = [r"^[^A-Za-z]*$", r"EXAMPLE|example|placeholder|dummy|xxxx",
            r"(?i)abcdefghijklmnop|0123456789abcdef|1234567890",
            r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
            r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]+|[0-9]{1,4}))+$"]

@@ -545,3 +545,15 @@ def test_text_around_the_core_is_kept(page, text):
 ])
 def test_layout_names_keep_their_text(page, text):
     assert html_text.main_text(page).split("\n") == text
+
+
+def test_letter_keys_have_entropy_spans(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40)) for _ in range(50)]
+    plain = ["getElementByIdentifierOrCreateNewNode", "AbstractSingletonProxyFactoryBean", "a" * 40, "aB" * 20,
+             "donaudampfschifffahrtsgesellschaftskapitaen", "some_long_name_with_Many_words_in_it", "=" * 40,
+             "INTERNATIONALIZATIONOFEVERYTHING", "path/to/some/File/with/words/index"]
+    frame = spark.createDataFrame([(i, f"key {x} end") for i, x in enumerate(keys + plain)], "doc_id int, text string")
+    got = {r.doc_id: r for r in secrets.scan(frame).collect()}
+    assert all(got[i].spans == f"entropy:4:{4 + len(x)}" for i, x in enumerate(keys))
+    assert all(got[len(keys) + i].n_entropy == 0 for i in range(len(plain)))
