@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, mixing, neardup, planes, quality, secrets, sharding, substrings, url_lists
+from . import decontam, html_text, merkle, mixing, neardup, planes, quality, secrets, sharding, substrings, url_lists
 
 POLICY = "corpus@2"
 TOKENIZER = "word_bpe_49k.json"
@@ -67,9 +67,13 @@ def op10_suffix_automata(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_octopus(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))[1]
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_hash_tree, op3_url_lists, op4_text_density, op5_secret_scan, op6_odd_sketches,
-    op7_decontamination, op8_bit_planes, op9_mixing, op10_suffix_automata)}
+    op7_decontamination, op8_bit_planes, op9_mixing, op10_suffix_automata, op12_merkle_octopus)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -120,6 +124,12 @@ def _descent(tree: str, out: str) -> str:
     return ",\n".join(steps)
 
 
+# The table of CRC-32, byte by byte.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tab
+        FROM (SELECT unnest(range(256)) AS i))"""
+
+
 def _sharding_sql() -> str:
     seed = repr(sharding.SEED)
     return f"""
@@ -128,9 +138,7 @@ k AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null'
       FROM documents),
 {_descent('t', 's')},
 {_descent('g', 'w')},
-crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-          lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tab
-        FROM (SELECT unnest(range(256)) AS i)),
+{_CRC_TABLE},
 h AS (SELECT r, hex(encode(text)) AS hex FROM k),
 c AS (SELECT r, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hex) // 2),
           lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT)),
@@ -229,5 +237,52 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(x.gone), 0)::BIGINT A
 FROM w LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
 
+def _merkle_sql(depth: int = 6) -> str:
+    """``depth`` levels within sources and above them, enough for 16 ** depth leaves a source."""
+    def field(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+
+    def leaf(text):
+        return f"sha256({' || '.join(field(text if c == 'text' else c) for c in merkle.FIELDS)})"
+
+    def levels(name):
+        """Nodes with what stands before and after them in their group (w), and each leaf's way up (x)."""
+        steps = []
+        for k in range(depth):
+            side = "string_agg(h, '') OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN"
+            steps += [
+                f"{name}w{k} AS (SELECT *, coalesce({side} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, "
+                f"coalesce({side} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}n{k})",
+                f"{name}n{k + 1} AS (SELECT k, i // 16 AS i, CASE WHEN n = 1 THEN 1 ELSE (n + 15) // 16 END AS n, "
+                f"CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h "
+                f"FROM {name}n{k} GROUP BY k, i // 16, n)",
+                f"{name}x{k + 1} AS (SELECT r, x.k, x.i // 16 AS i, CASE WHEN n = 1 THEN v ELSE sha256(b || v || a) "
+                f"END AS v, CASE WHEN n = 1 THEN p ELSE p || b || a END AS p "
+                f"FROM {name}x{k} x JOIN {name}w{k} w ON w.k = x.k AND w.i = x.i)"]
+        return ",\n".join(steps)
+
+    return f"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, *, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS k,
+             hex(encode(doc_id::VARCHAR)) AS hex FROM documents),
+c AS (SELECT r, k, doc_id, {leaf("text")} AS leaf,
+             {leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} AS low,
+             xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hex) // 2),
+                 lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT)),
+                 lambda x, y: xor(tab[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) AS crc FROM d, crc),
+e AS (SELECT r, k, doc_id, leaf, CASE WHEN crc % 5 = 0 THEN low ELSE leaf END AS bent,
+             row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY k) AS n FROM c),
+n0 AS (SELECT k, i, n, leaf AS h FROM e), x0 AS (SELECT r, k, i, bent AS v, '' AS p FROM e),
+{levels("")},
+s AS (SELECT k AS source, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n, h FROM n{depth}),
+tn0 AS (SELECT '' AS k, i, n, h FROM s),
+tx0 AS (SELECT r, '' AS k, s.i, v, p FROM x{depth} x JOIN s ON s.source = x.k),
+{levels("t")}
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(x.p) AS proof_sha256, x.v AS folded_root, x.v = t.h AS verified
+FROM e JOIN tx{depth} x USING (r) JOIN s ON s.source = e.k JOIN tn{depth} t ON true"""
+
+
 ORACLES = {"op1_quality_rules": _quality_sql(), "op2_hash_tree": _sharding_sql(), "op3_url_lists": _urls_sql(),
-           "op6_odd_sketches": _neardup_sql(), "op9_mixing": _mixing_sql(), "op10_suffix_automata": _substrings_sql()}
+           "op6_odd_sketches": _neardup_sql(), "op9_mixing": _mixing_sql(), "op10_suffix_automata": _substrings_sql(),
+           "op12_merkle_octopus": _merkle_sql()}

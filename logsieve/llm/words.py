@@ -7,13 +7,16 @@ cuts them so that memory follows the bytes of text, not the number of rows.
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -22,8 +25,8 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 def release() -> None:
     """Give memory that is free again back to the system: Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()
-    if _LIBC is not None:
-        _LIBC.malloc_trim(0)
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
