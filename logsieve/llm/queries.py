@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, merkle, mixing, neardup, planes, quality, secrets, sharding, substrings, url_lists
+from . import align, decontam, hmm, html_text, merkle, mixing, neardup, planes, quality, secrets, sharding, substrings, url_lists
 
 POLICY = "corpus@2"
 TOKENIZER = "word_bpe_49k.json"
@@ -67,13 +67,23 @@ def op10_suffix_automata(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merge_path(spark, sf_dir):
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                       tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_merkle_octopus(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))[1]
 
 
+def op13_hidden_markov(spark, sf_dir):
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_hash_tree, op3_url_lists, op4_text_density, op5_secret_scan, op6_odd_sketches,
-    op7_decontamination, op8_bit_planes, op9_mixing, op10_suffix_automata, op12_merkle_octopus)}
+    op7_decontamination, op8_bit_planes, op9_mixing, op10_suffix_automata, op11_merge_path,
+    op12_merkle_octopus, op13_hidden_markov)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
