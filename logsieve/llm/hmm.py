@@ -3,8 +3,8 @@
 A word is emitted in two steps: the state emits a word class (``CLASSES`` of them, from the word's first two and last
 three characters, so unseen words have one as well), the class its word by counts over the whole corpus, add-half smoothed
 with one unseen word a class. Transitions and class emissions are a bounded table, which every task gets; word counts grow
-with the corpus and are never broadcast: texts are coded in blocks of a few megabytes, a block's distinct words are joined
-with the counts by word, and each block gets back the counts of its own words.
+with the corpus and are never broadcast: texts are coded in blocks of a few megabytes, a block's distinct words are sent out
+by hash buckets, as many as the corpus needs, counted there, and each block gets back the counts of its own words.
 
 Training (``fit``): every round is one pass over the coded blocks. A task runs the scaled forward and backward recursions and
 adds up expected counts of starts, transitions and class emissions; a grouping adds them over all tasks, in units of
@@ -39,8 +39,10 @@ STATES = 8
 CLASSES = 16_384
 ROUNDS = 8
 SEQUENCE = 512
-# Bytes of text in a block, and tokens whose recursions are held at once.
+# Bytes of text in a block, and, on average, bytes whose blocks' distinct words one task counts.
 BLOCK = 8 << 20
+BUCKET = 16 << 20
+# Tokens whose recursions are held at once.
 HELD = 250_000
 # Words of prior weight with which a state's class emissions lean on the corpus's shares.
 PRIOR = 50.0
@@ -80,84 +82,109 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
-BLOCKS = "docs array<{0}>, held array<boolean>, sizes array<int>, codes binary, words array<string>, trained array<int>"
+CODED_BLOCK = "block long, bucket int, docs array<{0}>, held array<boolean>, sizes array<int>, codes binary, kinds binary, " \
+    "words binary, trained binary"
 
 
-def _code(kind: pa.DataType):
-    """One row per block: its rows' ids and word numbers, its distinct words, and how often training rows have each."""
+def _code(kind: pa.DataType, buckets: int):
+    """Per block one row with its rows' ids and word numbers (bucket null), and per bucket one with its distinct words.
+
+    A block's words are numbered by bucket, so the counts of its buckets in turn are those of its words in turn.
+    """
     def run(batches):
         number, part = 0, TaskContext.get().partitionId()
+        names = ["block", "bucket", "docs", "held", "sizes", "codes", "kinds", "words", "trained"]
+        types = [pa.int64(), pa.int32(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
         for batch in W.slices(batches, limit=BLOCK):
-            starts, codes, dictionary = W.split_words(batch.column("text"), lower=True)
+            starts, codes, words = W.split_words(batch.column("text"), lower=True)
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
             sizes = np.diff(starts)
-            trained = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(dictionary))
-            row = [pa.array([(part << 32) + number], pa.int64()),
-                   pa.array([batch.column("doc_id").to_pylist()], pa.list_(kind)), pa.array([held.tolist()]),
-                   pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([_pack(codes.astype(np.int32))], pa.binary()),
-                   pa.ListArray.from_arrays(pa.array([0, len(dictionary)], pa.int32()), dictionary.cast(pa.string())),
-                   pa.ListArray.from_arrays(pa.array([0, len(dictionary)], pa.int32()), pa.array(trained.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(row, ["block", "docs", "held", "sizes", "codes", "words", "trained"])
-            number += 1
+            bucket = (W.hash_strings(words, 17) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            codes, words, bucket = rank[codes], words.take(pa.array(order)), bucket[order]
+            trained = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int32)
+            block, number = (part << 32) + number, number + 1
+            rows = [(block, None, batch.column("doc_id").to_pylist(), held.tolist(), sizes.tolist(), _pack(codes),
+                     _pack(word_classes(words)), None, None)]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            for s, e in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                # Words hold no line break.
+                text = "\n".join(words.slice(s, e - s).to_pylist()).encode()
+                rows.append((block, int(bucket[s]), None, None, None, None, None,
+                             zstandard.ZstdCompressor(level=1).compress(text), _pack(trained[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
     return run
 
 
+def _count(rows: pa.Table) -> pa.Table:
+    """The counts of one bucket's words, back per block; and per class the bucket's tokens and distinct words (block null)."""
+    texts = [zstandard.ZstdDecompressor().decompress(x).decode() for x in rows.column("words").to_pylist()]
+    words = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+    sizes = pc.list_value_length(words).to_numpy()
+    coded = words.flatten().cast(pa.string()).dictionary_encode()
+    codes, trained = coded.indices.to_numpy(), [_unpack(x, np.int32) for x in rows.column("trained").to_pylist()]
+    n = np.bincount(codes, np.concatenate(trained), len(coded.dictionary)).astype(np.int64)
+    kinds = word_classes(coded.dictionary)
+    known = np.bincount(kinds[n > 0], minlength=CLASSES)
+    some = np.flatnonzero(known)
+    parts = np.split(n[codes], np.cumsum(sizes)[:-1])
+    bucket = rows.column("bucket")[0].as_py()
+    blocks = rows.column("block").to_pylist()
+    none = [None] * len(blocks)
+    return pa.table([pa.array([*blocks, None], pa.int64()), pa.array([bucket] * (len(blocks) + 1), pa.int32()),
+                     pa.array([*map(_pack, parts), None], pa.binary()), pa.array([*none, some.tolist()], pa.list_(pa.int64())),
+                     pa.array([*none, np.bincount(kinds, n, CLASSES).astype(np.int64)[some].tolist()], pa.list_(pa.int64())),
+                     pa.array([*none, known[some].tolist()], pa.list_(pa.int64()))],
+                    names=["block", "bucket", "n", "k", "tokens", "distinct"])
+
+
 CODED = "docs array<{0}>, held array<boolean>, sizes array<int>, classes binary, known array<int>, logs array<double>"
 
 
 def _recode(kind: pa.DataType):
     """A block with classes in place of words, and per row the sum of log10(count + 1/2) and the known words."""
     def run(block: pa.Table, counts: pa.Table) -> pa.Table:
-        counts = counts.sort_by("at")
-        n = counts.column("n").to_numpy()
+        packed = counts.sort_by("bucket").column("n").to_pylist()
+        n = np.concatenate([_unpack(x, np.int64) for x in packed] or [np.zeros(0, np.int64)])
         row = block.slice(0, 1).to_pylist()[0]
-        dictionary = block.column("words").combine_chunks().flatten()
         codes, sizes = _unpack(row["codes"], np.int32), np.array(row["sizes"], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         sums = np.concatenate([[0.0], np.cumsum(np.log10(n + 0.5)[codes])])
         logs = sums[starts[1:]] - sums[starts[:-1]]
         known = W.counts_of((n > 0)[codes], starts)
         return pa.table([block.column("block").slice(0, 1), pa.array([row["docs"]], pa.list_(kind)), pa.array([row["held"]]),
-                         pa.array([row["sizes"]], pa.list_(pa.int32())), pa.array([_pack(word_classes(dictionary)[codes])], pa.binary()),
+                         pa.array([row["sizes"]], pa.list_(pa.int32())), pa.array([_pack(_unpack(row["kinds"], np.uint16)[codes])], pa.binary()),
                          pa.array([known.tolist()], pa.list_(pa.int32())), pa.array([logs.tolist()], pa.list_(pa.float64()))],
                         names=["block", "docs", "held", "sizes", "classes", "known", "logs"])
     return run
 
 
-def _class_sums(batches):
-    """Per class, the tokens and distinct words of training text in one batch of the word counts."""
-    for batch in batches:
-        kinds = word_classes(batch.column("word"))
-        n = batch.column("n").to_numpy()
-        tokens = np.bincount(kinds, n, CLASSES).astype(np.int64)
-        distinct = np.bincount(kinds[n > 0], minlength=CLASSES)
-        some = np.flatnonzero(distinct)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(tokens[some]), pa.array(distinct[some].astype(np.int64))],
-                                         ["k", "tokens", "distinct"])
-
-
 def code(docs: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray], int]:
     """Blocks of coded rows, stored; per class the training tokens and distinct words; and the number of training rows."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
+    arrow, text = to_arrow_type(kind), F.coalesce("text", F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    blocks = scale.materialise(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held.alias("held")).mapInArrow(
-        _code(to_arrow_type(kind)), "block long, " + BLOCKS.format(kind.simpleString())))
-    pairs = scale.materialise(blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w")).select(
-        "block", "at", F.col("w.words").alias("word"), F.col("w.trained").cast("long").alias("trained")))
-    counts = scale.materialise(pairs.groupBy("word").agg(F.sum("trained").alias("n")))
-    back = pairs.join(counts, "word").select("block", "at", "n")
-    coded = scale.materialise(blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        _recode(to_arrow_type(kind)), "block long, " + CODED.format(kind.simpleString())))
-    classes = counts.mapInArrow(_class_sums, "k long, tokens long, distinct long").groupBy("k").agg(
-        F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).toPandas()
+    coded = scale.materialise(docs.select("doc_id", text.alias("text"), held.alias("held")).mapInArrow(
+        _code(arrow, max(1, -(-size // BUCKET))), CODED_BLOCK.format(kind.simpleString())))
+    counts = scale.materialise(coded.where("bucket IS NOT NULL").select("block", "bucket", "words", "trained").groupBy(
+        "bucket").applyInArrow(_count, "block long, bucket int, n binary, k array<long>, tokens array<long>, distinct array<long>"))
+    blocks = coded.where("bucket IS NULL").select("block", "docs", "held", "sizes", "codes", "kinds")
+    back = counts.where("block IS NOT NULL").select("block", "bucket", "n")
+    stored, coded = coded, scale.materialise(blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        _recode(arrow), "block long, " + CODED.format(kind.simpleString())))
+    classes = counts.where("block IS NULL").select(F.explode(F.arrays_zip("k", "tokens", "distinct")).alias("c")).groupBy(
+        F.col("c.k").alias("k")).agg(F.sum("c.tokens").alias("tokens"), F.sum("c.distinct").alias("distinct")).toPandas()
     texts = coded.select(F.explode("held").alias("h")).where("NOT h").count()
     per_class = {c: np.zeros(CLASSES, np.int64) for c in ("tokens", "distinct")}
     for c, values in per_class.items():
         values[classes["k"].to_numpy(np.int64)] = classes[c]
         values[END] = texts if c == "tokens" else min(texts, 1)
-    scale.discard(blocks, pairs, counts)
+    scale.discard(stored, counts)
     return coded, per_class, texts
 
 
