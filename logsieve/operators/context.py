@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scale
@@ -88,31 +88,35 @@ def apply_context_stats(feats: DataFrame, stats: DataFrame, grains=None) -> Data
     return out
 
 
-def resource_workload(feats: DataFrame, hours: int = 2, cell_hours: int = 6) -> DataFrame:
+def workload_steps(feats: DataFrame, hours: int = 2) -> DataFrame:
+    """The sweep behind ``resource_workload``: every event arrives (+1) and, ``hours`` later, departs (-1).
+
+    ``_at`` and ``_arrives`` order the steps: at equal times departures come first. Departures carry the keys alone.
+    """
+    keys = ["run"] if "run" in feats.columns else []
+    steps = _filled(feats).withColumn("_arrives", F.explode(F.array(F.lit(0), F.lit(1))))
+    late = F.when(F.col("_arrives") == 0, F.lit(hours * 3_600_000_000)).otherwise(F.lit(0))
+    kept = {*keys, "resource", "event_key"}
+    return steps.select(
+        *[F.col(c) if c in kept else F.when(F.col("_arrives") == 1, F.col(c)).alias(c) for c in feats.columns],
+        (F.col("time_us") + late).alias("_at"), "_arrives")
+
+
+def resource_workload(feats: DataFrame, hours: int = 2, limit: int = scale.HOT_ROWS) -> DataFrame:
     """Add ``resource_workload``: events of the resource in the trailing (t - hours, t], the event included.
 
-    Of events at the same time only those up to the present one in (time_us, event_key) order count. Events are
-    windowed per (resource, cell of ``cell_hours``), each cell also holding the last ``hours`` of the cell before
-    it, so a busy resource spreads over as many tasks as it has cells. The count is the difference of two growing
-    frames, linear in the rows.
+    Of events at the same time only those up to the present one in (time_us, event_key) order count. The count is the
+    running sum of arrivals and departures of the resource; resources of more than ``limit`` steps are summed in range
+    segments over many tasks, however their events lie in time, so no hour of a busy resource is gathered in one task.
     """
     if not has_resource(feats):
         return feats.withColumn("resource_workload", F.lit(0.0))
-    span, cell = hours * 3_600_000_000, cell_hours * 3_600_000_000
-    if cell < span:
-        raise ValueError("cell_hours must not be below hours")
-    feats = _filled(feats)
-    own = F.floor(F.col("time_us") / cell)
-    # The cell that still sees this event at its start.
-    lent = F.pmod(F.col("time_us"), F.lit(cell)) > cell - span
-    rows = feats.withColumn("_own", own).withColumn(
-        "_cell", F.explode(F.when(lent, F.array(own, own + 1)).otherwise(F.array(own))))
     keys = ["run"] if "run" in feats.columns else []
-    by = Window.partitionBy(*keys, "resource", "_cell")
-    until = F.row_number().over(by.orderBy("time_us", "event_key"))
-    outside = F.count(F.lit(1)).over(by.orderBy("time_us").rangeBetween(Window.unboundedPreceding, -span))
-    rows = rows.withColumn("resource_workload", (until - outside).cast("double"))
-    return rows.where(F.col("_cell") == F.col("_own")).drop("_own", "_cell")
+    steps = workload_steps(feats, hours)
+    change = (F.col("_arrives") * 2 - 1).cast("bigint")
+    out = scale.running(steps, [*keys, "resource"], ["_at", "_arrives", "event_key"], {"_load": change}, limit,
+                        2 * feats.count())
+    return out.where("_arrives = 1").select(*feats.columns, F.col("_load").cast("double").alias("resource_workload"))
 
 
 def context_features(feats: DataFrame, stats: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from logsieve.operators import context, features, order, profile, split
+from logsieve.operators import context, features, order, profile, scale, split
 from logsieve.sources.readers import parse_utc, read_event_log
 from logsieve.sources.spec import EventLogSpec, has_resource
 
@@ -147,7 +147,24 @@ def test_workload_of_tied_times(make_log):
     assert [r["resource_workload"] for r in got] == [1, 2, 2, 3, 3]
 
 
-def test_workload_does_not_depend_on_cells(make_log):
-    log = make_log([("c", "A", f"r{i % 2}", float((i * 7919) % 200_000)) for i in range(400)])
-    a = context.resource_workload(log, cell_hours=2)
-    same(a, context.resource_workload(log, cell_hours=48))
+@pytest.mark.parametrize("limit", [2_000_000, 50])
+def test_workload_does_not_depend_on_segments(make_log, limit):
+    """A resource whose events all lie within minutes, one spread over days, a missing one, and many equal times."""
+    rows = [("c", "A", "busy", float((i * 37) % 400)) for i in range(500)]
+    rows += [("d", "B", "calm", float((i * 7919) % 200_000)) for i in range(300)] + [("e", "A", None, 7200.0 * (i // 9)) for i in range(90)]
+    log = make_log(rows)
+    seen, want = {}, {}
+    for r in sorted(log.collect(), key=lambda r: (r["time_us"], r["event_key"])):
+        earlier = seen.setdefault(r["resource"], [])
+        earlier.append(r["time_us"])
+        want[r["event_key"]] = sum(t > r["time_us"] - 7_200_000_000 for t in earlier)
+    got = context.resource_workload(log, limit=limit)
+    assert got.columns == [*log.columns, "resource_workload"]
+    assert {r["event_key"]: r["resource_workload"] for r in got.collect()} == want
+
+
+def test_busy_hour_is_split_over_tasks(make_log):
+    log = make_log([("c", "A", "busy", float((i * 37) % 400)) for i in range(1_000)])
+    light, hot = scale.part_heavy(context.workload_steps(log), ["resource"], ["_at", "_arrives", "event_key"], 50)
+    sizes = [r["count"] for r in hot.groupBy("_seg").count().collect()]
+    assert light.count() == 0 and sum(sizes) == 2_000 and len(sizes) > 20 and max(sizes) <= 200

@@ -18,3 +18,14 @@ def test_every_oracle_has_its_query():
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_sql(spark, name):
     assert compare(spark, tables(SF), SF, name, QUERIES[name], ORACLES[name]) == ""
+
+
+def test_workload_in_segments_equals_sql(spark):
+    from logsieve.operators import context
+    from logsieve.plans.fixtures import fixture
+
+    for name, log in (("feat_resource_workload", "clicks_gaps"), ("feat_workload_ties", "lines")):
+        def segmented(spark, sf, log=log):
+            return context.resource_workload(fixture(spark, sf, log), limit=50).select("event_key", "resource_workload")
+
+        assert compare(spark, tables(SF), SF, name, segmented, ORACLES[name]) == ""
