@@ -16,127 +16,121 @@ rows are written once each; a null doc_id comes first; an empty table writes no
 
 from __future__ import annotations
 
+import json
+import sys
 import uuid
 import zlib
-from array import array
-from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import scale
+from . import align
 from . import words as W
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 65_536
 SEGMENT = 1_000_000
 LEVEL = 3
 END = 1
-KEPT_WORDS = 200_000
+# Words of letters that lower-casing maps one to one and normalisation leaves alone, with a mark at most.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+# Normalisation and splitting of the files that can be encoded word by word.
+BY_WORDS = [
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+      "behavior": "Removed", "invert": True},
+     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]]
 
 
 class Encoder:
-    """Ids of texts from a tokenizer that drops white space, a distinct word at a time.
+    """Ids of texts; by distinct words where the tokenizer's file shows that this is the same as encoding whole texts.
 
-    Such a tokenizer treats the stretches between white space by themselves, so a text's ids are those of its words in
-    turn. A distinct word goes to the tokenizer once for as long as it is remembered: ``KEPT_WORDS`` words, and as many
-    from before, of which those that come again are taken over.
+    A file of the ``BY_WORDS`` kind drops white space, lower-cases and closes each run of letters with a closing token, so a
+    text's ids are those of its words in turn. Of a slice of text the distinct words go to the tokenizer; those of plain
+    letters, with one full stop or comma at most, are first reduced to their distinct stems, which the file's merges as
+    ranks encode many to a call (a NUL stands for the end of a word). Nothing is kept between slices. Files of other kinds
+    get whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in ".,"}
-        self.index, self.flat, self.ends = {}, array("I"), array("q", [0])
-        self._forget()
-
-    def _forget(self):
-        self.old = self.index, self.flat, self.ends
-        self.index, self.flat, self.ends = {}, array("I"), array("q", [0])
-
-    def _store(self, words: list[str], ids, lengths) -> None:
-        at = len(self.ends) - 1
-        self.index.update(zip(words, range(at, at + len(words)), strict=True))
-        ends = np.cumsum(np.asarray(lengths, np.int64)) + len(self.flat)
-        self.flat.frombytes(np.asarray(ids, np.uint32).tobytes())
-        self.ends.frombytes(ends.tobytes())
-
-    def _recall(self, words: list[str]) -> list[str]:
-        """Take over the words of the generation before; those left are new."""
-        index, flat, ends = self.old
-        known = [w for w in words if w in index]
-        if known:
-            place = np.fromiter(map(index.__getitem__, known), np.int64, len(known))
-            flat, ends = np.frombuffer(flat, np.uint32), np.frombuffer(ends, np.int64)
-            lengths = ends[place + 1] - ends[place]
-            before = np.cumsum(lengths) - lengths
-            self._store(known, flat[np.repeat(ends[place] - before, lengths) + np.arange(lengths.sum())], lengths)
-        return [w for w in words if w not in index]
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of new words.
-
-        Words of letters, with one full stop or comma at most, need no splitting: those of ASCII letters go to the
-        tokenizer's model as they are, the others many to a call, since each run of letters ends with a closing token,
-        which tells them apart. All other words are encoded one by one.
-        """
-        tokenize, marks = self.tokenizer.model.tokenize, self.marks
-        ids, wide, odd = {}, [], []
-        for w in words:
-            stem = w[:-1] if w[-1] in marks else w
-            if not stem.isalpha():
-                odd.append(w)
-            elif stem.isascii():
-                ids[w] = [t.id for t in tokenize(stem.lower())]
-                if stem is not w:
-                    ids[w] += marks[w[-1]]
-            elif stem.lower().isalpha():
-                wide.append((w, stem))
-            else:
-                odd.append(w)
-        for k in range(0, len(wide), 256):
-            some = wide[k:k + 256]
-            got = np.array(self.tokenizer.encode(" ".join(x for _, x in some), add_special_tokens=False).ids, np.int64)
-            cuts = (np.flatnonzero(self.closes[got]) + 1).tolist()
-            if len(cuts) == len(some):
-                got = got.tolist()
-                for (w, stem), a, b in zip(some, [0, *cuts], cuts, strict=False):
-                    ids[w] = got[a:b] + (marks[w[-1]] if stem is not w else [])
-            else:
-                odd += [w for w, _ in some]
-        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else [], strict=True):
-            ids[w] = e.ids
-        self._store(list(ids), [i for x in ids.values() for i in x], [len(x) for x in ids.values()])
+        self.ranked = None
+        steps = [(file.get("normalizer") or {}).get("normalizers"), (file.get("pre_tokenizer") or {}).get("pretokenizers")]
+        self.by_words = steps == BY_WORDS and file["model"].get("end_of_word_suffix") == "</w>"
+        if self.by_words:
+            vocabulary, merges = file["model"]["vocab"], file["model"]["merges"]
+            merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+            if all(vocabulary.get(t) == 512 + i for i, t in enumerate(merged)):
+                import tiktoken
+
+                special, letters = {t["content"] for t in file["added_tokens"]}, align._byte_letters()
+                ranks = {bytes(letters[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>"): i
+                         for t, i in vocabulary.items() if t not in special}
+                self.ranked = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+                self.closes = np.zeros(max(ranks.values()) + 1, bool)
+                self.closes[[i for t, i in ranks.items() if t.endswith(b"\0")]] = True
+            self.marks = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in ".,"}
+
+    def _stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all stems one after another, and where each starts."""
+        data, at = W.text_bytes(pc.binary_join_element_wise(stems, "", "\0"))
+        ids = np.array(self.ranked.encode_ordinary(data[at[0]:at[-1]].tobytes().decode()), np.int64)
+        return ids.astype(np.uint32), np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])
+
+    def _listed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        return (np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists))),
+                np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after another, and where each word's start."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        if self.ranked is None or not plain.any():
+            return self._listed(words.to_pylist())
+        some = words.filter(pa.array(plain))
+        stems = pc.utf8_rtrim(pc.utf8_lower(some), ".,").dictionary_encode()
+        flat, starts = self._stems(stems.dictionary)
+        odd, odd_starts = self._listed(words.filter(pa.array(~plain)).to_pylist())
+        marks, mark_starts = self._mark_ids()
+        # Each word is one stretch of ids (its stem's, or its own) and perhaps that of a mark.
+        body, mark = np.empty(len(words), np.int64), np.zeros(len(words), np.int64)
+        body[plain] = stems.indices.to_numpy()
+        body[~plain] = len(starts) - 1 + np.arange(len(words) - plain.sum())
+        for k, p in enumerate(self.marks, 1):
+            mark[np.flatnonzero(plain)[pc.ends_with(some, p).to_numpy(zero_copy_only=False).astype(bool)]] = k
+        mark += len(starts) + len(odd_starts) - 2
+        flat, starts = np.concatenate([flat, odd, marks]), np.concatenate(
+            [starts, len(flat) + odd_starts[1:], len(flat) + len(odd) + mark_starts[1:]])
+        ids, at = _stretches(flat, starts, np.stack([body, mark], 1).ravel())
+        return ids, at[::2]
+
+    def _mark_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """No mark, then the marks."""
+        lists = [[], *self.marks.values()]
+        return (np.array(list(chain.from_iterable(lists)), np.uint32),
+                np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each closed by the end id, and where each text starts."""
-        starts, codes, dictionary = W.split_words(texts)
-        words = dictionary.to_pylist()
-        new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > KEPT_WORDS and self.index:
-            self._forget()
-            new = words
-        new = self._recall(new)
-        for k in range(0, len(new), 20_000):
-            self._learn(new[k:k + 20_000])
-        place = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else \
-            np.zeros(0, np.uint32)
-        sizes = (ends[place + 1] - ends[place]).astype(np.int32)
-        lengths = sizes[codes]
-        before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        # Where each id stands in ``flat``: its word's first id, then one further per id.
-        source = np.repeat((ends[place].astype(np.int32)[codes] - before[:-1]).astype(np.int32), lengths)
-        source += np.arange(before[-1], dtype=np.int32)
-        ids = flat[source]
-        text_starts = before[starts] + np.arange(len(starts))
+        if self.by_words:
+            starts, codes, words = W.split_words(texts)
+            ids, at = _stretches(*self._words(words), codes)
+            before = at[starts]
+        else:
+            ids, before = self._listed(pc.fill_null(texts, "").to_pylist())
+        text_starts = before + np.arange(len(before))
         out = np.full(int(text_starts[-1]), END, np.uint32)
         # Each text's end id stays where it is; the ids fill the places between.
         free = np.ones(len(out), bool)
@@ -145,9 +139,13 @@ class Encoder:
         return out, text_starts
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _stretches(flat: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted stretches of ``flat`` (stretch k from ``starts[k]`` on) one after another, and where each starts."""
+    lengths = np.diff(starts)[wanted]
+    before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    source = np.repeat(starts[wanted].astype(np.int64) - before[:-1], lengths)
+    source += np.arange(before[-1])
+    return flat[source], before
 
 
 def pack(ids: np.ndarray, mode: str = "byte", block: int = BLOCK) -> tuple[bytes, list[int], list[int]]:
@@ -194,7 +192,7 @@ def _schema(kind: str) -> str:
 
 def _write(path: str, mode: str, kind: pa.DataType):
     def run(batches):
-        tokens, part = encoder(path), TaskContext.get().partitionId()
+        tokens, part = Encoder(path), TaskContext.get().partitionId()
         docs, held, sizes, total, number, first = [], [], [], 0, 0, 0
 
         def segment():

@@ -350,14 +350,18 @@ def test_token_files(spark, docs, rows, nothing, monkeypatch):
     assert planes.read_ids(spark, target).count() == 0
 
 
-def test_encoder_forgets_without_loss(texts, monkeypatch):
-    monkeypatch.setattr(planes, "KEPT_WORDS", 50)
-    encoder = planes.Encoder(tokenizer_path())
-    odd = [*(t or "" for t in texts), "don't <|endoftext|>x İI ́ ½ क़ ...a, b.."]
-    for _ in range(2):
-        for t in odd:
-            ids, _ = encoder.encode(pa.array([t]))
-            assert ids.tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_whole_texts(spark, texts, file):
+    encoder = planes.Encoder(tokenizer_path(file))
+    assert encoder.by_words == (file == "word_bpe_49k.json")
+    rng = random.Random(9)
+    letters = [chr(c) for c in [*range(0x20, 0x250), *range(0x370, 0x460), 0x301, 0x4E00, 0xAC00, 0x1F600, 0x130, 0x3A3]]
+    some = [t for t in texts if t] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    some += ["".join(rng.choices(letters, k=300)) for _ in range(40)]
+    some += [f"a{c} {c}b, {c}. {c}{c} {c}'s" for c in letters] + ["\0 a\0b \0", "don't. x.. .", "<|endoftext|>x a <|startoftext|> İI ½ क़", "AbC,", "ﬁ É́"]
+    ids, starts = encoder.encode(pa.array(some))
+    for t, a, b in zip(some, starts, starts[1:], strict=False):
+        assert ids[a:b].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
 def test_mixing(docs, rows, nothing):
