@@ -31,11 +31,39 @@ CLASSES = {"hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), "base64": (r"[0-9]", 3.9),
 # Candidates that match one of these are not secrets, whatever their entropy.
 ALLOWED = [r"^[^A-Za-z]*$", r"EXAMPLE|example|placeholder|dummy|xxxx",
            r"(?i)abcdefghijklmnop|0123456789abcdef|1234567890",
-           r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-           r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]+|[0-9]{1,4}))+$"]
+           r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"]
+# Names and paths are allowed too: letters or up to four digits, joined. Told by what they hold and what they don't, since a
+# repeated group would be matched by recursion, as deep as the string is long.
+JOINED, NOT_JOINED = r"[-_/=+]", r"^[-_/=+]|[-_/=+]$|[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"
+# Matches whose positions are added up at once: copies of the growing list stay short.
+CHUNK = 256
 _ONE = 1 << 20
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunked(array: Column) -> Column:
+    last = F.greatest(F.floor((F.size(array) - 1) / CHUNK), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(array, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap no base span; of the base spans in order, only chunks that reach a candidate are compared."""
+    def overlap(x, y):
+        return (x["start"] < y["stop"]) & (y["start"] < x["stop"])
+
+    def chunk(some):
+        return F.struct(F.get(some, F.lit(0))["start"].alias("start"),
+                        F.array_max(F.transform(some, lambda b: b["stop"])).alias("stop"), some.alias("spans"))
+
+    near = F.transform(F.filter(_chunked(F.array_sort(base)), lambda some: F.size(some) > 0), chunk)
+    return _once(near, lambda chunks: F.filter(candidates, lambda x: ~F.exists(
+        chunks, lambda c: overlap(c, x) & F.exists(c["spans"], lambda b: overlap(b, x)))))
+
+
 def _found(text: Column, pattern: str, short: str | None = None) -> Column:
     """Structs of start, stop and string of all matches, from the lengths of the pieces between them.
 
@@ -44,14 +72,26 @@ def _found(text: Column, pattern: str, short: str | None = None) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     both = F.arrays_zip(F.slice(F.transform(pieces, F.length), 1, F.size(matches)).alias("gap"), matches.alias("m"))
-    steps = F.aggregate(
-        both, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,m:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("stop"),
-                x["m"].alias("m")))).alias("out")))
-    return F.when(F.regexp_like(text, F.lit(short or pattern)), steps["out"])
+    spans = F.array().cast("array<struct<start:int,stop:int,m:string>>")
+
+    def length(x):
+        return x["gap"] + F.length(x["m"])
+
+    def step(acc, x):
+        at = acc["at"] + x["gap"]
+        span = F.struct(at.alias("start"), (at + F.length(x["m"])).alias("stop"), x["m"].alias("m"))
+        return F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def placed(chunks):
+        sums = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, x: acc + length(x)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        firsts = F.aggregate(sums, start, lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(chunks, firsts, lambda chunk, first: F.aggregate(
+            chunk, F.struct(first.alias("at"), spans.alias("out")), step)["out"]))
+
+    found = _once(both, lambda all_of: _once(_chunked(all_of), placed))
+    return F.when(F.regexp_like(text, F.lit(short or pattern)), found)
 
 
 def _lowest(string: Column, window: int) -> Column:
@@ -62,20 +102,28 @@ def _lowest(string: Column, window: int) -> Column:
     moves = F.zip_with(codes, F.concat(F.array_repeat(F.lit(0), window), codes),
                        lambda new, old: F.struct(new.alias("new"), old.alias("old")))
     moves = F.filter(moves, lambda x: x["new"].isNotNull())
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("n"),
+    # The counts of all characters as one string, the count of character k standing at k: one place changes per count.
+    start = F.struct(F.repeat(F.lit("A"), F.lit(128)).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("n"),
                      F.lit(2**31 - 1).alias("best"))
 
     def weight(n):
         return F.element_at(table, n + 1)
 
+    def count(counts, k):
+        return F.ascii(F.substring(counts, k + 1, F.lit(1))) - ord("A")
+
+    def put(counts, k, n):
+        return F.overlay(counts, F.char(n + ord("A")), k + 1, F.lit(1))
+
     def step(acc, x):
         new, old, leaves = x["new"], x["old"], x["old"] > 0
-        here = F.element_at(acc["counts"], new + 1)
+        here = count(acc["counts"], new)
         # The count of what leaves already includes the new character when both are the same.
-        there = F.element_at(acc["counts"], old + 1) + (old == new).cast("int")
+        there = count(acc["counts"], old) + (old == new).cast("int")
         total = acc["sum"] + weight(here + 1) - weight(here)
         total = F.when(leaves, total + weight(F.greatest(there - 1, F.lit(0))) - weight(there)).otherwise(total)
-        counts = F.transform(acc["counts"], lambda c, k: c + (k == new).cast("int") - ((k == old) & leaves).cast("int"))
+        added = put(acc["counts"], new, here + 1)
+        counts = F.when(leaves, put(added, old, there - 1)).otherwise(added)
         return F.struct(counts.alias("counts"), total.alias("sum"), (acc["n"] + 1).alias("n"),
                         F.when(acc["n"] + 1 >= window, F.least(acc["best"], total)).otherwise(acc["best"])
                         .alias("best"))
@@ -122,9 +170,10 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                              "_k": _spans(F.filter("_k", lambda x: F.length(x["m"]) >= 20), "access"),
                              "_h": _spans(F.col("_h"), "hex")})
     rows = rows.withColumn("_base", F.concat("_a", "_k", "_h"))
-    fresh = F.filter("_c", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    fresh = _apart(F.col("_c"), F.col("_base"))
     rows = rows.withColumn("_c", F.when(F.size("_c") > 0, fresh))
-    not_allowed = F.filter("_c", lambda x: ~_any(x["m"], ALLOWED))
+    not_allowed = F.filter("_c", lambda x: ~(_any(x["m"], ALLOWED) | (
+        F.regexp_like(x["m"], F.lit(JOINED)) & ~F.regexp_like(x["m"], F.lit(NOT_JOINED)))))
     rows = rows.withColumn("_c", F.when(F.size("_c") > 0, not_allowed))
     high = F.filter("_c", lambda x: _high_entropy(x["m"], window))
     rows = rows.withColumn("_e", _spans(F.when(F.size("_c") > 0, high), "entropy"))
