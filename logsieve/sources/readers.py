@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 from .spec import EventLogSpec, to_canonical
 
-# Date (year first, compact, or month and day before the year), time, up to nine digits of fraction, zone.
-_DATE = r"(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{4})(\d{2})(\d{2})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}))"
-_TIME = r"(?:[T ]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?)?"
+# Date (year first, compact, month and day before the year, or with the month's name), time, up to nine digits of
+# fraction, half of the day, zone.
+_MONTH = ("((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?"
+          "|nov(?:ember)?|dec(?:ember)?))")
+_DATE = (r"(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{4})(\d{2})(\d{2})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
+         rf"|(\d{{1,2}})[-/. ]\s*{_MONTH}[-/., ]\s*(\d{{4}})|{_MONTH}\.?[-/ ]\s*(\d{{1,2}})(?:,|[-/ ])\s*(\d{{4}}))")
+_TIME = (r"(?:[T ]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*((?i:[ap])\.?(?i:m)\.?)?"
+         r"\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?)?")
 STAMP = f"^{_DATE}{_TIME}$"
+# What stands for a missing value in a file, besides nothing at all.
+MISSING = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+           "NaN", "None", "n/a", "nan", "null"]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -27,7 +35,8 @@ def parse_utc(text: str | Column, bad: str = "fail") -> Column:
 
     A value that fits no format stops the job with ``bad='fail'`` and becomes null with ``bad='null'``. The result
     does not depend on the session time zone. Dates with the year last are read month first, and day first only where
-    the first number exceeds 12; a time without zone is UTC.
+    the first number exceeds 12; months may be English names, full or cut to three letters; hours may be of a half day
+    (1 to 12 with AM or PM); a time without zone is UTC.
     """
     value = F.trim(F.col(text) if isinstance(text, str) else text)
 
@@ -39,14 +48,18 @@ def parse_utc(text: str | Column, bad: str = "fail") -> Column:
 
     # With the year last the month comes first, unless that number can only be a day.
     swap = number(7) > 12
-    month = F.coalesce(number(2, 5), F.when(swap, number(8)).otherwise(number(7)))
-    day = F.coalesce(number(3, 6), F.when(swap, number(7)).otherwise(number(8)))
-    whole = F.try_make_timestamp_ntz(number(1, 4, 9), month, day, F.coalesce(number(10), F.lit(0)),
-                                     F.coalesce(number(11), F.lit(0)),
-                                     F.coalesce(number(12), F.lit(0)).cast("decimal(16,6)"))
+    name = F.lower(F.substring(F.coalesce(part(11), part(13)), 1, 3))
+    named = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), name) + 2) / 3).cast("int")
+    month = F.coalesce(number(2, 5), F.when(swap, number(8)).otherwise(number(7)), named)
+    day = F.coalesce(number(3, 6), F.when(swap, number(7)).otherwise(number(8)), number(10, 14))
+    half = F.lower(F.substring(part(20), 1, 1))
+    hour = F.when(half.isNull(), F.coalesce(number(16), F.lit(0))).when(
+        number(16).between(1, 12), number(16) % 12 + F.when(half == "p", 12).otherwise(0))
+    whole = F.try_make_timestamp_ntz(number(1, 4, 9, 12, 15), month, day, hour, F.coalesce(number(17), F.lit(0)),
+                                     F.coalesce(number(18), F.lit(0)).cast("decimal(16,6)"))
     # Digits beyond the microsecond are cut.
-    micros = F.substring(F.rpad(F.coalesce(part(13), F.lit("")), 9, "0"), 1, 6).cast("bigint")
-    zone = F.when(part(14).rlike("^[+-]"), F.regexp_replace(part(14), ":", ""))
+    micros = F.substring(F.rpad(F.coalesce(part(19), F.lit("")), 9, "0"), 1, 6).cast("bigint")
+    zone = F.when(part(21).rlike("^[+-]"), F.regexp_replace(part(21), ":", ""))
     offset = F.coalesce((F.substring(zone, 2, 2).cast("int") * 60 + F.coalesce(
         F.nullif(F.substring(zone, 4, 2), F.lit("")).cast("int"), F.lit(0)))
         * F.when(zone.startswith("-"), -1).otherwise(1), F.lit(0)).cast("bigint")
@@ -57,16 +70,41 @@ def parse_utc(text: str | Column, bad: str = "fail") -> Column:
     return F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(message).cast("timestamp_ntz"))
 
 
+def _quoted(reader):
+    """Fields may be quoted; a quote within is doubled."""
+    return reader.option("header", True).option("quote", '"').option("escape", '"')
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a line break: some line has an odd number of quotes."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv_text(spark: SparkSession, path: str, line_breaks: bool | None = None) -> DataFrame:
+    """A CSV file with header, all columns as text; empty fields and the markers in ``MISSING`` are null, quoted or not.
+
+    With line breaks inside quotes a file cannot be cut into splits and is read in one task. ``line_breaks`` says whether
+    there are any; by default one scan of the lines, in splits, finds out, so that files without stay divisible.
+    """
+    if line_breaks is None:
+        line_breaks = has_line_breaks(spark, path)
+    raw = _quoted(spark.read).option("inferSchema", False).option("multiLine", line_breaks).csv(path)
+    there = [F.col(f"`{c}`") for c in raw.columns]
+    return raw.select(*[F.when(~c.isin("", *MISSING), c).alias(n) for c, n in zip(there, raw.columns, strict=True)])
+
+
 def read_event_log(spark: SparkSession, path: str, spec: EventLogSpec, bad: str = "fail",
-                   unreadable: Observation | None = None) -> DataFrame | None:
+                   unreadable: Observation | None = None, line_breaks: bool | None = None) -> DataFrame | None:
     """Read a CSV event log with header into the canonical layout; None when the file is missing.
 
-    All columns are read as text, so no inference pass runs. ``bad`` is ``fail`` or ``drop``; rows dropped
+    All columns are read as text (``read_csv_text``), so no inference pass runs. ``bad`` is ``fail`` or ``drop``; rows dropped
     are counted in the observation ``unreadable`` as ``rows``. Files have no event key: the content of the row, with a running number among rows of equal content, takes its place.
     """
     if not path_exists(spark, path):
         return None
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = read_csv_text(spark, path, line_breaks)
     names = list(raw.columns)
     time = parse_utc(F.col(f"`{spec.time}`"), "null" if bad == "drop" else "fail")
     content = F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]))
@@ -106,7 +144,7 @@ def read_scores(spark: SparkSession, root: str, datasets: list[str] | None = Non
 
 
 def read_report(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True)
+    reader = _quoted(spark.read).option("multiLine", True)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 

@@ -49,4 +49,4 @@ def wide_scores(scores: DataFrame, ids: list[str], columns: list[tuple[str, str,
 
 def write_report(table: DataFrame, path: str) -> None:
     """Store a report as one CSV file with header. Reports hold one row per configuration, never per event."""
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    table.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

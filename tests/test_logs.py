@@ -5,7 +5,8 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from logsieve.operators import context, features, order, profile, scale, split
-from logsieve.sources.readers import parse_utc, read_event_log
+from logsieve.sources.readers import has_line_breaks, parse_utc, read_event_log, read_report
+from logsieve.sources.sinks import write_report
 from logsieve.sources.spec import EventLogSpec, has_resource
 
 MIXED = [("2024-03-10 02:30:00", dt.datetime(2024, 3, 10, 2, 30)),
@@ -53,13 +54,55 @@ def test_csv_log(spark, tmp_path):
     assert read_event_log(spark, str(tmp_path / "none.csv"), SPEC) is None
 
 
+AWKWARD = """Case ID,Activity,Complete Timestamp,Resource
+1,"He said ""go"", now",2024-01-01 10:00:00,x
+1,"two
+lines",01/01/2024 3:04 PM,NA
+2,"",2-Jan-2024 10:00,"N/A"
+2, padded ,"Jan 2, 2024 11:00",null
+3,"a,b",2024-01-03 00:00:00+02:00,""
+3,semi;colon,2024-01-04,NULLS
+"""
+
+
+def test_csv_equals_pandas(spark, tmp_path):
+    import pandas as pd
+
+    path = str(tmp_path / "awkward.csv")
+    with open(path, "w") as f:
+        f.write(AWKWARD)
+    want = pd.read_csv(path, dtype=str)
+    want["t"] = pd.to_datetime(want["Complete Timestamp"], utc=True, format="mixed").dt.tz_localize(None)
+    want = [tuple(None if pd.isna(v) else v for v in r) for r in want[["Case ID", "Activity", "Resource", "t"]].itertuples(index=False)]
+    assert has_line_breaks(spark, path) and len(want) == 6
+    for breaks in (None, True):
+        log = read_event_log(spark, path, SPEC, line_breaks=breaks)
+        got = log.select("case_id", "activity", "resource", "time").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(((c, a, r, t.to_pydatetime()) for c, a, r, t in want), key=repr)
+    with open(path, "w") as f:
+        f.write(AWKWARD.replace("two\nlines", "one line"))
+    assert not has_line_breaks(spark, path) and read_event_log(spark, path, SPEC).count() == 6
+
+
+def test_reports_keep_awkward_texts(spark, tmp_path):
+    rows = [("a \"quoted\", text", 1.5), ("two\nlines", 2.0), ("back\\slash", None)]
+    write_report(spark.createDataFrame(rows, "label string, value double"), str(tmp_path / "r"))
+    got = read_report(spark, str(tmp_path / "r"), "label string, value double").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
 def test_mixed_times(spark):
     cases = {"03/04/2024 10:00": "2024-03-04 10:00:00", "03-04-2024 10:00:00": "2024-03-04 10:00:00",
              "13.04.2024 10:00": "2024-04-13 10:00:00", "04/13/2024 10:00": "2024-04-13 10:00:00",
              "2024-01-02 10:00:00 UTC": "2024-01-02 10:00:00", "2024-01-02T10:00Z": "2024-01-02 10:00:00",
              "2024-01-02 10:00:00+00": "2024-01-02 10:00:00", "2024-01-02 10:00:00.5-0130": "2024-01-02 11:30:00.500000",
              "2024/01/02 10:00": "2024-01-02 10:00:00", "20240102": "2024-01-02 00:00:00",
-             "2024-01-02 10:00:00.123456789": "2024-01-02 10:00:00.123456", "2024-02-30": None, "soon": None, None: None}
+             "2024-01-02 10:00:00.123456789": "2024-01-02 10:00:00.123456",
+             "01/02/2024 3:04 PM": "2024-01-02 15:04:00", "01/02/2024 12:04:05.5 am": "2024-01-02 00:04:05.500000",
+             "2-Jan-2024 10:00": "2024-01-02 10:00:00", "Jan 2, 2024 10:00": "2024-01-02 10:00:00",
+             "02 December 2024": "2024-12-02 00:00:00", "SEP 30 2024 12:00 P.M.": "2024-09-30 12:00:00",
+             "2024-01-02 11:00 PM +0200": "2024-01-02 21:00:00", "01/02/2024 13:04 PM": None, "2-Jam-2024 10:00": None,
+             "Feb 30, 2024": None, "2024-02-30": None, "soon": None, None: None}
     frame = spark.createDataFrame([(k,) for k in cases], "t string")
     got = frame.select("t", parse_utc("t", "null").alias("p")).collect()
     assert {r.t: r.p and str(r.p) for r in got} == cases
