@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import scale
 from .levels import FEATURE_SETS, run_keys
-from .thresholds import score_keys
+from .thresholds import limit_sweeps, score_keys
 from ..functions.scalars import ratio
 
 # The metrics averaged over runs.
@@ -40,9 +40,40 @@ def group_confusion(predicted: DataFrame) -> DataFrame:
     return counted.where((F.col("n_val") > 0) & (F.col("n_test") > 0)).drop("n_val", "n_test")
 
 
+def sweep_confusion(ranked: DataFrame, limits: DataFrame, multipliers: list[float]) -> DataFrame:
+    """``group_confusion`` for every multiplier from rows that carry how many limits they exceed.
+
+    Test rows are counted once per (key, exceeded, truth), which is at most one number more than there are multipliers; sums
+    over the higher ranks give the cells of each limit.
+    """
+    keys = score_keys(ranked)
+    test, truth = F.col("split") == "test", F.col("is_true_anomaly") == 1
+    ranks = ranked.groupBy(*keys, "exceeded").agg(
+        F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(test & truth).alias("n_true"),
+        F.count_if(test & ~truth).alias("n_false"))
+    groups = ranks.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("n_val", "n_true", "n_false")],
+        F.collect_list(F.struct("exceeded", "n_true", "n_false")).alias("_ranks"))
+    groups = scale.lookup_join(groups.where("n_val > 0 AND n_true + n_false > 0"), limit_sweeps(limits), keys)
+    order = F.transform("sweep", lambda x: x["multiplier"])
+    any_order = F.array(*[F.lit(float(m)) for m in multipliers])
+    rows = groups.select(*keys, "n_true", "n_false", "_ranks", F.posexplode(F.coalesce(order, any_order)).alias("_at", "multiplier"))
+
+    def above(cell):
+        higher = F.filter("_ranks", lambda x: x["exceeded"] > F.col("_at"))
+        return F.aggregate(higher, F.lit(0).cast("bigint"), lambda acc, x: acc + x[cell])
+
+    return rows.withColumns({"tp": above("n_true"), "fp": above("n_false")}).select(
+        *list(dict.fromkeys([*keys, *config_keys(rows)])), "tp", "fp", (F.col("n_true") - F.col("tp")).alias("fn"),
+        (F.col("n_false") - F.col("fp")).alias("tn"))
+
+
 def confusion(predicted: DataFrame) -> DataFrame:
     """tp, fp, fn, tn per run and configuration, summed over the eligible groups."""
-    cells = group_confusion(predicted)
+    return confusion_of_groups(group_confusion(predicted))
+
+
+def confusion_of_groups(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*config_keys(cells)).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
@@ -77,7 +108,12 @@ def evaluate(scores: DataFrame, limits: DataFrame, predicted: DataFrame, feature
 
     A feature set without any eligible score still gets a row, all zero, when its run, model and level has scores.
     """
-    groups = scale.materialise(group_confusion(predicted))
+    return evaluate_groups(scores, limits, group_confusion(predicted), feature_sets)
+
+
+def evaluate_groups(scores: DataFrame, limits: DataFrame, groups: DataFrame, feature_sets=tuple(FEATURE_SETS)) -> DataFrame:
+    """``evaluate`` from the cells of every group."""
+    groups = scale.materialise(groups)
     keys = config_keys(groups)
     cm = groups.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
     summary = threshold_summary(groups.drop(*COUNTS), limits)

@@ -29,6 +29,22 @@ def smallest(pool: DataFrame, n: int, runs: list[int], purpose: str, seed: int,
             <= F.element_at(F.create_map(*bounds), F.col("run")))
 
 
+def exact_moments(whole: Column) -> tuple[Column, Column]:
+    """Mean and sample standard deviation (0 of a single value) of whole numbers, as aggregates.
+
+    Count, sum and sum of squares are exact integers of up to 38 digits, and so is n * sum of squares - sum ** 2 where it
+    fits; only the last division and root are rounded. So the result does not depend on the order of summation.
+    """
+    n = F.count(whole)
+    total = F.sum(whole.cast("decimal(19,0)"))
+    squares = F.sum((whole.cast("decimal(19,0)") * whole.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    mean = total.cast("double") / n
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(19,0)"), squares), F.try_multiply(total, total)).cast("double")
+    spread = F.coalesce(exact, n * squares.cast("double") - total.cast("double") * total.cast("double"))
+    std = F.sqrt(F.greatest(spread, F.lit(0.0)) / (n * (n - 1.0)))
+    return mean, F.when(n > 1, std).otherwise(F.lit(0.0))
+
+
 def with_runs(log: DataFrame, runs: list[int]) -> DataFrame:
     """Repeat the log once per run; the run is a column, so one job covers all runs."""
     return log.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
@@ -59,9 +75,8 @@ def inject_anomalies(log: DataFrame, rate: float = RATE, runs=tuple(range(1, 11)
     w = Window.partitionBy(*keys).orderBy("event_seq")
     gap = F.coalesce(F.col("time_us") - F.lag("time_us").over(w), F.lit(0))
     rows = rows.withColumn("_gap_us", gap).where(~F.col("_halo")).drop("_halo", "_stretch")
-    stats = (rows.where(F.col("_gap_us") > 0).groupBy("activity")
-             .agg(F.avg(S.seconds("_gap_us")).alias("_mean"),
-                  F.coalesce(F.stddev_samp(S.seconds("_gap_us")), F.lit(0.0)).alias("_std")))
+    mean, std = exact_moments(F.col("_gap_us"))
+    stats = rows.where(F.col("_gap_us") > 0).groupBy("activity").agg(mean.alias("_mean"), std.alias("_std"))
 
     base = with_runs(log.select("event_key", "event_seq"), runs)
     rows = with_runs(rows, runs)
@@ -81,9 +96,7 @@ def inject_anomalies(log: DataFrame, rate: float = RATE, runs=tuple(range(1, 11)
     rows = scale.lookup_join(rows, stats, ["activity"], k)
     reach = ((F.coalesce("_mean", F.lit(0.0)) + F.coalesce("_std", F.lit(0.0)))
              * (1.0 + S.uniform("reach", seed, F.col("run"), F.col("event_key"))))
-    shift = F.greatest(F.lit(0.0), reach - S.seconds("_gap_us"))
-    # Whole milliseconds: the last digits of mean and std depend on the order of summation.
-    shift_us = F.floor(shift * 1e3 + 0.5).cast("bigint") * 1000
+    shift_us = F.floor(F.greatest(F.lit(0.0), reach - F.col("_gap_us")) + 0.5).cast("bigint")
     rows = rows.withColumn("_shift_us", F.when(F.col("time_label") == 1, shift_us).otherwise(F.lit(0)))
     return rows.select(
         *[c for c in log.columns if c not in ("activity", "time", "time_us")], "run", "activity",

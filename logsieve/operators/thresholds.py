@@ -283,3 +283,23 @@ def _predict_all(scores, limits, keys):
     sweep = limits.groupBy(*keys).agg(F.collect_list(F.struct("multiplier", "threshold_value")).alias("_l"))
     rows = scale.lookup_join(scores, sweep, keys)
     return rows.withColumn("_l", F.explode_outer("_l")).select(*scores.columns, "_l.*")
+
+
+def limit_sweeps(limits: DataFrame) -> DataFrame:
+    """All limits of a key as one ascending array ``sweep`` of (threshold_value, multiplier)."""
+    return limits.groupBy(*score_keys(limits)).agg(
+        F.array_sort(F.collect_list(F.struct("threshold_value", "multiplier"))).alias("sweep"))
+
+
+def exceeded(scores: DataFrame, limits: DataFrame, multipliers: list[float]) -> DataFrame:
+    """Add ``exceeded``: how many of the key's limits, one per multiplier, lie below the score; no row is copied.
+
+    A score predicts an anomaly for just the lowest ``exceeded`` limits of its key. Rows without score exceed none; a key
+    without limits has limit 0.0 throughout; DBSCAN noise exceeds all.
+    """
+    rows = scale.lookup_join(scores, limit_sweeps(limits), score_keys(scores))
+    every = F.lit(len(multipliers))
+    passed = F.size(F.filter("sweep", lambda x: x["threshold_value"] < F.col("score")))
+    hit = F.when(F.col("model") == "DBSCAN", F.when(F.col("score") == 1.0, every)).when(
+        F.col("sweep").isNull(), F.when(F.col("score") > 0.0, every)).otherwise(passed)
+    return rows.withColumn("exceeded", F.coalesce(hit, F.lit(0))).drop("sweep")

@@ -14,7 +14,7 @@ from ..operators.features import base_features
 from ..operators.inject import RATE, inject_anomalies
 from ..operators.order import order_events
 from ..operators.split import split
-from ..operators.thresholds import gmm_limits, iqr_limits, predict
+from ..operators.thresholds import IQR_MULTIPLIERS, exceeded, gmm_limits, iqr_limits, predict
 from ..sources.readers import read_event_log
 from ..sources.sinks import write_log_once, write_report, write_scores
 from ..sources.spec import DATASETS, EventLogSpec, to_canonical
@@ -91,14 +91,11 @@ def metrics_table(scores: DataFrame, feature_sets=tuple(levels.FEATURE_SETS), li
     else:
         found = iqr_limits(scores.where(F.col("model") != "DBSCAN"), multipliers)
     found = scale.materialise(found)
-    predicted = predict(scores, found)
-    if "multiplier" in found.columns:
-        every = [r[0] for r in found.select("multiplier").distinct().collect()]
-        every = F.array(*[F.lit(m) for m in sorted(every)])
-        predicted = predicted.withColumn("_k", F.explode(
-            F.when(F.col("multiplier").isNull(), every).otherwise(F.array("multiplier"))))
-        predicted = predicted.drop("multiplier").withColumnRenamed("_k", "multiplier")
-    return evaluate.evaluate(scores, found, predicted, feature_sets)
+    if "multiplier" not in found.columns:
+        return evaluate.evaluate(scores, found, predict(scores, found), feature_sets)
+    every = [float(m) for m in (IQR_MULTIPLIERS if multipliers is None else multipliers)]
+    groups = evaluate.sweep_confusion(exceeded(scores, found, every), found, every)
+    return evaluate.evaluate_groups(scores, found, groups, feature_sets)
 
 
 def generate_and_score(spark: SparkSession, raw_dir: str, work_dir: str, datasets: dict = DATASETS, runs=RUNS,

@@ -57,8 +57,9 @@ def poisoned(fix: str, runs, mode: str = "rows"):
                    "(SELECT DISTINCT activity FROM log)"),
         ("gaps", "SELECT *, coalesce(time_us - lag(time_us) OVER (PARTITION BY case_id ORDER BY event_seq), 0) AS gap "
                  "FROM cut"),
-        ("gapstats", "SELECT activity, avg(gap / 1e6::DOUBLE) AS m, coalesce(stddev_samp(gap / 1e6::DOUBLE), 0) AS s "
-                     "FROM gaps WHERE gap > 0 GROUP BY activity"),
+        ("gapstats", "SELECT activity, s1::DOUBLE / n AS m, CASE WHEN n > 1 THEN sqrt((n * s2 - s1 * s1)::DOUBLE / (n * (n - 1.0::DOUBLE))) "
+                     "ELSE 0 END AS s FROM (SELECT activity, count(*) AS n, sum(gap::HUGEINT) AS s1, sum(gap::HUGEINT * "
+                     "gap::HUGEINT) AS s2 FROM gaps WHERE gap > 0 GROUP BY activity)"),
         ("perrun", f"SELECT *, (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM log) AS n, "
                    f"(SELECT count(*) FROM labels) AS k FROM gaps CROSS JOIN (VALUES {runs}) AS r(run)"),
         ("marked", f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY {h32('activity')}, event_key) <= n "
@@ -71,7 +72,7 @@ def poisoned(fix: str, runs, mode: str = "rows"):
                     "AS activity FROM picked p LEFT JOIN labels l "
                     "ON l.i = CASE WHEN step + 1 >= p.i THEN step + 2 ELSE step + 1 END"),
         ("delayed", f"SELECT w.*, CASE WHEN time_label = 1 THEN CAST(floor(greatest(0.0, (coalesce(m, 0) + coalesce(s, 0))"
-                    f" * (1.0 + {uni('reach')}) - gap / 1e6::DOUBLE) * 1e3 + 0.5) AS BIGINT) * 1000 ELSE 0 END AS "
+                    f" * (1.0 + {uni('reach')}) - gap) + 0.5) AS BIGINT) ELSE 0 END AS "
                     "shift_us FROM swapped w LEFT JOIN gapstats g ON w.activity = g.activity"),
         ("poisoned", "SELECT event_key, case_id, activity, resource, time + to_microseconds(shift_us) AS time, "
                      "time_us + shift_us AS time_us, event_seq, trace_len, case_start_us, split, run, activity_label, "

@@ -12,6 +12,7 @@ from ..operators import context as X
 from ..operators import density as D
 from ..operators import evaluate as E
 from ..operators import features as B
+from ..operators import histogram as H
 from ..operators import forest, inject, levels, order, profile, scale, split
 from ..operators import thresholds as T
 from ..sources.readers import parse_utc, unpivot_scores
@@ -74,19 +75,22 @@ def log_canonical(spark, sf):
 
 @query("parse_mixed_times", "SELECT o_orderkey, epoch_us(o_orderdate) + o_orderkey % 86400 * 1000000 AS time_us FROM orders")
 def parse_mixed_times(spark, sf):
-    """Order times written in six notations by the order key, and read back."""
+    """Order times written in nine notations by the order key, and read back."""
     rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.timestamp_add(
         "SECOND", F.col("o_orderkey") % 86_400, F.col("o_orderdate").cast("timestamp_ntz")).alias("t"))
 
     def text(pattern, t="t"):
         return F.date_format(t, pattern)
 
-    number = F.col("o_orderkey") % 6
+    number = F.col("o_orderkey") % 9
     written = (F.when(number == 0, text("yyyy-MM-dd HH:mm:ss.SSSSSS")).when(number == 1, text("yyyy-MM-dd'T'HH:mm:ss'Z'"))
                .when(number == 2, text("MM/dd/yyyy HH:mm:ss"))
                .when(number == 3, F.when(F.dayofmonth("t") > 12, text("dd.MM.yyyy HH:mm:ss"))
                      .otherwise(text("MM.dd.yyyy HH:mm:ss")))
                .when(number == 4, F.concat(text("yyyy-MM-dd HH:mm:ss", F.expr("t + INTERVAL 2 HOURS")), F.lit("+02")))
+               .when(number == 5, text("MM/dd/yyyy hh:mm:ss a"))
+               .when(number == 6, text("d-MMM-yyyy HH:mm:ss"))
+               .when(number == 7, text("MMMM d, yyyy h:mm:ss a"))
                .otherwise(F.concat(text("yyyyMMdd HH:mm:ss"), F.lit(" UTC"))))
     epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
     return rows.select("o_orderkey", F.timestamp_diff("MICROSECOND", epoch, parse_utc(written)).alias("time_us"))
@@ -418,6 +422,52 @@ def dbscan_noise(spark, sf):
     return out.select("event_key", *levels.GROUP, "feature_set", "score")
 
 
+_LINE = ["delta_t"]
+_LINE_KEY = "level, g_act, g_res, feature_set"
+
+
+def _line_sql():
+    """k-th distances on a line: the least reach of the five stretches of five sorted events that hold an event."""
+    parts = O.points(vector_sql(_LINE, levels.LEVELS), _LINE)[0][:-1]
+    w = f"OVER (PARTITION BY {_LINE_KEY} ORDER BY v, event_key)"
+    reach = ", ".join(f"CASE WHEN lag(v, {j}) {w} IS NOT NULL AND lead(v, {4 - j}) {w} IS NOT NULL THEN "
+                      f"greatest(v - lag(v, {j}) {w}, lead(v, {4 - j}) {w} - v) END" for j in range(5))
+    curve = (f"SELECT {_LINE_KEY}, d, row_number() OVER (PARTITION BY {_LINE_KEY} ORDER BY d) - 1 AS i, count(*) OVER (PARTITION "
+             f"BY {_LINE_KEY}) AS n, min(d) OVER (PARTITION BY {_LINE_KEY}) AS d0, max(d) OVER (PARTITION BY {_LINE_KEY}) AS d1 "
+             f"FROM (SELECT {_LINE_KEY}, coalesce(kd, 0) AS d FROM kd)")
+    knee = (f"SELECT {_LINE_KEY}, CASE WHEN n < 6 THEN 0.5 ELSE greatest(0.01, d) END AS eps FROM curve QUALIFY row_number() "
+            f"OVER (PARTITION BY {_LINE_KEY} ORDER BY abs(i * (d1 - d0) - (d - d0) * (n - 1)) DESC, i) = 1")
+    near = f"(PARTITION BY {_LINE_KEY} ORDER BY v, event_key ROWS BETWEEN"
+    flags = f"SELECT *, coalesce(kd <= eps, false) AS core FROM kd JOIN knee USING ({_LINE_KEY})"
+    sides = (f"SELECT *, v - last_value(CASE WHEN core THEN v END IGNORE NULLS) OVER {near} UNBOUNDED PRECEDING AND CURRENT ROW) "
+             f"AS a, first_value(CASE WHEN core THEN v END IGNORE NULLS) OVER {near} CURRENT ROW AND UNBOUNDED FOLLOWING) - v "
+             "AS b FROM flags")
+    return [*parts, ("sorted", "SELECT *, x0::DOUBLE AS v FROM vectors"),
+            ("kd", f"SELECT event_key, {_LINE_KEY}, v, least({reach}) AS kd FROM sorted"),
+            ("curve", curve), ("knee", knee), ("flags", flags), ("sides", sides)]
+
+
+@query("knn_distance_line", O.statement(_line_sql()[:-4], f"SELECT event_key, {_LINE_KEY}, {O.squash('kd')} AS score FROM kd"))
+def knn_distance_line(spark, sf):
+    out = D.neighbour_distance(vectors(spark, sf, _LINE, levels.LEVELS))
+    return out.select("event_key", *levels.GROUP, "feature_set", squash("score").alias("score"))
+
+
+@query("kdist_knee_line", O.statement(_line_sql()[:-2], f"SELECT {_LINE_KEY}, {O.rnd('eps')} AS eps FROM knee"))
+def kdist_knee_line(spark, sf):
+    v = vectors(spark, sf, _LINE, levels.LEVELS)
+    keys = D.vector_keys(v)
+    d = D.neighbour_distance(v).select(*keys, F.coalesce("score", F.lit(0.0)).alias("d"), F.lit(1).cast("bigint").alias("w"))
+    return D.knee_eps(d, keys).select(*keys, r("eps"))
+
+
+@query("dbscan_noise_line", O.statement(
+    _line_sql(), f"SELECT event_key, {_LINE_KEY}, CASE WHEN core OR coalesce(a <= eps, false) OR coalesce(b <= eps, false) THEN "
+                 "0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM sides"))
+def dbscan_noise_line(spark, sf):
+    return D.dbscan_noise(vectors(spark, sf, _LINE, levels.LEVELS)).select("event_key", *levels.GROUP, "feature_set", "score")
+
+
 def _lof_sql(sets):
     parts, key, x, dist, same = O.points(vector_sql(sets, ["L1_Micro"]), sets)
     ks = ", ".join("a." + c for c in key.split(", "))
@@ -503,6 +553,17 @@ def judged(spark, sf, name="clicks", multipliers=None, runs=None):
 _JUDGED = O.judged(_SCORES, SWEEP)
 
 
+def swept(spark, sf):
+    """Scores, limits of all multipliers, and every group's cells for each of them."""
+    scores = z_scores(spark, sf)
+    limits = scale.materialise(_stand_in(T.iqr_limits(scores.where(F.col("model") != "DBSCAN"))))
+    ranked = T.exceeded(scores, limits, T.IQR_MULTIPLIERS)
+    return scores, limits, ranked, E.sweep_confusion(ranked, limits, T.IQR_MULTIPLIERS)
+
+
+_SWEPT = O.judged(_SCORES, T.IQR_MULTIPLIERS)
+
+
 def _matched(df, multipliers):
     """DBSCAN rows have no limit and so no multiplier; repeat them, as the SQL does."""
     every = F.explode(F.when(F.col("multiplier").isNull(), F.array(*[F.lit(float(m)) for m in multipliers]))
@@ -517,6 +578,25 @@ def iqr_threshold_sweep(spark, sf):
     return limits.select(*O.SKEY.split(", "), "multiplier", r("threshold_value", 11))
 
 
+_HKEY = "level, g_act, g_res, model, feature_set"
+
+
+@query("score_histogram", O.statement(
+    [*_SCORES, ("sized", "SELECT *, abs(score) AS s, CASE WHEN score <> 0 THEN floor(log2(abs(score))) END AS e0 FROM scores "
+                         "WHERE split = 'val' AND score IS NOT NULL"),
+     ("powers", "SELECT *, pow(2.0::DOUBLE, CASE WHEN pow(2.0::DOUBLE, e0) > s THEN e0 - 1 WHEN pow(2.0::DOUBLE, e0 + 1) <= s "
+                "THEN e0 + 1 ELSE e0 END) AS p FROM sized"),
+     ("stepped", "SELECT *, floor((s / p - 1.0::DOUBLE) * 32.0::DOUBLE) AS m FROM powers")],
+    f"SELECT {_HKEY}, CASE WHEN score = 0 THEN 0.0::DOUBLE ELSE sign(score) * p * (1.0::DOUBLE + m / 32.0::DOUBLE) END AS near, "
+    "CASE WHEN score = 0 THEN 0.0::DOUBLE ELSE sign(score) * p * (1.0::DOUBLE + (m + 1) / 32.0::DOUBLE) END AS far, "
+    "count(*) AS n FROM stepped GROUP BY ALL"))
+def score_histogram(spark, sf):
+    """Histograms of every run's validation scores, merged over the runs."""
+    keys = _HKEY.split(", ")
+    each = H.histogram(T.validation_scores(z_scores(spark, sf)), ["run", *keys], "score")
+    return H.merge(each, keys).select(*keys, "near", "far", F.col("n").cast("bigint").alias("n"))
+
+
 @query("predict_labels", O.statement(
     _JUDGED, "SELECT run, level, event_key, model, feature_set, multiplier, predicted FROM predicted"))
 def predict_labels(spark, sf):
@@ -532,27 +612,28 @@ def eligible_groups(spark, sf):
     return E.eligible_groups(z_scores(spark, sf, "clicks_fine"))
 
 
-@query("confusion_matrix", O.statement(_JUDGED, f"SELECT {O.CKEY}, multiplier, tp, fp, fn, tn FROM cm"))
+@query("predict_sweep", O.statement(
+    _SWEPT, f"SELECT {O.SKEY}, event_key, CAST(sum(predicted) AS INTEGER) AS exceeded FROM predicted GROUP BY {O.SKEY}, event_key"))
+def predict_sweep(spark, sf):
+    return swept(spark, sf)[2].select(*O.SKEY.split(", "), "event_key", "exceeded")
+
+
+@query("confusion_matrix", O.statement(_SWEPT, f"SELECT {O.CKEY}, multiplier, tp, fp, fn, tn FROM cm"))
 def confusion_matrix(spark, sf):
-    _, _, predicted = judged(spark, sf)
-    return E.confusion(_matched(predicted, SWEEP)).select(*O.CKEY.split(", "), "multiplier", *E.COUNTS)
+    return E.confusion_of_groups(swept(spark, sf)[3]).select(*O.CKEY.split(", "), "multiplier", *E.COUNTS)
 
 
 @query("threshold_summary", O.statement(
-    _JUDGED, f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 11)}, {rs('separation_score', 11)} FROM cm"))
+    _SWEPT, f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 12)}, {rs('separation_score', 12)} FROM cm"))
 def threshold_summary(spark, sf):
-    _, limits, predicted = judged(spark, sf)
-    groups = E.group_confusion(_matched(predicted, SWEEP))
+    _, limits, _, groups = swept(spark, sf)
     return E.threshold_summary(groups, limits).select(
-        *O.CKEY.split(", "), "multiplier", r("threshold_value", 11), r("separation_score", 11))
+        *O.CKEY.split(", "), "multiplier", r("threshold_value", 12), r("separation_score", 12))
 
 
 def metric_table(spark, sf, name="clicks", multipliers=(1.5,), runs=None):
     scores, limits, predicted = judged(spark, sf, name, multipliers, runs)
-    if len(multipliers) == 1:
-        limits, predicted = limits.drop("multiplier"), predicted.drop("multiplier")
-    else:
-        predicted = _matched(predicted, multipliers)
+    limits, predicted = limits.drop("multiplier"), predicted.drop("multiplier")
     return E.evaluate(scores, limits, predicted, ["act", "transition", "cum_t"])
 
 
@@ -568,12 +649,13 @@ def metric_sql(fix, mode="rows", resource=True, runs=RUNS, multipliers=(1.5,)):
 
 
 @query("classification_metrics", O.statement(
-    metric_sql("clicks", multipliers=SWEEP),
-    f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 11)}, {rs('separation_score', 11)}, tp, fp, fn, tn, "
+    metric_sql("clicks", multipliers=T.IQR_MULTIPLIERS),
+    f"SELECT {O.CKEY}, multiplier, {rs('threshold_value', 12)}, {rs('separation_score', 12)}, tp, fp, fn, tn, "
     + ", ".join(rs(m) for m in O.METRIC_NAMES) + " FROM metric"))
 def classification_metrics(spark, sf):
-    return metric_table(spark, sf, multipliers=SWEEP).select(
-        *O.CKEY.split(", "), "multiplier", r("threshold_value", 11), r("separation_score", 11), *E.COUNTS,
+    scores, limits, _, groups = swept(spark, sf)
+    return E.evaluate_groups(scores, limits, groups, ["act", "transition", "cum_t"]).select(
+        *O.CKEY.split(", "), "multiplier", r("threshold_value", 12), r("separation_score", 12), *E.COUNTS,
         *[r(m) for m in O.METRIC_NAMES])
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logsieve.operators import density, forest, knn, levels
+from logsieve.operators import density, forest, knn, levels, line
 
 N = 400
 
@@ -198,3 +198,33 @@ def test_jitter_is_small_and_differs_by_draw(spark):
     base, a, b = (levels.scaled_features(rows, ranges, sets, j).orderBy("event_key", "p").toPandas()
                   for j in (None, "fit", "score"))
     assert 0 < abs(a.p - base.p).max() < 1e-5 and not np.array_equal(a.p, b.p)
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 50])
+def test_neighbours_on_a_line(spark, limit):
+    """Sorted neighbours against all distances, whole and in segments: repeated values, tiny groups, one value only."""
+    rng = np.random.default_rng(3)
+    groups = {"a": np.round(rng.normal(size=300), 2), "b": rng.random(3), "c": np.zeros(9), "d": np.arange(60.0), "e": np.ones(1),
+              "f": np.concatenate([np.zeros(100), [5.0, 5.5, 9.0]])}
+    rows = [("L2_Activity", g, "", "delta_t", f"{g}{i:03}", "train", [float(v)]) for g, some in groups.items()
+            for i, v in enumerate(some)]
+    vectors = spark.createDataFrame(rows, "level string, g_act string, g_res string, feature_set string, event_key string, "
+                                          "split string, x array<float>")
+    got = {r.event_key: r.score for r in density.neighbour_distance(vectors, limit=limit).collect()}
+    noise = {r.event_key: r.score for r in density.dbscan_noise(vectors, limit=limit).collect()}
+    eps = {r.g_act: r.eps for r in density.knee_eps(density.neighbour_distance(vectors).selectExpr(
+        "level", "g_act", "g_res", "feature_set", "coalesce(score, 0D) AS d", "1L AS w"), density.vector_keys(vectors)).collect()}
+    for g, some in groups.items():
+        x = some.astype(np.float32).astype(float)
+        d = np.abs(x[:, None] - x[None, :])
+        kth = np.sort(d, axis=1)[:, 4] if len(x) >= 5 else np.full(len(x), np.nan)
+        core = kth <= eps[g]
+        lone = ~core & ~((d <= eps[g]) & core[None, :]).any(axis=1)
+        for i in range(len(x)):
+            key = f"{g}{i:03}"
+            assert got[key] == (None if np.isnan(kth[i]) else kth[i]) and noise[key] == float(lone[i]), key
+    stored = density.knn.collapse(vectors, density.vector_keys(vectors))
+    sides = line.beside(stored, density.vector_keys(vectors), 5, ["w"], limit).where("g_act = 'd'").collect()
+    for r in sides:
+        assert [o.v for o in r.left] == [v for v in range(int(r.v) - 5, int(r.v)) if v >= 0]
+        assert [o.v for o in r.right] == [v for v in range(int(r.v) + 1, int(r.v) + 6) if v < 60]

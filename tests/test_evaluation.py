@@ -162,3 +162,32 @@ def test_comparison(spark):
 def test_chart_table(spark):
     got = compare.chart_ready(result_rows(spark), levels=["L3_Global", "L2_Activity"]).collect()
     assert len(got) == 2 * 2 * 7 and {r["level_ord"] for r in got} == {1, 2}
+
+
+def test_sweep_by_ranks_equals_one_prediction_per_limit(spark):
+    """Nulls, ties with limits, equal limits of a key, keys without limits, noise flags and groups without test rows."""
+    import random
+
+    rng = random.Random(8)
+    ks = [-0.5, 0.0, 0.25, 1.5]
+    rows, limits = [], []
+    for g in range(12):
+        model = "DBSCAN" if g % 4 == 3 else "ZScore"
+        for i in range(40):
+            score = rng.choice([None, 0.0, 1.0]) if model == "DBSCAN" else rng.choice([None, -1.0, 0.0, *range(1, 9)])
+            rows.append((1, "L2_Activity", f"a{g}", "", f"{g}-{i}", rng.choice(["val"] if g == 10 else ["train", "val", "test"]),
+                         rng.randrange(2), model, "delta_t", None if score is None else float(score)))
+        if model != "DBSCAN" and g != 5:
+            limits += [(1, "L2_Activity", f"a{g}", "", model, "delta_t", k, 3.0 if g == 6 else 2.0 + 4 * k, 0.0) for k in ks]
+    scores = spark.createDataFrame(rows, "run int, level string, g_act string, g_res string, event_key string, split string, "
+                                         "is_true_anomaly int, model string, feature_set string, score double")
+    limits = spark.createDataFrame(limits, "run int, level string, g_act string, g_res string, model string, feature_set string, "
+                                           "multiplier double, threshold_value double, separation_score double")
+    got = evaluate.sweep_confusion(thresholds.exceeded(scores, limits, ks), limits, ks)
+    every = spark.createDataFrame([(k,) for k in ks], "multiplier double")
+    keys = thresholds.score_keys(scores)
+    copied = scores.crossJoin(every).join(limits, [*keys, "multiplier"], "left")
+    above = F.coalesce(F.when(F.col("model") == "DBSCAN", F.col("score") == 1.0)
+                       .otherwise(F.col("score") > F.coalesce("threshold_value", F.lit(0.0))), F.lit(False))
+    want = evaluate.group_confusion(copied.withColumn("predicted", above.cast("int"))).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 44

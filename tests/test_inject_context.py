@@ -82,3 +82,20 @@ def test_large_statistics_are_joined_by_shuffle(make_log, monkeypatch):
     monkeypatch.setattr(context.scale.lookup_join, "__defaults__", (None, "left", 0, 20))
     shuffled = context.apply_context_stats(f, stats).orderBy("event_key").toPandas()
     assert plain.equals(shuffled[plain.columns])
+
+
+def test_moments_are_exact(spark):
+    import statistics
+    from fractions import Fraction
+
+    values = {"a": [5], "b": [10 ** 11 + i for i in (0, 1, 3)], "c": [3, 3, 3], "d": [7 ** k for k in range(20)],
+              "e": [9 * 10 ** 17 + i * 10 ** 15 for i in range(50)]}
+    rows = [(k, v) for k, some in values.items() for v in some]
+    mean, std = inject.exact_moments(F.col("v"))
+    frame = spark.createDataFrame(rows, "k string, v long")
+    both = [frame.repartition(p, "v").groupBy("k").agg(mean.alias("m"), std.alias("s")).collect() for p in (1, 7)]
+    assert sorted(both[0]) == sorted(both[1])
+    for r in both[0]:
+        some = values[r.k]
+        assert r.m == pytest.approx(float(Fraction(sum(some), len(some))), rel=1e-15)
+        assert r.s == pytest.approx(float(statistics.stdev(map(Fraction, some))) if len(some) > 1 else 0.0, rel=1e-12)
