@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import fixture
-from ..operators import compare, density, evaluate, forest, levels, scale
+from ..operators import compare, density, evaluate, forest, levels, profile, scale
 from ..operators.context import apply_context_stats, fit_context_stats, resource_workload
 from ..operators.features import base_features
 from ..operators.inject import RATE, inject_anomalies
@@ -16,7 +16,7 @@ from ..operators.order import order_events
 from ..operators.split import split
 from ..operators.thresholds import IQR_MULTIPLIERS, exceeded, gmm_limits, iqr_limits, predict
 from ..sources.readers import read_event_log
-from ..sources.sinks import write_log_once, write_report, write_scores
+from ..sources.sinks import wide_scores, write_log_once, write_report, write_scores
 from ..sources.spec import DATASETS, EventLogSpec, to_canonical
 
 RUNS = tuple(range(1, 11))
@@ -135,6 +135,46 @@ def generate_comparison(table: DataFrame, baseline: dict = compare.BASELINE_SCOR
     return wide
 
 
+def write_comparison(table: DataFrame, folder: str, baseline: dict = compare.BASELINE_SCORES) -> None:
+    """The comparison's reports: the wide and the long table, the chosen configurations as labels, and the chart table."""
+    generate_comparison(table, baseline, f"{folder}/wide")
+    spark = table.sparkSession
+    selections = compare.approaches(compare.average_metrics(compare.candidates(table)))
+    rows = compare.baseline_table(spark, baseline)
+    write_report(compare.comparison_long(selections, rows).orderBy("ds_clean", "ord", "approach").drop("ord"), f"{folder}/long")
+    names = list(selections)
+    labels = compare.selection_labels(rows, selections[names[1]], selections[names[0]])
+    write_report(labels.orderBy("ds_clean"), f"{folder}/labels")
+    chart = compare.chart_ready(table).orderBy("dataset", "metric", "level_ord", "feature_ord", "model_ord")
+    write_report(chart, f"{folder}/chart")
+
+
+def write_wide_scores(scores: DataFrame, root: str) -> None:
+    """Stored long scores in the wide layout, a column per configuration, partitioned by dataset and run."""
+    found = scores.select("model", "level", "feature_set").distinct().orderBy("model", "level", "feature_set").collect()
+    ids = [c for c in ("dataset", "run", "event_key", "split", "is_true_anomaly") if c in scores.columns]
+    wide = wide_scores(scores, ids, [tuple(c) for c in found])
+    (wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*[c for c in ("dataset", "run") if c in ids]).parquet(root))
+
+
+def analyze_datasets(spark: SparkSession, raw_dir: str, path: str | None = None, datasets: dict = DATASETS,
+                     bad: str = "fail") -> DataFrame | None:
+    """The rounded profile of every dataset found under ``raw_dir``, stored as one report; None when there is none."""
+    tables = []
+    for name, spec in datasets.items():
+        log = read_event_log(spark, f"{raw_dir}/{name}", spec, bad)
+        if log is not None:
+            table = profile.rounded_profile(profile.profile(scale.materialise(log)))
+            tables.append(table.select(F.lit(name.replace(".csv", "")).alias("dataset"), "*"))
+    if not tables:
+        return None
+    out = scale.materialise(reduce(DataFrame.unionByName, tables))
+    if path:
+        write_report(out.orderBy("dataset", F.col("level").desc()), path)
+    return out
+
+
 def click_experiment(spark: SparkSession, sf_dir: str, runs=(1, 2), detectors=("IsolationForest",)) -> DataFrame:
     """The experiment on the click log, up to metrics over runs."""
     spec = EventLogSpec("case_id", "activity", "time", "resource", "event_key")

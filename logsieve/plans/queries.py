@@ -838,11 +838,69 @@ def gmm_limit_grid(spark, sf):
     return T.limits_from_components(comps).select(*keys, r("threshold_value"), r("separation_score"))
 
 
-@query("gmm_thresholds")
+def _em_sql():
+    """Mixtures by a recursive statement: the same start, steps and stop as the operator; table ``limits``."""
+    by, eps = f"PARTITION BY {O.SKEY}", "10 * 2.220446049250313e-16::DOUBLE"
+    params = ", ".join(T._PARAMS)
+    ids = ", ".join(f"e.{c}" for c in O.SKEY.split(", "))
+
+    def renewed(source, more):
+        """Parameters from mass m, sum s and squares q of what lies off the centres c of ``source``."""
+        new = ", ".join(f"m{i} / (m0 + m1) AS n_w{i}, c{i} + s{i} / m{i} AS n_mu{i}, greatest(q{i} / m{i} - (s{i} / m{i}) * "
+                        f"(s{i} / m{i}), 0) + 1e-6::DOUBLE AS n_var{i}" for i in (0, 1))
+        return f"SELECT {O.SKEY}, {more}, {new} FROM ({source})"
+
+    def sums(weight):
+        return ", ".join(f"sum({weight(i)}) + {eps} AS m{i}, sum({weight(i)} * (x - c{i})) AS s{i}, "
+                         f"sum({weight(i)} * (x - c{i}) * (x - c{i})) AS q{i}" for i in (0, 1))
+
+    start = renewed(f"SELECT {O.SKEY}, any_value(c0) AS c0, any_value(c1) AS c1, "
+                    + sums(lambda i: f"CASE WHEN x {'<=' if i == 0 else '>'} cut THEN n ELSE 0 END")
+                    + f" FROM (SELECT *, tt / nn AS c0, tt / nn AS c1 FROM pts JOIN tot USING ({O.SKEY}) JOIN cuts USING "
+                      f"({O.SKEY}) WHERE nn > {T.FEW_SCORES}) GROUP BY {O.SKEY}", "0 AS it")
+    logs = ", ".join(f"ln(w{i}) - 0.5::DOUBLE * (ln(2 * {O.PI}::DOUBLE * var{i}) + (x - mu{i}) * (x - mu{i}) / var{i}) AS l{i}"
+                     for i in (0, 1))
+    rows = (f"SELECT e.*, x, n, mu0 AS c0, mu1 AS c1, {logs} FROM em e JOIN pts p ON NOT done AND "
+            + " AND ".join(f"e.{c} = p.{c}" for c in O.SKEY.split(", ")))
+    normed = f"SELECT *, greatest(l0, l1) + ln(exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS z FROM ({rows})"
+    stepped = renewed(
+        f"SELECT {O.SKEY}, it, any_value(last) AS last, {', '.join(f'any_value({c}) AS {c}' for c in [*T._PARAMS, 'c0', 'c1'])}, "
+        f"sum(n * z) / sum(n) AS bound, " + sums(lambda i: f"n * exp(l{i} - z)") + f" FROM ({normed}) GROUP BY {O.SKEY}, it",
+        f"it, last, bound, {params}")
+    stop = f"(coalesce(abs(bound - last) < {T.TOLERANCE}::DOUBLE, false) OR it = {T.MAX_ITERATIONS})"
+    chosen = ", ".join(f"CASE WHEN {stop} THEN {c} ELSE n_{c} END" for c in T._PARAMS)
+    em = (f"SELECT {O.SKEY}, it, {', '.join(f'n_{c} AS {c}' for c in T._PARAMS)}, CAST(NULL AS DOUBLE) AS last, false AS done "
+          f"FROM ({start}) UNION ALL SELECT {O.SKEY}, it + 1, {chosen}, bound, {stop} FROM ({stepped})")
+    ordered = ", ".join(f"CASE WHEN mu0 <= mu1 THEN {c} ELSE {c[:-1] + '10'[int(c[-1])]} END AS {c}" for c in T._PARAMS)
+    like = [f"ln(w{i}) - 0.5::DOUBLE * ln(var{i}) - (g - mu{i}) * (g - mu{i}) / (2.0::DOUBLE * var{i})" for i in (0, 1)]
+    return [
+        *_SCORES,
+        ("pts", f"SELECT {O.SKEY}, score AS x, count(*)::DOUBLE AS n FROM scores WHERE split = 'val' AND model <> 'DBSCAN' AND "
+                f"score IS NOT NULL GROUP BY {O.SKEY}, score"),
+        ("tot", f"SELECT {O.SKEY}, sum(n) AS nn, sum(n * x) AS tt, min(x) AS lo, max(x) AS hi FROM pts GROUP BY {O.SKEY}"),
+        ("mids", f"SELECT {O.SKEY}, median(score) AS mid FROM scores WHERE split = 'val' AND model <> 'DBSCAN' GROUP BY {O.SKEY}"),
+        ("cuts", f"SELECT {O.SKEY}, x AS cut FROM (SELECT *, sum(n) OVER ({by} ORDER BY x) AS c, sum(n * x) OVER ({by} ORDER BY x) "
+                 f"AS t FROM pts JOIN tot USING ({O.SKEY})) WHERE c < nn QUALIFY row_number() OVER ({by} ORDER BY t * t / c + "
+                 "(tt - t) * (tt - t) / (nn - c) DESC, x) = 1"),
+        ("em", em),
+        ("fitted", f"SELECT {O.SKEY}, {ordered} FROM em WHERE done"),
+        ("grid", f"SELECT *, lo + i * ((hi - lo) / {T.GRID_POINTS - 1}.0::DOUBLE) AS g FROM fitted JOIN tot USING ({O.SKEY}) CROSS "
+                 f"JOIN range({T.GRID_POINTS}) r(i)"),
+        ("crossed", f"SELECT {O.SKEY}, min(g) AS g FROM grid WHERE {like[1]} >= {like[0]} GROUP BY {O.SKEY}"),
+        ("limits", f"SELECT {O.SKEY}, CASE WHEN f.mu0 IS NULL THEN mid ELSE coalesce(g, tt / nn) END AS threshold_value, "
+                   "CASE WHEN f.mu0 IS NULL THEN 0 ELSE abs(mu0 - mu1) / (sqrt(var0) + sqrt(var1)) END AS separation_score FROM "
+                   f"tot JOIN mids USING ({O.SKEY}) LEFT JOIN fitted f USING ({O.SKEY}) LEFT JOIN crossed USING ({O.SKEY})")]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("gmm_thresholds", _recursive(O.statement(_em_sql(), f"SELECT {O.SKEY}, {rs('threshold_value', 5)} FROM limits")))
 def gmm_thresholds(spark, sf):
-    return T.gmm_limits(z_scores(spark, sf)).drop("separation_score")
+    return T.gmm_limits(z_scores(spark, sf)).select(*O.SKEY.split(", "), r("threshold_value", 5))
 
 
-@query("gmm_separation")
+@query("gmm_separation", _recursive(O.statement(_em_sql(), f"SELECT {O.SKEY}, {rs('separation_score', 5)} FROM limits")))
 def gmm_separation(spark, sf):
-    return T.gmm_limits(z_scores(spark, sf)).drop("threshold_value")
+    return T.gmm_limits(z_scores(spark, sf)).select(*O.SKEY.split(", "), r("separation_score", 5))

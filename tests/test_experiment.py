@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from logsieve.operators import scale
+from logsieve.operators import compare, evaluate, levels, scale
 from logsieve.plans import experiment as E
 from logsieve.sources.sinks import write_scores
 from logsieve.sources.readers import read_report, read_scores, unpivot_scores
@@ -92,3 +92,37 @@ def test_plan_of_the_features_shuffles_once(spark):
     plan = feats(spark, SF, poison=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in plan
+
+
+def test_profiles_of_all_datasets_in_one_report(spark, tmp_path):
+    head = "Case ID,Activity,Complete Timestamp,Resource"
+    lines = [f"{i % 7},A{i % 2},2024-01-{1 + i // 24:02} {i % 24:02}:00:00,R{i % 3}" for i in range(200)]
+    for name in ("bpi_2012.csv", "bpi_2013.csv"):
+        (tmp_path / name).write_text("\n".join([head, *lines]) + "\n")
+    table = E.analyze_datasets(spark, str(tmp_path), str(tmp_path / "out"))
+    assert {(r.dataset, r.level) for r in table.collect()} == {
+        (d, lv) for d in ("bpi_2012", "bpi_2013") for lv in ("L3_Global", "L2_Activity", "L1_Micro")}
+    assert read_report(spark, str(tmp_path / "out")).count() == 6 and len(list((tmp_path / "out").glob("*.csv"))) == 1
+    for r in table.collect():
+        assert r.total_events == 200 and r.avg_delta_t_mean_hours == round(r.avg_delta_t_mean_hours, 2)
+    assert E.analyze_datasets(spark, str(tmp_path / "none")) is None
+
+
+def test_comparison_and_wide_reports(spark, tmp_path):
+    stats = [f"{m}_{s}" for m in evaluate.METRICS for s in ("mean", "std")]
+    rows = [(d, "IsolationForest", lv, fs, 0.5, float(i), *[0.1 * (i % 5)] * len(stats))
+            for d in ("bpi_2012.csv", "bpi_2013.csv") for i, (lv, fs) in enumerate(
+                (lv, fs) for lv in levels.LEVELS for fs in levels.FEATURE_SETS)]
+    table = spark.createDataFrame(rows, "dataset string, model string, level string, feature_set string, threshold_value_mean "
+                                        "double, separation_score double, " + ", ".join(f"{c} double" for c in stats))
+    E.write_comparison(table, str(tmp_path))
+    counts = {n: read_report(spark, str(tmp_path / n)).count() for n in ("wide", "long", "labels", "chart")}
+    assert counts["wide"] == 9 * len(compare.BASELINE_SCORES) and counts["labels"] == len(compare.BASELINE_SCORES)
+    assert counts["long"] == counts["wide"] + 9 * 2 * 4 and counts["chart"] == len(rows) * len(compare.CHART_METRICS)
+    scores = spark.createDataFrame([("d", r, f"e{i}", "test", i % 2, "LOF", lv, "delta_t", float(i)) for r in (1, 2)
+                                    for lv in ("L3_Global", "L2_Activity") for i in range(4)],
+                                   "dataset string, run int, event_key string, split string, is_true_anomaly int, model string, "
+                                   "level string, feature_set string, score double")
+    E.write_wide_scores(scores, str(tmp_path / "w"))
+    wide = spark.read.parquet(str(tmp_path / "w"))
+    assert wide.count() == 8 and {"score_LOF_L3_Global_delta_t", "score_LOF_L2_Activity_delta_t"} <= set(wide.columns)

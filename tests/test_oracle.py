@@ -7,12 +7,13 @@ from logsieve.plans.queries import ORACLES, QUERIES
 # One query per family; check_oracle.py runs them all.
 CHOSEN = ["log_canonical", "profile_all_levels", "feat_transition", "feat_cyclical", "feat_workload_ties",
           "split_by_rows", "split_by_cases", "inject_time", "ctx_no_resource", "context_stats", "minmax_scale",
-          "knn_distance", "dbscan_noise", "lof_scores", "classification_metrics", "comparison_wide", "gmm_limit_grid"]
+          "knn_distance", "dbscan_noise", "lof_scores", "classification_metrics", "comparison_wide", "gmm_limit_grid",
+          "gmm_thresholds", "score_histogram", "dbscan_noise_line", "predict_sweep"]
 
 
 def test_every_oracle_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"iforest_scores", "gmm_thresholds", "gmm_separation"}
+    assert set(QUERIES) - set(ORACLES) == {"iforest_scores"}
 
 
 @pytest.mark.parametrize("name", CHOSEN)
