@@ -94,7 +94,19 @@ def _cut_of(tag: str, attributes: str) -> int:
 def _tree(page: str) -> _Node:
     """The page as nodes; ``parts`` hold texts and child nodes in order."""
     root = top = _Node("body")
-    at, raw = 0, None
+    at = 0
+    # The open elements by tag, with their depth, and the depths of the open blocks: an end tag finds its element at once.
+    opened, blocks, depth = {}, [0], 0
+
+    def rise(stop):
+        """Close the elements up to ``stop``, which stays open."""
+        nonlocal top, depth
+        while top is not stop:
+            opened[top.tag].pop()
+            if top.tag in _BLOCK:
+                blocks.pop()
+            top, depth = top.parent, depth - 1
+
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
@@ -106,28 +118,26 @@ def _tree(page: str) -> _Node:
             continue
         tag = tag.lower()
         if slash:
-            node = top
-            while node is not root and node.tag != tag:
-                # The end of an inline element does not close blocks around it.
-                node = root if tag not in _BLOCK and node.tag in _BLOCK else node.parent
-            if node is not root:
-                top = node.parent
+            # The end of an inline element does not close blocks around it.
+            found = opened.get(tag)
+            if found and (tag in _BLOCK or found[-1][0] > blocks[-1]):
+                rise(found[-1][1].parent)
             continue
         if tag in ("html", "body"):
             # Attributes do not matter; a head left open ends here.
             while top is not root and tag == "body" and top.tag == "head":
-                top = top.parent
+                rise(top.parent)
             continue
         if tag in _BLOCK:
             if top.open_p is not None:
-                top = top.open_p.parent
+                rise(top.open_p.parent)
         if tag in _CLOSES:
             closed, stop = _CLOSES[tag]
             node = top
             while node is not root and node.tag not in closed and node.tag not in stop:
                 node = node.parent
             if node is not root and node.tag in closed:
-                top = node.parent
+                rise(node.parent)
         node = _Node(tag, _cut_of(tag, attributes), top)
         top.parts.append(node)
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
@@ -137,7 +147,10 @@ def _tree(page: str) -> _Node:
             node.parts.append(page[at:end.start() if end else len(page)])
             at = end.end() if end else len(page)
             continue
-        top = node
+        top, depth = node, depth + 1
+        opened.setdefault(tag, []).append((depth, node))
+        if tag in _BLOCK:
+            blocks.append(depth)
     if at < len(page):
         top.parts.append(page[at:])
     return root
