@@ -226,14 +226,14 @@ class Items:
         return found
 
 
-def _search(items: Items):
+def _search(items: Items, kind: pa.DataType):
     def run(batches):
         for batch in W.slices(batches):
             found = items.search(batch)
             if found:
                 rows = pa.array([r for r, *_ in found])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), pa.array([items.ids[k] for _, k, *_ in found]).cast(pa.int64()),
+                    [batch.column("doc_id").take(rows), pa.array([items.ids[k] for _, k, *_ in found], kind),
                      *[pa.array([f[i] for f in found], pa.int64()) for i in (2, 3, 4)],
                      pa.array([len(items.items[k]) for _, k, *_ in found], pa.int64())],
                     ["doc_id", "item_id", "start_word", "stop_word", "distance", "item_words"])
@@ -255,11 +255,14 @@ def _blocks(benchmark: DataFrame):
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per leak: doc_id, item_id, the stretch in normalised words, its edit distance, the item's words."""
-    schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, start_word long, stop_word long, "
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = benchmark.schema["item_id"].dataType
+    schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, start_word long, stop_word long, "
               "distance long, item_words long")
     docs = docs.select("doc_id", "text")
     # The later of two windows of equal distance is dropped by the search, so blocks only need to be put together.
-    found = [docs.mapInArrow(_search(block), schema) for block in _blocks(benchmark)]
+    found = [docs.mapInArrow(_search(block, to_arrow_type(kind)), schema) for block in _blocks(benchmark)]
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)
