@@ -82,7 +82,3 @@ def dataset_label(name: Column) -> Column:
 
 def three_decimals(value: Column) -> Column:
     return F.format_string("%.3f", value)
-
-
-def config_label(name: Column, model: Column, level: Column, feature_set: Column) -> Column:
-    return F.format_string("%s (%s | %s | %s)", name, model, level, feature_set)

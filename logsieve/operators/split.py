@@ -40,8 +40,11 @@ def split_by_cases(log: DataFrame, train: float = TRAIN, val: float = VAL) -> Da
     """Cut the cases, ordered by (first event time, case_id), at the given shares; a case stays whole."""
     if "case_start_us" not in log.columns:
         log = order_events(log)
-    starts = log.groupBy(F.col("case_id").alias("tie")).agg(F.min("case_start_us").alias("v"))
-    return log.withColumn("split", _label("case_start_us", "case_id", _cuts(starts, train, val)))
+    # Stored: finding the cuts reads the cases several times.
+    starts = scale.materialise(log.groupBy(F.col("case_id").alias("tie")).agg(F.min("case_start_us").alias("v")))
+    cuts = _cuts(starts, train, val)
+    scale.discard(starts)
+    return log.withColumn("split", _label("case_start_us", "case_id", cuts))
 
 
 def split(log: DataFrame, mode: str, train: float = TRAIN, val: float = VAL) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import density as D
 from ..operators import evaluate as E
 from ..operators import features as B
 from ..operators import histogram as H
-from ..operators import forest, inject, levels, order, profile, scale, split
+from ..operators import forest, forest_tables, inject, levels, order, profile, scale, split
 from ..operators import thresholds as T
 from ..sources.readers import parse_utc, unpivot_scores
 from ..sources.sinks import wide_scores
@@ -510,6 +510,62 @@ def iforest_scores(spark, sf):
     return out.select("event_key", *levels.GROUP, "feature_set", "score")
 
 
+_FOREST_SETS, _TREES, _SAMPLE = ["delta_t", "delta_cyclical"], 20, 64
+
+
+def _forest_sql():
+    """The same trees, level by level, and every event's way down each of them."""
+    parts = O.points(vector_sql(_FOREST_SETS, levels.LEVELS), _FOREST_SETS)[0][:-1]
+    dims = range(max(len(levels.FEATURE_SETS[c]) for c in _FOREST_SETS))
+    key, x = "level, g_act, g_res, feature_set", ", ".join(f"x{i}" for i in dims)
+    at = f"{key}, tree, node"
+    name = "concat_ws('|', level, g_act, g_res, feature_set, tree, node)"
+    draw = lambda purpose: f"({O.h32(purpose, '0', name)} / 4294967296.0::DOUBLE)"
+
+    def length(n):
+        return (f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2.0::DOUBLE * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - "
+                f"2.0::DOUBLE * ({n} - 1) / {n} END")
+
+    parts += [
+        ("psis", f"SELECT {key}, least({_SAMPLE}, count(*)) AS psi FROM vectors WHERE split = 'train' GROUP BY {key}"),
+        ("m0", f"SELECT {key}, tree, 0 AS node, {x} FROM (SELECT *, row_number() OVER (PARTITION BY {key}, tree ORDER BY h, "
+               f"event_key) AS place FROM (SELECT *, {O.h32('tree', '0', "event_key || '|' || level || '|' || tree")} AS h FROM "
+               f"vectors CROSS JOIN range({_TREES}) t(tree) WHERE split = 'train')) WHERE place <= {_SAMPLE}"),
+        ("e0", f"SELECT {key}, event_key, tree, 0 AS node, {x} FROM vectors CROSS JOIN range({_TREES}) t(tree)")]
+    ends, last = [], 6
+    for k in range(last + 1):
+        lo, hi = (f"[{', '.join(f'{side}{i}' for i in dims)}]" for side in ("lo", "hi"))
+        opened = ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in dims)
+        parts += [
+            (f"s{k}", f"SELECT {at}, count(*) AS c, " + ", ".join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in dims)
+                      + f" FROM m{k} GROUP BY {at}"),
+            (f"o{k}", f"SELECT *, CASE WHEN c > 1 AND len(list_filter(range(21), lambda d: pow(2, d) < greatest(psi, 2))) > {k} THEN "
+                      f"list_filter([{opened}], lambda z: z IS NOT NULL) ELSE [] END AS o FROM s{k} JOIN psis USING ({key})"),
+            (f"p{k}", f"SELECT *, CASE WHEN len(o) > 0 THEN o[1 + CAST(floor({draw('feature')} * len(o)) AS BIGINT)] END AS f FROM o{k}"),
+            (f"q{k}", f"SELECT *, {lo}[f + 1] AS lo, {hi}[f + 1] AS hi, CAST({lo}[f + 1]::DOUBLE + {draw('cut')} * "
+                      f"({hi}[f + 1]::DOUBLE - {lo}[f + 1]::DOUBLE) AS FLOAT) AS cut0 FROM p{k}"),
+            (f"n{k}", f"SELECT {at}, f, CASE WHEN cut0 >= hi THEN lo ELSE cut0 END AS cut, CAST({k} + {length('c')} AS FLOAT) AS leaf "
+                      f"FROM q{k}"),
+            (f"m{k + 1}", f"SELECT {key}, tree, 2 * node + 1 + CASE WHEN [{x}][f + 1] > cut THEN 1 ELSE 0 END AS node, {x} FROM "
+                          f"m{k} JOIN n{k} USING ({at}) WHERE f IS NOT NULL"),
+            (f"e{k + 1}", f"SELECT {key}, event_key, tree, 2 * node + 1 + CASE WHEN [{x}][f + 1] > cut THEN 1 ELSE 0 END AS node, "
+                          f"{x} FROM e{k} JOIN n{k} USING ({at}) WHERE f IS NOT NULL")]
+        ends.append(f"SELECT {key}, event_key, leaf::DOUBLE AS leaf FROM e{k} JOIN n{k} USING ({at}) WHERE f IS NULL")
+    parts.append(("ends", " UNION ALL ".join(ends)))
+    return O.statement(parts, f"SELECT event_key, {key}, {O.rnd(f'pow(2.0::DOUBLE, -sum(leaf) / {_TREES} / any_value({length("psi")}))')} "
+                              f"AS score FROM ends JOIN psis USING ({key}) GROUP BY event_key, {key}")
+
+
+@query("iforest_tables", _forest_sql())
+def iforest_tables(spark, sf):
+    """20 trees of 64 events per group, grown as tables."""
+    chosen = {c: levels.FEATURE_SETS[c] for c in _FOREST_SETS}
+    rows = scale.materialise(scaled(spark, sf, _FOREST_SETS))
+    model = forest_tables.iforest_fit_tables(levels.feature_vectors(rows, chosen), _TREES, _SAMPLE)
+    out = forest.iforest_score(rows, model, chosen)
+    return out.select("event_key", *levels.GROUP, "feature_set", r("score"))
+
+
 # ---- scores, limits and evaluation --------------------------------------------------------------------------------
 
 def z_scores(spark, sf, name="clicks", runs=None):

@@ -8,7 +8,8 @@ from logsieve.plans.queries import ORACLES, QUERIES
 CHOSEN = ["log_canonical", "profile_all_levels", "feat_transition", "feat_cyclical", "feat_workload_ties",
           "split_by_rows", "split_by_cases", "inject_time", "ctx_no_resource", "context_stats", "minmax_scale",
           "knn_distance", "dbscan_noise", "lof_scores", "classification_metrics", "comparison_wide", "gmm_limit_grid",
-          "gmm_thresholds", "score_histogram", "dbscan_noise_line", "predict_sweep"]
+          "gmm_thresholds", "score_histogram", "dbscan_noise_line", "predict_sweep",
+          "iforest_tables"]
 
 
 def test_every_oracle_has_its_query():
