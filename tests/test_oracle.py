@@ -22,6 +22,13 @@ def test_query_equals_sql(spark, name):
     assert compare(spark, tables(SF), SF, name, QUERIES[name], ORACLES[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["jitter_draws", "stored_report", "stored_scores", "stored_log", "few_score_limits"])
+def test_store_query_equals_sql(spark, name):
+    from logsieve.plans import store_queries
+
+    assert compare(spark, tables(SF), SF, name, store_queries.QUERIES[name], store_queries.ORACLES[name]) == ""
+
+
 def test_workload_in_segments_equals_sql(spark):
     from logsieve.operators import context
     from logsieve.plans.fixtures import fixture
