@@ -16,7 +16,9 @@ rows are written once each; a null doc_id comes first; an empty table writes no
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import sys
 import uuid
 import zlib
@@ -40,6 +42,8 @@ BLOCK = 65_536
 SEGMENT = 1_000_000
 LEVEL = 3
 END = 1
+AT_ONCE = 2_048
+SLICE = 3 << 20
 # Words of letters that lower-casing maps one to one and normalisation leaves alone, with a mark at most.
 PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 # Normalisation and splitting of the files that can be encoded word by word.
@@ -82,6 +86,10 @@ class Encoder:
                 self.closes = np.zeros(max(ranks.values()) + 1, bool)
                 self.closes[[i for t, i in ranks.items() if t.endswith(b"\0")]] = True
             self.marks = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in ".,"}
+        # The parsed file is far larger than what is kept of it.
+        del file
+        gc.collect()
+        W.release()
 
     def _stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all stems one after another, and where each starts."""
@@ -90,9 +98,13 @@ class Encoder:
         return ids.astype(np.uint32), np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])
 
     def _listed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
-        return (np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists))),
-                np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]))
+        # A result of the tokenizer is much larger than its ids, so few are held at a time.
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for k in range(0, len(texts), AT_ONCE):
+            lists = [e.ids for e in self.tokenizer.encode_batch(texts[k:k + AT_ONCE], add_special_tokens=False)]
+            sizes += map(len, lists)
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words one after another, and where each word's start."""
@@ -192,6 +204,8 @@ def _schema(kind: str) -> str:
 
 def _write(path: str, mode: str, kind: pa.DataType):
     def run(batches):
+        # Threads of the tokenizer would each keep memory of their own; Spark runs a task per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens, part = Encoder(path), TaskContext.get().partitionId()
         docs, held, sizes, total, number, first = [], [], [], 0, 0, 0
 
@@ -207,8 +221,9 @@ def _write(path: str, mode: str, kind: pa.DataType):
                 ["file", "segment", "first", "n_ids", "mode", "doc_ids", "doc_starts", "doc_sizes", "block_ids", "plane_ends",
                  "crc32", "payload"])
 
-        for batch in W.slices(batches, limit=5 << 20):
+        for batch in W.slices(batches, limit=SLICE):
             ids, starts = tokens.encode(batch.column("text"))
+            W.release()
             names, at = batch.column("doc_id").to_pylist(), 0
             while at < len(names):
                 # As many documents as fill the segment, or one.
@@ -223,6 +238,8 @@ def _write(path: str, mode: str, kind: pa.DataType):
                 at = stop
         if docs:
             yield segment()
+        tokens = held = None
+        W.release()
     return run
 
 
