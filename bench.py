@@ -15,7 +15,7 @@ from logsieve.session import local_session  # noqa: E402
 
 HEADLINE = ["profile_all_levels", "split_by_rows", "inject_time", "feat_trace_pos", "feat_workload_ties",
             "ctx_all_features", "minmax_scale", "dbscan_noise", "lof_scores", "iforest_scores", "gmm_thresholds",
-            "confusion_matrix"]
+            "confusion_matrix", "knn_distance_line", "iqr_threshold_sweep", "metrics_over_runs"]
 
 
 def main():
