@@ -249,7 +249,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("anchor", "ref")).alias("refs")))
     texts = scale.filter_by(docs, routes.select(F.col("least").alias("doc_id")).distinct(), ["doc_id"])
     texts = texts.join(routes, F.col("doc_id") == F.col("least")).select("gid", "least", "refs", "text")
-    texts = scale.materialise(texts.mapInArrow(_own_text, texts.schema))
+    texts = texts.mapInArrow(_own_text, texts.schema)
+    # Repeated rows would send the same text again; only where there are any are texts dealt out by class to fold them.
+    if not survey.where(F.col("n_words") >= WINDOW).groupBy("gid", "doc_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["gid"])
+    texts = scale.materialise(texts)
     pieces = scale.materialise(texts.mapInArrow(
         _stretches, f"ref binary, gid binary, least {kind}, place long, piece string"))
 

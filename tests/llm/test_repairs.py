@@ -1,10 +1,11 @@
 """Inputs that once crashed or slowed down the corpus operators."""
 
+import random
 import time
 
 import pytest
 
-from logsieve.llm import decontam, html_text
+from logsieve.llm import decontam, html_text, substrings
 
 
 @pytest.mark.parametrize("page", [
@@ -32,3 +33,22 @@ def test_items_may_have_text_ids(spark):
     got = decontam.leaks(docs, spark.createDataFrame([("q-1", text), (None, text + " more words of another kind")],
                                                      "item_id string, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} >= {(1, "q-1")} and {r.doc_id for r in got} == {1}
+
+
+def test_repeated_rows_of_one_reference_are_folded(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    rows = [(1, "start " + shared)] * 40 + [(2, shared + " end"), (3, "other words")]
+    seen = []
+    stored = substrings.scale.materialise
+
+    def spy(df):
+        out = stored(df)
+        if "text" in out.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings.scale, "materialise", spy)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen == [2]
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 40 + [(2, 300), (3, 0)]
