@@ -76,6 +76,27 @@ def test_density_detectors_equal_brute_force(spark, leaf):
         assert np.allclose(scores(lof, name), brute_lof(x, split), rtol=1e-9)
 
 
+@pytest.mark.parametrize("dims, k", [(2, 5), (5, 21)])
+def test_search_compares_few_pairs_and_finds_the_same(monkeypatch, dims, k):
+    rng = np.random.default_rng(dims)
+    x = rng.random((4_000, dims)).round(2 if dims == 2 else 5)
+    weight, ks, r = rng.integers(1, 3, len(x)), np.full(len(x), k), np.where(rng.random(len(x)) < 0.2, 0.01, np.inf)
+    want = knn.nearest(x, x.T, weight, ks, r)
+    pairs, plain = [], knn.nearest
+    monkeypatch.setattr(knn, "nearest", lambda q, p, *a: (pairs.append(len(q) * p.shape[1]), plain(q, p, *a))[1])
+    got = knn.search(x, x, weight, ks, r)
+    order = np.lexsort((got[1], got[2], got[0]))
+    assert all(np.array_equal(a[order], b) for a, b in zip(got, want))
+    assert sum(pairs) < len(x) ** 2 / 3
+
+
+def test_search_with_values_that_are_no_numbers():
+    x = np.random.default_rng(1).random((500, 2))
+    x[::7, 1] = np.nan
+    args = np.ones(500, dtype=int), np.full(500, 3), np.full(500, np.inf)
+    assert all(np.array_equal(a, b) for a, b in zip(knn.search(x, x, *args), knn.nearest(x, x.T, *args)))
+
+
 def test_busy_cells_are_answered_in_parts(spark, monkeypatch):
     df, data = vectors(spark, {"two": 2})
     monkeypatch.setattr(knn, "VISITS", 30)
