@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,14 @@ def test_search_with_values_that_are_no_numbers():
     assert all(np.array_equal(a, b) for a, b in zip(knn.search(x, x, *args), knn.nearest(x, x.T, *args)))
 
 
+def test_queries_reach_the_boxes_within_their_radius():
+    asking = pd.DataFrame({"qid": ["a", "b", "c"], "x": [np.array([0.0, 0.0])] * 3, "k": 2, "r": [1.0, 2.0, np.inf], "cell": "h"})
+    boxes = pd.DataFrame({"to": ["near", "far"], "lo_to": [np.array([1.0, 0.0, np.nan]), np.array([3.0, 0.0, np.nan])],
+                          "hi_to": [np.array([2.0, 9.0, np.nan]), np.array([4.0, np.nan, np.nan])]})
+    got = knn._reaching(list(asking.columns))(asking, boxes)
+    assert sorted(zip(got.qid, got.cell)) == [("a", "near"), ("b", "near"), ("c", "far"), ("c", "near")]
+
+
 def test_busy_cells_are_answered_in_parts(spark, monkeypatch):
     df, data = vectors(spark, {"two": 2})
     monkeypatch.setattr(knn, "VISITS", 30)
