@@ -99,3 +99,19 @@ def test_moments_are_exact(spark):
         some = values[r.k]
         assert r.m == pytest.approx(float(Fraction(sum(some), len(some))), rel=1e-15)
         assert r.s == pytest.approx(float(statistics.stdev(map(Fraction, some))) if len(some) > 1 else 0.0, rel=1e-12)
+
+
+def test_context_features_run_the_plan_of_their_input_once(spark, make_log):
+    log = order.order_events(make_log([(f"c{i % 3}", "ab"[i % 2], f"r{i % 2}", 60 * i) for i in range(30)]))
+    log = features.base_features(log.withColumn("split", F.lit("train")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for part in rows:
+            seen.add(part.num_rows)
+            yield part
+
+    feats = log.select("*").mapInArrow(count, log.schema)
+    feats = feats.select(*[F.col(c).alias(c, metadata=log.schema[c].metadata) for c in log.columns])
+    assert context.context_features(feats).count() == 30
+    assert seen.value == 30
