@@ -191,3 +191,19 @@ def test_sweep_by_ranks_equals_one_prediction_per_limit(spark):
                        .otherwise(F.col("score") > F.coalesce("threshold_value", F.lit(0.0))), F.lit(False))
     want = evaluate.group_confusion(copied.withColumn("predicted", above.cast("int"))).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 44
+
+
+def test_scores_are_stored_once_per_event_and_run(spark, monkeypatch):
+    from logsieve.operators import scale
+    from logsieve.plans import queries
+
+    from conftest import SF
+
+    stored, write = [], scale.materialise
+    monkeypatch.setattr(scale, "materialise", lambda df: stored.append(write(df)) or stored[-1])
+    scores = queries.z_scores(spark, SF)
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert max(df.count() for df in stored) == len(queries.RUNS) * events
+    assert scores.count() == len(queries.RUNS) * events * 3 * len(queries.O.SCORERS)
+    facts = scores.groupBy("run", "level", "model", "feature_set").count().collect()
+    assert {r["count"] for r in facts} == {events} and len(facts) == len(queries.RUNS) * 3 * len(queries.O.SCORERS)
