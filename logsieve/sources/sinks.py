@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .readers import path_exists
 
+# Files a task of a partitioned write keeps open at once, and the bytes of a row group each of them holds.
+OPEN_FILES, ROW_GROUP = 32, 16 << 20
+
 
 def write_log_once(spark: SparkSession, root: str, dataset: str, runs: list[int], make) -> DataFrame:
     """The prepared log of ``dataset`` for ``runs``: stored runs are read back, missing ones made and stored.
@@ -33,9 +36,18 @@ def mark(spark: SparkSession, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, root: str) -> None:
-    """Store long scores partitioned by dataset, run, model and level; a repeated write replaces only its own runs."""
-    (scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset", "run", "model", "level").parquet(root))
+    """Store long scores partitioned by dataset, run, model and level; a repeated write replaces only its own runs.
+
+    A task keeps a file open per partition, up to ``OPEN_FILES``, with small row groups; only beyond does it sort its rows.
+    """
+    conf, name = scores.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(OPEN_FILES))
+    try:
+        (scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("parquet.block.size", str(ROW_GROUP)).partitionBy("dataset", "run", "model", "level").parquet(root))
+    finally:
+        conf.set(name, before)
 
 
 def wide_scores(scores: DataFrame, ids: list[str], columns: list[tuple[str, str, str]]) -> DataFrame:

@@ -126,3 +126,22 @@ def test_comparison_and_wide_reports(spark, tmp_path):
     E.write_wide_scores(scores, str(tmp_path / "w"))
     wide = spark.read.parquet(str(tmp_path / "w"))
     assert wide.count() == 8 and {"score_LOF_L3_Global_delta_t", "score_LOF_L2_Activity_delta_t"} <= set(wide.columns)
+
+
+def test_scores_are_written_with_open_files_and_without_sorting(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from logsieve.sources import sinks
+
+    name, seen, parquet = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(name)), parquet(self, *a, **k)))
+    rows = [("d", r, m, lv, f"e{i}", float(i)) for r in (1, 2) for m in "ab" for lv in "xy" for i in range(5)]
+    df = spark.createDataFrame(rows, "dataset string, run int, model string, level string, event_key string, score double")
+    before = spark.conf.get(name)
+    # Fewer files than partitions: the rest of a task's rows is sorted.
+    for files in (32, 3):
+        monkeypatch.setattr(sinks, "OPEN_FILES", files)
+        path = str(tmp_path / str(files))
+        sinks.write_scores(df.coalesce(1), path)
+        assert sorted(spark.read.parquet(path).select(*df.columns).collect()) == sorted(rows)
+    assert seen == ["32", "3"] and spark.conf.get(name) == before
