@@ -112,6 +112,23 @@ def test_busy_cells_are_answered_in_parts(spark, monkeypatch):
     assert np.array_equal(scores(density.neighbour_distance(df, leaf=60), "two"), brute_dbscan(data["two"][0])[0])
 
 
+def test_lof_joins_long_lists_without_looking_for_heavy_neighbours(spark, monkeypatch):
+    from logsieve.operators import scale
+
+    rng = np.random.default_rng(5)
+    rows = [("L2_Activity", "a", "", f"e{i:03d}", "train" if i % 3 else "val", "f", [float(v) for v in rng.normal(size=2)])
+            for i in range(120)]
+    v = spark.createDataFrame(rows, "level string, g_act string, g_res string, event_key string, split string, feature_set string, "
+                                    "x array<float>")
+    scores = lambda: {r["event_key"]: r["score"] for r in density.lof(v, k=6).collect()}
+    want, looked, heavy = scores(), [], scale.heavy_keys
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scale, "heavy_keys", lambda df, keys, *a: looked.append(keys) or heavy(df, keys, *a))
+    got = scores()
+    assert len(got) == 120 and got == pytest.approx(want)
+    assert looked == [] or not any("pid" in keys for keys in looked)
+
+
 def test_lof_with_other_fitting_vectors(spark):
     df, data = vectors(spark, {"two": 2})
     moved = df.withColumn("x", F.transform("x", lambda v: (v + F.lit(0.5)).cast("float")))
