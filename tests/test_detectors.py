@@ -121,12 +121,13 @@ def test_lof_joins_long_lists_without_looking_for_heavy_neighbours(spark, monkey
     v = spark.createDataFrame(rows, "level string, g_act string, g_res string, event_key string, split string, feature_set string, "
                                     "x array<float>")
     scores = lambda: {r["event_key"]: r["score"] for r in density.lof(v, k=6).collect()}
-    want, looked, heavy = scores(), [], scale.heavy_keys
+    want, looked, lookup = scores(), [], scale.lookup_join
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(scale, "heavy_keys", lambda df, keys, *a: looked.append(keys) or heavy(df, keys, *a))
+    # A lookup join looks for heavy keys.
+    monkeypatch.setattr(scale, "lookup_join", lambda left, table, on, *a, **k: looked.append(on) or lookup(left, table, on, *a, **k))
     got = scores()
     assert len(got) == 120 and got == pytest.approx(want)
-    assert looked == [] or not any("pid" in keys for keys in looked)
+    assert looked and not any("pid" in on for on in looked)
 
 
 def test_lof_with_other_fitting_vectors(spark):
