@@ -133,12 +133,18 @@ def grow(points, draws, depth, rng):
     return feature.reshape(trees, nodes), value.reshape(trees, nodes)
 
 
-def depth_score(points, feature, value, sample, rows_at_once=4_096, cells=65_536):
+def depth_score(points, feature, value, sample, rows_at_once=4_096, cells=32_768):
     """2 ** (-mean path length / c(sample)) of each point.
 
     Leaves hand their path length down to the last level, so every point takes the same number of steps and several
     trees are walked in one array operation.
     """
+    if points.shape[1] == 1:
+        # On a line the score changes at cuts alone, so fewer cuts than points answer for all.
+        cuts = np.unique(value[feature >= 0])
+        if len(cuts) + 1 < len(points) and not np.isnan(points).any():
+            steps = np.append(cuts, np.inf).astype(value.dtype)[:, None]
+            return depth_score(steps, feature, value, sample, rows_at_once, cells)[np.searchsorted(cuts, points[:, 0])]
     trees, nodes = feature.shape
     depth = int(np.log2(nodes + 1)) - 1
     final, leaf = value.copy(), feature < 0
@@ -153,21 +159,38 @@ def depth_score(points, feature, value, sample, rows_at_once=4_096, cells=65_536
     for first in range(0, len(points), rows_at_once):
         block = np.ascontiguousarray(points[first:first + rows_at_once].T)
         m = block.shape[1]
-        flat, row = block.ravel(), np.arange(m, dtype=np.int32)
-        column = (np.maximum(feature, 0).astype(np.int32) * m).ravel()
+        flat, row = block.ravel(), np.arange(m)
+        column = (np.maximum(feature, 0).astype(np.intp) * m).ravel()
         total = np.zeros(m)
         step = max(1, cells // m)
         for t in range(0, trees, step):
-            root = (np.arange(t, min(t + step, trees), dtype=np.int32) * nodes)[:, None]
+            root = (np.arange(t, min(t + step, trees)) * nodes)[:, None]
             node = np.repeat(root, m, axis=1)
+            # Arrays are used again at every step; no place lies outside, so "clip" only saves looking.
+            place, right = np.empty_like(node), np.empty(node.shape, bool)
+            x, bound = np.empty(node.shape, flat.dtype), np.empty(node.shape, cut.dtype)
             for _ in range(depth):
-                right = flat[column[node] + row] > cut[node]
-                node = 2 * node - (root - 1) + right
+                np.take(column, node, out=place, mode="clip")
+                place += row
+                np.take(flat, place, out=x, mode="clip")
+                np.take(cut, node, out=bound, mode="clip")
+                np.greater(x, bound, out=right)
+                node += node
+                node -= root - 1
+                node += right
             total += final[node].sum(axis=0, dtype=np.float64)
         out[first:first + rows_at_once] = np.exp2(-total / trees / norm)
     return out
 
 
+def distinct(points):
+    """The different rows and the place of every row among them, so that equal ones walk the trees once."""
+    points = np.ascontiguousarray(points)
+    rows = points.view(np.dtype((np.void, points.itemsize * points.shape[1]))).ravel()
+    _, first, place = np.unique(rows, return_index=True, return_inverse=True)
+    return points[first], place.ravel()
+
+
 def iforest_fit(scaled: DataFrame, feature_sets: dict = FEATURE_SETS, trees: int = TREES, sample: int = SAMPLE,
                 seed: int = 7) -> DataFrame:
     """Fit one forest per group and feature set; returns the stored models.
@@ -262,7 +285,8 @@ def _score_block(keep, names, feature_sets, scores):
                 continue
             feature = np.frombuffer(m.feature, np.int8).reshape(-1, m.nodes)
             value = np.frombuffer(m.value, np.float32).reshape(-1, m.nodes)
-            out[s] = depth_score(x[:, [names.index(c) for c in cols]], feature, value, m.psi)
+            points, place = distinct(x[:, [names.index(c) for c in cols]])
+            out[s] = depth_score(points, feature, value, m.psi)[place]
         return out
 
     return score

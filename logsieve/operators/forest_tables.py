@@ -30,10 +30,13 @@ def sample_trees(vectors: DataFrame, trees: int, sample: int, seed: int = 7) ->
     Only events whose draw lies below a bound that leaves out no tree but by a chance of less than 1e-9 are ranked.
     """
     keys, run = [*group_keys(vectors), "feature_set"], F.col("run") if run_keys(vectors) else F.lit(0)
-    rows = vectors.where(F.col("split") == "train").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rows = rows.withColumn("_h", S.hash32("tree", seed, run, F.concat_ws("|", "event_key", "level", F.col("tree").cast("string"))))
     share = F.lit(expected_candidates(sample)) / F.col("n_train")
-    rows = rows.where((share >= 0.5) | (F.col("_h") < share * float(S.HASH_RANGE)))
+    bound = F.lower(F.lpad(F.hex(F.ceil(share * float(S.HASH_RANGE)).cast("bigint")), 8, "0"))
+    rows = vectors.where(F.col("split") == "train").withColumn("_bound", F.when(share < 0.5, bound))
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    draw = "tree", seed, run, F.concat_ws("|", "event_key", "level", F.col("tree").cast("string"))
+    # Draws are compared as digits; only those below the bound become numbers.
+    rows = rows.where(F.col("_bound").isNull() | (S.hash_digits(*draw) < F.col("_bound"))).withColumn("_h", S.hash32(*draw))
     place = F.row_number().over(Window.partitionBy(*keys, "tree").orderBy("_h", "event_key"))
     return rows.withColumn("_place", place).where(F.col("_place") <= sample).select(
         *keys, "n", "tree", F.least(F.lit(sample), F.col("n_train")).cast("int").alias("psi"), "x")

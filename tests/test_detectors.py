@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from logsieve.operators import density, forest, knn, levels, line
+from logsieve.operators import density, forest, knn, levels, line, scale
 
 N = 400
 
@@ -276,3 +276,54 @@ def test_neighbours_on_a_line(spark, limit):
     for r in sides:
         assert [o.v for o in r.left] == [v for v in range(int(r.v) - 5, int(r.v)) if v >= 0]
         assert [o.v for o in r.right] == [v for v in range(int(r.v) + 1, int(r.v) + 6) if v < 60]
+
+
+def test_cells_return_one_list_per_query_and_split_trees_cover_the_space(spark):
+    """The lists of a cut group come whole from one shuffle; every point has a child cell, those without a number have none."""
+    rng = np.random.default_rng(3)
+    x = rng.random((700, 2)).astype(np.float32)
+    x[5, 1] = np.nan
+    points = spark.createDataFrame([("g", f"{i:04d}", v.tolist(), 1) for i, v in enumerate(x)],
+                                   "g string, pid string, x array<float>, w bigint")
+    points = scale.materialise(points)
+    cells, _ = density.knn._cut(points.withColumn("cell", F.lit("")), ["g"], 100)
+    cells = {r.pid: r.cell for r in cells.collect()}
+    assert cells["0005"] == "" and all(c.endswith(".") for p, c in cells.items() if p != "0005")
+    assert max(np.unique(list(cells.values()), return_counts=True)[1]) <= 100
+    plain = scale.materialise(points.where("pid <> '0005'"))
+    asking = plain.withColumnRenamed("pid", "qid").withColumn("k", F.lit(3))
+    got = {r.qid: [(e.pid, e.d, e.before) for e in r.found] for r in density.knn.lists(plain, asking, ["g"], 100).collect()}
+    assert len(got) == 699
+    for i in range(0, 700, 50):
+        d = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(axis=1))
+        near = np.argsort(np.where(np.isnan(d), np.inf, d), kind="stable")[:3]
+        assert [e[0] for e in got[f"{i:04d}"]] == [f"{j:04d}" for j in near]
+        assert np.allclose([e[1] for e in got[f"{i:04d}"]], d[near]) and [e[2] for e in got[f"{i:04d}"]] == [0, 1, 2]
+
+
+def test_points_on_a_line_are_cut_into_segments_below_the_window_limit(spark, monkeypatch):
+    df, data = vectors(spark, {"one": 1})
+    monkeypatch.setattr(line, "STRETCH", 30)
+    parts, split = [], scale.part_heavy
+    monkeypatch.setattr(scale, "part_heavy", lambda *a: (parts.append(out := split(*a)), out)[1])
+    got = scores(density.neighbour_distance(df), "one")
+    assert np.array_equal(got, brute_dbscan(data["one"][0])[0])
+    assert any(hot is not None for _, hot in parts)
+
+
+def test_equal_events_walk_the_trees_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.tile(rng.random((40, 3)).astype(np.float32), (25, 1))
+    line_x = rng.random((3_000, 1)).astype(np.float32)
+    sets = {"wide": ["a", "b", "c"]}
+    feature, value = forest.grow(x, np.tile(np.arange(64), (5, 1)), 6, rng)
+    models = pd.DataFrame([["wide", 64, feature.shape[1], feature.tobytes(), value.tobytes()]],
+                          columns=["feature_set", "psi", "nodes", "feature", "value"])
+    want, seen, plain = forest.depth_score(x, feature, value, 64), [], forest.depth_score
+    monkeypatch.setattr(forest, "depth_score", lambda p, *a: (seen.append(len(p)), plain(p, *a))[1])
+    got = forest._score_block([], ["a", "b", "c"], sets, ["s"])(pd.DataFrame(x, columns=["a", "b", "c"]), models)
+    assert np.array_equal(got["s"], want) and seen == [40]
+    feature, value = forest.grow(line_x, np.array([rng.choice(3_000, 64, False) for _ in range(5)]), 6, rng)
+    one = np.concatenate([plain(line_x[i:i + 1], feature, value, 64) for i in range(0, 3_000, 100)])
+    seen.clear()
+    assert np.array_equal(forest.depth_score(line_x, feature, value, 64)[::100], one) and seen[-1] < 400
