@@ -327,3 +327,48 @@ def test_equal_events_walk_the_trees_once(monkeypatch):
     one = np.concatenate([plain(line_x[i:i + 1], feature, value, 64) for i in range(0, 3_000, 100)])
     seen.clear()
     assert np.array_equal(forest.depth_score(line_x, feature, value, 64)[::100], one) and seen[-1] < 400
+
+
+def test_screened_pairs_are_those_within_the_radius_also_beside_values_far_away():
+    rng = np.random.default_rng(6)
+    x = rng.random((600, 6)).astype(np.float32).astype(float)
+    x[::50, 2] = rng.choice([1e12, -3e7, 4e3], 12)
+    x[7] = x[8]
+    r = np.where(rng.random(600) < 0.5, 0.4, 0.0)
+    r[::50] = 1e9
+    d = np.zeros((600, 600))
+    for j in range(6):
+        d += (x[:, None, j] - x[None, :, j]) ** 2
+    d, some = np.sqrt(d), np.arange(3, 600, 2)
+    row, col, got = knn.Screen(x, x).within(np.arange(600), some, r, 400)
+    want = np.nonzero(d[:, some] <= r[:, None])
+    assert np.array_equal(row, want[0]) and np.array_equal(col, want[1]) and np.array_equal(got, d[row, some[col]])
+    # Beyond what is asked for, the k nearest suffice.
+    r[:] = 5.0
+    row, col, got = knn.Screen(x, x).within(np.arange(600), some, r, 5)
+    assert len(row) < 20 * 600
+    kept = knn._completing(row, some[col], got, np.ones(600, int), np.full(600, 5))
+    want = [np.lexsort((some, d[i, some]))[:5] for i in range(600)]
+    assert np.array_equal(kept[1], np.concatenate([some[w[d[i, some[w]] <= 5.0]] for i, w in enumerate(want)]))
+
+
+def test_distances_and_noise_store_no_lists_of_ids_and_do_not_count_vectors_again(spark, monkeypatch):
+    df, data = vectors(spark, {"three": 3})
+    stored, looked, store, heavy = [], [], scale.materialise, scale.heavy_keys
+    monkeypatch.setattr(scale, "materialise", lambda d: stored.append(d.dtypes) or store(d))
+    monkeypatch.setattr(scale, "heavy_keys", lambda d, keys, *a, **k: looked.append(keys) or heavy(d, keys, *a, **k))
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    want = brute_dbscan(data["three"][0])
+    for leaf in (4096, 60):
+        assert np.array_equal(scores(density.neighbour_distance(df, leaf=leaf), "three"), want[0])
+        assert np.array_equal(scores(density.dbscan_noise(df, leaf=leaf), "three"), want[2].astype(float))
+    assert not [c for table in stored for c in table if c[1].startswith("array<") and "string" in c[1]]
+    assert not any("x" in keys for keys in looked)
+
+
+def test_noise_of_repeated_ids_is_complete_whole_and_in_cells(spark):
+    df, _ = vectors(spark, {"two": 2})
+    df = df.withColumn("event_key", F.when(F.col("event_key") < "00300", F.col("event_key")).otherwise(
+        F.lpad((F.col("event_key").cast("int") % 60).cast("string"), 5, "0")))
+    a, b = (density.dbscan_noise(df, leaf=leaf).orderBy("event_key", "score").toPandas() for leaf in (4096, 60))
+    assert all(len(f) == N and f.score.isin([0.0, 1.0]).all() for f in (a, b)) and np.array_equal(a.event_key, b.event_key)

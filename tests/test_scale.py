@@ -86,3 +86,12 @@ def test_shared_dir_comes_from_the_session():
     assert scale.shared_dir(Session("local[2]")) == scale.shared_dir(Session("local[4]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scale.shared_dir(Session("yarn"))
+
+
+def test_lookup_with_counts_of_its_keys_does_not_count_them_again(spark, monkeypatch):
+    left = spark.range(600).selectExpr("if(id < 400, 7, id) AS k", "id AS v")
+    table = scale.materialise(spark.range(1_000).selectExpr("id AS k", "id * 2 AS w"))
+    counts = scale.materialise(left.groupBy("k").count().withColumnRenamed("count", "_n"))
+    monkeypatch.setattr(scale, "heavy_keys", lambda *a, **k: pytest.fail("counted again"))
+    out = scale.lookup_join(left, table, ["k"], 1_000, limit=0, hot_rows=100, counts=counts)
+    assert sorted((r.v, r.w) for r in out.collect()) == [(i, 14 if i < 400 else 2 * i) for i in range(600)]
