@@ -372,3 +372,16 @@ def test_noise_of_repeated_ids_is_complete_whole_and_in_cells(spark):
         F.lpad((F.col("event_key").cast("int") % 60).cast("string"), 5, "0")))
     a, b = (density.dbscan_noise(df, leaf=leaf).orderBy("event_key", "score").toPandas() for leaf in (4096, 60))
     assert all(len(f) == N and f.score.isin([0.0, 1.0]).all() for f in (a, b)) and np.array_equal(a.event_key, b.event_key)
+
+
+def test_knee_computes_the_distances_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = curve(spark, [0.0, 0.0, 0.0, 0.0, 0.0, 0.1, 0.2, 5.0])
+    df = df.mapInPandas(counted, df.schema)
+    assert density.knee_eps(df, ["k"]).first()["eps"] == 0.2 and seen.value == 8
