@@ -385,3 +385,29 @@ def test_knee_computes_the_distances_once(spark):
     df = curve(spark, [0.0, 0.0, 0.0, 0.0, 0.0, 0.1, 0.2, 5.0])
     df = df.mapInPandas(counted, df.schema)
     assert density.knee_eps(df, ["k"]).first()["eps"] == 0.2 and seen.value == 8
+
+
+def test_lof_writes_no_row_per_neighbour(spark, monkeypatch):
+    df, data = vectors(spark, {"two": 2, "three": 3})
+    stored, store = [], scale.materialise
+    monkeypatch.setattr(scale, "materialise", lambda d: stored.append(store(d)) or stored[-1])
+    monkeypatch.setattr(scale, "discard", lambda *tables: None)
+    monkeypatch.setattr(knn, "VISITS", 90)
+    for leaf in (4096, 200):
+        lof = density.lof(df, leaf=leaf)
+        for name, (x, split) in data.items():
+            assert np.allclose(scores(lof, name), brute_lof(x, split), rtol=1e-9)
+    # Lists of 21 neighbours would be over 13,000 rows.
+    assert max(table.count() for table in stored) < 5 * 2 * N
+
+
+def test_lof_of_repeated_ids_and_of_a_single_training_event(spark):
+    rng = np.random.default_rng(8)
+    rows = [("L2_Activity", "a", "", f"e{i % 50:02d}", "train", "f", [float(v) for v in rng.normal(size=2)]) for i in range(60)]
+    rows += [("L2_Activity", "b", "", f"e{i}", "train" if i == 0 else "test", "f", [float(i), 0.0]) for i in range(4)]
+    rows += [("L2_Activity", "c", "", f"e{i}", "test", "f", [float(i), 0.0]) for i in range(4)]
+    schema = "level string, g_act string, g_res string, event_key string, split string, feature_set string, x array<float>"
+    got = {g: spark.createDataFrame([r for r in rows if r[1] in g], schema) for g in ("bc", "abc")}
+    got = {g: density.lof(df, k=6).toPandas() for g, df in got.items()}
+    assert len(got["bc"]) == 8 and got["bc"].score.isna().all()
+    assert len(got["abc"]) == 68 and got["abc"].score.notna().sum() == 60
