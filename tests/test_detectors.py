@@ -355,7 +355,7 @@ def test_screened_pairs_are_those_within_the_radius_also_beside_values_far_away(
 def test_distances_and_noise_store_no_lists_of_ids_and_do_not_count_vectors_again(spark, monkeypatch):
     df, data = vectors(spark, {"three": 3})
     stored, looked, store, heavy = [], [], scale.materialise, scale.heavy_keys
-    monkeypatch.setattr(scale, "materialise", lambda d: stored.append(d.dtypes) or store(d))
+    monkeypatch.setattr(scale, "materialise", lambda d, **o: stored.append(d.dtypes) or store(d, **o))
     monkeypatch.setattr(scale, "heavy_keys", lambda d, keys, *a, **k: looked.append(keys) or heavy(d, keys, *a, **k))
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
     want = brute_dbscan(data["three"][0])
@@ -390,7 +390,7 @@ def test_knee_computes_the_distances_once(spark):
 def test_lof_writes_no_row_per_neighbour(spark, monkeypatch):
     df, data = vectors(spark, {"two": 2, "three": 3})
     stored, store = [], scale.materialise
-    monkeypatch.setattr(scale, "materialise", lambda d: stored.append(store(d)) or stored[-1])
+    monkeypatch.setattr(scale, "materialise", lambda d, **o: stored.append(store(d, **o)) or stored[-1])
     monkeypatch.setattr(scale, "discard", lambda *tables: None)
     monkeypatch.setattr(knn, "VISITS", 90)
     for leaf in (4096, 200):
